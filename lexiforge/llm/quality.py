@@ -28,6 +28,7 @@ TOP_NGRAM_PERCENT = {2: 20, 3: 18, 4: 16}
 DUPLICATE_NGRAM_PERCENT = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
 DUPLICATE_LINE_PERCENT = 30
 DUPLICATE_LINE_CHARS_PERCENT = 20
+LEAST_DUPLICATE_LINES = 2  # a page's heading that its foot repeats breaks no rule
 LEAST_WORDS = 50
 REPEAT_WORDS_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
@@ -148,7 +149,7 @@ def _verdict():
         ok &= F.col(f"top_{n}_chars") * 100 <= F.col("word_chars") * most
     for n, most in DUPLICATE_NGRAM_PERCENT.items():
         ok &= F.col(f"dup_{n}_chars") * 100 <= F.col("word_chars") * most
-    ok &= F.col("n_dup_lines") * 100 <= F.col("n_lines") * DUPLICATE_LINE_PERCENT
+    ok &= (F.col("n_dup_lines") < LEAST_DUPLICATE_LINES) | (F.col("n_dup_lines") * 100 <= F.col("n_lines") * DUPLICATE_LINE_PERCENT)
     return ok & (F.col("dup_line_chars") * 100 <= F.col("word_chars") * DUPLICATE_LINE_CHARS_PERCENT)
 
 
@@ -184,5 +185,5 @@ def passes(c: dict[str, np.ndarray]) -> np.ndarray:
         ok &= c[f"top_{n}_chars"] * 100 <= c["word_chars"] * most
     for n, most in DUPLICATE_NGRAM_PERCENT.items():
         ok &= c[f"dup_{n}_chars"] * 100 <= c["word_chars"] * most
-    ok &= c["n_dup_lines"] * 100 <= c["n_lines"] * DUPLICATE_LINE_PERCENT
+    ok &= (c["n_dup_lines"] < LEAST_DUPLICATE_LINES) | (c["n_dup_lines"] * 100 <= c["n_lines"] * DUPLICATE_LINE_PERCENT)
     return ok & (c["dup_line_chars"] * 100 <= c["word_chars"] * DUPLICATE_LINE_CHARS_PERCENT)
