@@ -56,12 +56,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; a null is an empty text."""
+    """Bytes and offsets of a column of texts (or of their bytes); a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()) if column.type != pa.large_string() else column
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
+    column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)), at
