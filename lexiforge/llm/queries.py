@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import quality, sharding, substring_dedup, suffix_dedup
+from lexiforge.llm import minhash, quality, sharding, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +25,16 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_array_dedup, op3_substring_dedup, op7_shard, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_suffix_array_dedup, op3_substring_dedup, op7_shard, op8_minhash_near_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
