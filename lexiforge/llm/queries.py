@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiforge.llm import minhash, quality, sharding, substring_dedup, suffix_dedup
+from lexiforge.llm import chat_format, decontaminate, line_dedup, minhash, quality, sharding, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.conversations_as_rows(_table(spark, sf_dir, "conversations"))
+    return chat_format.format_preferences(chat_format.neighbours_as_pairs(rows))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
@@ -29,13 +40,21 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_array_dedup, op3_substring_dedup, op7_shard, op8_minhash_near_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_suffix_array_dedup, op3_substring_dedup, op4_chat_preferences, op5_line_dedup, op7_shard, op8_minhash_near_dedup, op9_benchmark_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_chat_preferences": chat_format.ORACLE,
+        "op5_line_dedup": line_dedup.ORACLE,
+        "op9_benchmark_decontamination": decontaminate.ORACLE,
+    }
