@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import chat_format, decontaminate, line_dedup, minhash, quality, sharding, substring_dedup, suffix_dedup
+from lexiforge.llm import chat_format, decontaminate, line_dedup, minhash, quality, sharding, substring_dedup, suffix_dedup, warc
+from lexiforge.llm.common import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_strings(_table(spark, sf_dir, "documents"))
 
@@ -48,12 +55,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents"))
 
 
+OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
+r AS (SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest, CASE WHEN strlen(payload) >= 100 AND page_id > first THEN first END AS refers_to FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_array_dedup, op3_substring_dedup, op4_chat_preferences, op5_line_dedup, op7_shard, op8_minhash_near_dedup, op9_benchmark_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_round_trip, op2_suffix_array_dedup, op3_substring_dedup, op4_chat_preferences, op5_line_dedup, op7_shard, op8_minhash_near_dedup, op9_benchmark_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc_round_trip": OP1,
         "op4_chat_preferences": chat_format.ORACLE,
         "op5_line_dedup": line_dedup.ORACLE,
         "op9_benchmark_decontamination": decontaminate.ORACLE,
