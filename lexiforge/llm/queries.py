@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import chat_format, decontaminate, line_dedup, minhash, quality, sharding, substring_dedup, suffix_dedup, warc
+from lexiforge.llm import chat_format, decontaminate, line_dedup, minhash, mixing, quality, sharding, substring_dedup, suffix_dedup, warc
 from lexiforge.llm.common import new_path
 
 
@@ -39,6 +39,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+#: The shares of the tokens of wanted domains that op6 mixes to.
+WEIGHTS = {"high": 0.85, "low": 0.15}
+
+
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing.document_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), WEIGHTS)
+    return rates.drop("row_key").withColumn("kept", F.col("copies") > 0)
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +73,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_round_trip, op2_suffix_array_dedup, op3_substring_dedup, op4_chat_preferences, op5_line_dedup, op7_shard, op8_minhash_near_dedup, op9_benchmark_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_round_trip, op2_suffix_array_dedup, op3_substring_dedup, op4_chat_preferences, op5_line_dedup, op6_soft_mixing, op7_shard, op8_minhash_near_dedup, op9_benchmark_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

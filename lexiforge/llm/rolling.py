@@ -21,6 +21,8 @@ _BASE = 0x9E3779B97F4A7C15 & ~7 | 5
 _WORD_BASE = 0xC2B2AE3D27D4EB4F & ~7 | 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For words without punctuation: every ASCII character but letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 #: Bytes of text that one chunk holds, unless a single document is longer.
 CHUNK_BYTES = 1 << 20
@@ -101,8 +103,8 @@ def byte_sums(data: np.ndarray, lower: bool = False) -> Sums:
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a chunk: start, end, hash and document of each."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False):
-        word = ~_SPACE[data]
+    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE):
+        word = ~space[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[at] = True
         before = np.concatenate([[False], word[:-1]]) if len(data) else word
