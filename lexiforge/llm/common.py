@@ -13,6 +13,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,13 +68,23 @@ def freed_shuffles(spark: SparkSession):
 
 
 class WorkTable:
-    """A DataFrame written to the shared folder; ``df`` reads it again."""
+    """A DataFrame written to the shared folder; ``df`` reads it again.
 
-    def __init__(self, df: DataFrame, tag: str):
+    ``rows_per_file``: gathers the rows of small partitions into files of about so many, however
+    many partitions a shuffle has left. The rows are kept by the executors while they are counted.
+    """
+
+    def __init__(self, df: DataFrame, tag: str, rows_per_file: int | None = None):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, tag)
         with freed_shuffles(self.spark):
-            df.write.parquet(self.path)
+            if rows_per_file is None:
+                df.write.parquet(self.path)
+            else:
+                held = df.persist(StorageLevel.MEMORY_AND_DISK)
+                n = held.count()
+                held.coalesce(max(1, -(-n // rows_per_file))).write.parquet(self.path)
+                held.unpersist()
         self.schema = df.schema
 
     @property
@@ -84,9 +95,9 @@ class WorkTable:
         drop_path(self.spark, self.path)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, rows_per_file: int | None = None) -> DataFrame:
     """``df``, computed once: cut from its lineage by a table in the shared folder."""
-    return WorkTable(df, tag).df
+    return WorkTable(df, tag, rows_per_file).df
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm.common import WorkTable
 
+#: Rows of two or three numbers in a file.
+NARROW = 1_000_000
+
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """node, label (least node it is connected with) of each node that has an edge.
@@ -14,14 +17,14 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Each round is two joins and an aggregate with map-side minima; labels also jump to their label's
     label, so long chains take a number of rounds that grows with the logarithm of their length.
     """
-    both = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a <> b")
-    links = WorkTable(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = WorkTable(links.df.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    ends = F.explode(F.array(F.struct(F.col(u).alias("a"), F.col(v).alias("b")), F.struct(F.col(v).alias("a"), F.col(u).alias("b"))))
+    links = WorkTable(edges.select(ends.alias("e")).select("e.a", "e.b").where("a <> b"), "links", NARROW)
+    labels = WorkTable(links.df.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels", NARROW)
     while True:
         near = links.df.join(labels.df.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("least"))
         lower = labels.df.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "least").alias("label"), F.col("label").alias("was"))
         jumped = lower.join(labels.df.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left")
-        after = WorkTable(jumped.select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"), "labels")
+        after = WorkTable(jumped.select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"), "labels", NARROW)
         changed = after.df.where("label <> was").limit(1).count()
         labels.drop()
         labels = after

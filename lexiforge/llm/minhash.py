@@ -5,11 +5,12 @@ The full minima of each band make its bucket key; of each minimum only the low
 ``BITS`` bits stay in a packed signature. Documents with equal sets are one
 node. In a bucket the least node is compared with the others: the signatures'
 equal lanes, corrected for chance collisions, estimate the similarity, and pairs
-that may reach the threshold are confirmed on the full sets. Nodes that are connected
-by then need no further comparison; in buckets where several components are left
-the next node takes its turn, until few enough pairs are left to compare them all. So no
-link between components that share a bucket is missed, and a group of copies
-costs a comparison for each, not for each pair.
+that may reach the threshold are confirmed on the full sets. That connects most
+of a group of copies, which need no further comparison. Buckets in
+which several components are left form clusters; there the nodes outside the
+largest component are asked against all nodes of the cluster, in blocks, again by
+estimate and then on the full sets. So no link between components that share a
+bucket is missed, and a group of copies costs a few comparisons for each, not one for each pair.
 
 A pair at the threshold shares no bucket with probability (1 - 0.75**4)**32 = 5e-6.
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm.common import WorkTable, keyed, materialize, on_key
-from lexiforge.llm.components import components
+from lexiforge.llm.components import NARROW, components
 from lexiforge.llm.rolling import Words, chunks, mix
 
 SHINGLE = 5
@@ -36,8 +37,10 @@ ROWS, BANDS, BITS = 4, 32, 2
 LEAST_PERCENT = 75
 #: Pairs estimated below this are not looked at: five standard deviations under the threshold.
 LEAST_ESTIMATE = 0.52
-#: Once no more pairs than this for each node are left in the buckets, they are compared at once.
-PAIRS_PER_NODE = 4
+#: Rows with a signature or a set in a file.
+WIDE = 10_000
+#: Nodes of a block that is asked, and of a block it is compared with.
+ASKED_BLOCK, OTHERS_BLOCK = 256, 2048
 
 _random = np.random.Generator(np.random.PCG64(8))
 _TIMES = _random.integers(0, 2**64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -149,17 +152,63 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("common", common).where(F.col("common") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("common")) * LEAST_PERCENT).select("u", "v")
 
 
-def _relabelled(labels: WorkTable, links: DataFrame) -> WorkTable:
-    """The labels of the nodes after the links between their components are added."""
-    of = labels.df
-    between = links.join(of.withColumnsRenamed({"node": "u", "label": "lu"}), "u").join(of.withColumnsRenamed({"node": "v", "label": "lv"}), "v").select("lu", "lv").where("lu <> lv").distinct()
-    merged = components(between, "lu", "lv").select(F.col("node").alias("label"), F.col("label").alias("lower"))
-    after = WorkTable(of.join(merged, "label", "left").select("node", F.coalesce("lower", "label").alias("label")), "labels")
-    labels.drop()
-    return after
+def _compare_group(group: pa.Table) -> pa.Table:
+    """The links (u, v) between asked rows and rows of another component of their cluster."""
+    group = group.combine_chunks()
+    role, node, label, cluster, size = (group[c].to_numpy() for c in ("asked", "node", "label", "cluster", "n_shingles"))
+    sig = group["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+    sets = group["shingles"].combine_chunks()
+    ends, shingle = sets.offsets.to_numpy(), sets.values.to_numpy()
+    asked, rest = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
+    lanes, chance = ROWS * BANDS, 1 / 2**BITS
+    found_u, found_v = [], []
+    for q in asked:
+        x = sig[rest] ^ sig[q]
+        differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
+        near = ((lanes - differ) / lanes - chance) / (1 - chance) >= LEAST_ESTIMATE
+        near &= (cluster[rest] == cluster[q]) & (label[rest] != label[q])
+        near &= np.minimum(size[rest], size[q]) * 100 >= np.maximum(size[rest], size[q]) * LEAST_PERCENT
+        likely = rest[near]
+        if not len(likely):
+            continue
+        width = ends[likely + 1] - ends[likely]
+        own = shingle[ends[q] : ends[q + 1]]
+        where = np.arange(width.sum()) + np.repeat(ends[likely] - np.cumsum(width) + width, width)
+        common = np.bincount(np.repeat(np.arange(len(likely)), width), np.isin(shingle[where], own), len(likely))
+        linked = likely[common * 100 >= (size[likely] + size[q] - common) * LEAST_PERCENT]
+        found_u += [node[q]] * len(linked)
+        found_v += node[linked].tolist()
+    return pa.table({"u": pa.array(found_u, pa.int64()), "v": pa.array(found_v, pa.int64())})
+
+
+def _compare_clusters(clusters: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links between different components of a cluster of buckets.
+
+    In every cluster the nodes outside its largest component are asked against all its nodes, in
+    blocks: an asked block and a block of the others make one group. Small clusters share groups.
+    """
+    placed = materialize(clusters.join(labels, "node"), "clustered", NARROW)
+    sizes = placed.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("largest"))
+    sizes = materialize(sizes.select("cluster", "all", (F.col("all") - F.col("largest.n")).alias("questions"), F.col("largest.label").alias("main")).where("questions > 0"), "cluster-sizes", NARROW)
+    small = sizes.where(F.col("all") < ASKED_BLOCK).agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    bins = max(1, -(-small // OTHERS_BLOCK))
+    apart = F.col("all") >= ASKED_BLOCK
+    known = placed.join(sizes, "cluster").select(
+        "*",
+        F.when(apart, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(bins))).alias("place"),
+        F.when(apart, F.ceil(F.col("questions") / ASKED_BLOCK)).otherwise(1).cast("int").alias("asked_blocks"),
+        F.when(apart, F.ceil(F.col("all") / OTHERS_BLOCK)).otherwise(1).cast("int").alias("other_blocks"),
+    )
+    keep = ["node", "label", "cluster", "place"]
+    asked_block, other_block = F.pmod(F.xxhash64("node"), "asked_blocks").cast("int"), F.pmod(F.xxhash64(F.lit(1), "node"), "other_blocks").cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    questions = known.where("label <> main").select(*keep, F.lit(1).alias("asked"), asked_block.alias("a"), to("other_blocks").alias("b"))
+    others = known.select(*keep, F.lit(0).alias("asked"), to("asked_blocks").alias("a"), other_block.alias("b"))
+    rows = questions.unionByName(others).join(nodes, "node").join(sets, "node")
+    return rows.groupBy("place", "a", "b").applyInArrow(_compare_group, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pairs_per_node: float = PAIRS_PER_NODE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     docs = keyed(docs, id_col, text_col)
     rows = materialize(docs.mapInArrow(_signatures, _SIGNATURES), "signatures")
@@ -167,37 +216,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(
         rows.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "row_key")).alias("r"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select(*same, F.col("r.doc_id").alias("node"), "r.row_key", "bands", "sig"),
         "nodes",
+        WIDE,
     )
     spread = nodes.select("node", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = WorkTable(spread.join(materialize(shared, "shared-buckets"), "key"), "buckets")
+    buckets = WorkTable(spread.join(materialize(shared, "shared-buckets", NARROW), "key"), "buckets", NARROW)
     members = buckets.df.select("node").distinct()
     texts = on_key(docs, nodes.join(members, "node").select("row_key", F.col("node").alias("doc_id"), "node"), "inner")
-    sets = materialize(texts.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
-    labels = WorkTable(members.select("node", F.col("node").alias("label")), "labels")
-    n_nodes = labels.df.count()
-    while True:
-        placed = buckets.df.join(labels.df, "node")
-        mixed = materialize(placed.groupBy("key").agg(F.min("node").alias("center"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key", "center"), "mixed-buckets")
-        left = WorkTable(placed.join(mixed, "key"), "left")
-        per = left.df.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        n_pairs = per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.lit(0))).first()[0]
-        if not n_pairs:
-            break
-        last = n_pairs <= pairs_per_node * n_nodes
-        if last:
-            other = left.df.select("key", F.col("node").alias("u"), F.col("label").alias("lu"))
-            pairs = left.df.select("key", F.col("node").alias("v"), "label").join(other, "key").where("u < v and lu <> label")
-        else:
-            center = labels.df.withColumnsRenamed({"node": "center", "label": "at"})
-            pairs = left.df.join(center, "center").where("label <> at").select(F.col("center").alias("u"), F.col("node").alias("v"))
-        links = materialize(_confirm(pairs.select("u", "v").distinct(), nodes.select("node", "sig", "n_shingles"), sets), "links")
-        labels = _relabelled(labels, links)
-        if last:
-            break
-        # The centers have met all the others of their buckets.
-        buckets = WorkTable(left.df.where("node <> center").select("key", "node"), "buckets")
-    named = materialize(nodes.select(*same, "node").join(labels.df, "node", "left").select(*same, F.coalesce("label", "node").alias("component_id")), "named")
+    sets = materialize(texts.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets", WIDE)
+    brief = nodes.select("node", "sig", "n_shingles")
+    centers = materialize(buckets.df.groupBy("key").agg(F.min("node").alias("center")), "centers", NARROW)
+    stars = buckets.df.join(centers, "key").where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
+    links = materialize(_confirm(stars, brief, sets), "links", NARROW)
+    labels = materialize(members.join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels", NARROW)
+    # Buckets in which several components meet, chained to clusters.
+    placed = buckets.df.join(labels, "node")
+    mixed = placed.groupBy("key").agg(F.min("node").alias("u"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key", "u")
+    chains = buckets.df.join(materialize(mixed, "mixed-buckets", NARROW), "key").select("u", F.col("node").alias("v")).distinct()
+    clusters = components(chains).select("node", F.col("label").alias("cluster"))
+    more = materialize(_compare_clusters(clusters, labels, brief, sets), "more-links", NARROW)
+    final = components(links.unionByName(more))
+    named = materialize(nodes.select(*same, "node").join(final, "node", "left").select(*same, F.coalesce("label", "node").alias("component_id")), "named", NARROW)
     out = rows.select("doc_id", *same).join(named, same, "left")
     whole = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), whole)
@@ -207,4 +246,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows of documents that another one of their component stands for."""
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(materialize(gone, "gone"), F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(materialize(gone, "gone", NARROW), F.col(id_col) == F.col("_gone"), "left_anti")
