@@ -180,22 +180,24 @@ def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, toler
         moved = F.col("rate") - sum((c * F.lit(float(s)) for c, s in zip(p, slope, strict=True)), F.lit(0.0))
         rated = rated.withColumn("rate", F.greatest(F.lit(0.0), moved))
         if step % 8 == 0:
-            rated = materialize(rated, "rates")
+            rated = materialize(rated, "rates", 1_000_000)
     return rated.withColumn("rate", F.round("rate", 6))
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_key, doc_id, n_tokens, p_<domain>, rate and copies (the rate rounded to whole documents)."""
     docs = keyed(docs, id_col, text_col)
-    sample = materialize(labelled_sample(docs, labels, sample_rows), "labelled")
-    members = materialize(posteriors(docs, fit_classifier(sample)), "posteriors")
+    sample = labelled_sample(docs, labels, sample_rows).persist()  # bounded, and read four times
+    model = fit_classifier(sample)
+    sample.unpersist()
+    members = materialize(posteriors(docs, model), "posteriors")
     return fit_rates(members, weights).withColumn("copies", F.floor(F.col("rate") + 0.5).cast("int"))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` as often as its rate says, rounded; rates under one half drop it."""
     rates = document_rates(docs, labels, weights, id_col=id_col, text_col=text_col)
-    changed = materialize(rates.where("copies <> 1").select(F.col("row_key").alias("_key"), F.col("doc_id").alias("_key_id"), F.col("copies").alias("_copies")).distinct(), "copies")
+    changed = materialize(rates.where("copies <> 1").select(F.col("row_key").alias("_key"), F.col("doc_id").alias("_key_id"), F.col("copies").alias("_copies")).distinct(), "copies", 1_000_000)
     same = (F.xxhash64(docs[id_col], docs[text_col]) == F.col("_key")) & docs[id_col].eqNullSafe(F.col("_key_id"))
     joined = docs.join(changed, same, "left")
     repeated = joined.withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.coalesce("_copies", F.lit(1)))))
