@@ -15,7 +15,7 @@ from lexiforge.functions.urls import host, scheme
 
 #: Attributes that a compressed page keeps.
 KEPT_ATTRIBUTES = ["href", "src", "alt", "title", "id", "name", "type", "value", "placeholder", "role", "aria-label", "for", "action", "method", "content", "lang"]
-_DROPPED = {"script", "style", "noscript", "template", "svg", "iframe", "nav", "footer", "header", "aside", "form", "button"}
+_DROPPED = {"head", "script", "style", "noscript", "template", "svg", "iframe", "nav", "footer", "header", "aside", "form", "button"}
 _CONSENT = re.compile(r"cookie|consent|gdpr|newsletter|advert|\bad\b|sponsor|popup|banner", re.I)
 _BLOCKS = {"p", "div", "section", "article", "main", "ul", "ol", "table", "tr", "br", "hr", "blockquote", "pre", *(f"h{i}" for i in range(1, 7)), "li"}
 

@@ -40,7 +40,7 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     level = F.max(F.when(F.col("is_heading"), F.length(F.regexp_extract("words", "^(#{1,6})", 1))).otherwise(0))
     body = F.array_sort(F.collect_list(F.when(~F.col("is_heading"), F.struct("line", "words"))))
     joined = numbered.groupBy("doc_id", "section").agg(level.alias("level"), F.coalesce(title, F.lit("")).alias("heading"), body.alias("lines"))
-    text = F.trim(F.array_join(F.transform("lines", lambda x: x["words"]), "\n"))
+    text = F.regexp_replace(F.array_join(F.transform("lines", lambda x: x["words"]), "\n"), r"^\s+|\s+\z", "")
     out = joined.select("doc_id", "section", "level", "heading", F.trim(F.regexp_replace(F.lower("heading"), "[ \\t]+", " ")).alias("key"), text.alias("body"))
     return out.where((F.col("section") > 0) | (F.col("body") != ""))
 
@@ -137,7 +137,7 @@ def pack(text: str | None, most: int, overlap: int) -> list[dict]:
         held.append(piece)
     if held:
         chunks.append("\n\n".join(held))
-    tails = ["", *(" ".join(c.split()[-overlap:]) if overlap else "" for c in chunks[:-1])]
+    tails = ([""] + [" ".join(c.split()[-overlap:]) if overlap else "" for c in chunks])[: len(chunks)]
     return [{"index": i, "text": c, "tokens": _cost(c), "overlap": t} for i, (c, t) in enumerate(zip(chunks, tails, strict=True))]
 
 

@@ -24,7 +24,7 @@ class CorpusError(Exception):
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """file, url and text of every ``*.md`` below a folder; names that begin with a dot are skipped."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     rows = raw.select(F.col("_metadata.file_path").alias("file"), "value").where(~F.col("file").rlike(r"/\.[^/]"))
     return rows.select("file", front_matter_url(F.col("value")).alias("url"), without_front_matter(F.col("value")).alias("text"))
 
