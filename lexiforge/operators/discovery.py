@@ -95,3 +95,14 @@ def repository_census(paths: DataFrame) -> DataFrame:
     kept = paths.where(~F.exists(F.array(*map(F.lit, EXCLUDED_PATHS)), lambda p: F.contains(low, p)))
     signals = F.array_compact(F.array(*(F.when(F.bool_or(low.rlike(pattern)), F.lit(name)) for name, pattern in SIGNALS)))
     return kept.groupBy("repo").agg(F.count_if(~F.col("path").endswith("/")).alias("files"), F.count_if(F.col("path").endswith("/")).alias("folders"), F.array_join(signals, ",").alias("signals"))
+
+
+def repository_tree(paths: DataFrame) -> DataFrame:
+    """paths (repo, path) with line and position: folders first, then by name, indented by depth."""
+    names = F.filter(F.split("path", "/"), lambda s: s != "")
+    last_is_folder = F.col("path").endswith("/")
+    place = F.transform(names, lambda s, i: F.struct(F.when((i < F.size(names) - 1) | last_is_folder, 0).otherwise(1).alias("file"), s.alias("name")))
+    rows = paths.withColumns({"_place": place, "_n": F.size(names)}).where("_n > 0")
+    line = F.concat(F.repeat(F.lit("  "), F.col("_n") - 1), F.element_at(names, -1), F.when(last_is_folder, "/").otherwise(""))
+    order = Window.partitionBy("repo").orderBy("_place")
+    return rows.withColumns({"line": line, "position": F.row_number().over(order)}).drop("_place", "_n")

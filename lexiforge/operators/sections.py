@@ -151,3 +151,32 @@ def chunk_documents(docs: DataFrame, most: int = 512, overlap: int = 50, id_col:
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(chunks(F.col(text_col))).alias("c"))
     return rows.select("doc_id", "c.*")
+
+
+def pruned(docs: DataFrame, budget: int, query_terms: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and omitted: the best sections of each document that fit nine tenths of the budget, in their order.
+
+    Sections score by the query's terms in them, else by being prose and having words; the best are taken while they fit.
+    """
+    rated = outline(sections(docs, id_col, text_col)).withColumn("cost", F.col("tokens") + estimate_tokens(F.col("heading")))
+    if query_terms:
+        low = F.lower(F.concat_ws(" ", "heading", "body"))
+        score = sum((F.contains(low, F.lit(t.lower())).cast("double") for t in query_terms), F.lit(0.0))
+    else:
+        score = F.when(F.col("prose"), 1.0).otherwise(0.2) * F.log1p("words") + F.when(F.col("section") == 0, 0.5).otherwise(0.0)
+    part = F.struct((-F.round(score, 9)).alias("minus_score"), "section", "cost", "level", "heading", "body")
+    ordered = rated.select("doc_id", part.alias("p")).groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("parts"))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("kept"))
+
+    def take(a, p):
+        fits = a["used"] + p["cost"] <= int(budget * 0.9)
+        return F.struct(F.when(fits, a["used"] + p["cost"]).otherwise(a["used"]).alias("used"), F.when(fits, F.concat(a["kept"], F.array(p["section"].cast("int")))).otherwise(a["kept"]).alias("kept"))
+
+    chosen = ordered.withColumn("kept", F.aggregate("parts", start, take, lambda a: a["kept"]))
+    place = F.array_sort(F.transform("parts", lambda p: F.struct(p["section"].alias("section"), p["level"].alias("level"), p["heading"].alias("heading"), p["body"].alias("body"))))
+    chosen = chosen.withColumn("place", place)
+    stays = lambda p: F.array_contains(F.col("kept"), p["section"].cast("int"))
+    shown = lambda p: F.trim(F.concat_ws("\n", F.when(p["level"] > 0, F.concat(F.repeat(F.lit("#"), p["level"]), F.lit(" "), p["heading"])), p["body"]))
+    text = F.array_join(F.transform(F.filter("place", stays), shown), "\n\n")
+    omitted = F.filter(F.transform(F.filter("place", lambda p: ~stays(p)), lambda p: p["heading"]), lambda h: h != "")
+    return chosen.select("doc_id", text.alias("text"), omitted.alias("omitted"))

@@ -62,3 +62,29 @@ def outcome_windows(events: DataFrame, late: str = "10 minutes", size: str = "1
     window = F.window("ts", size)
     counted = events.withWatermark("ts", late).groupBy(window, "engine").agg(F.count("*").alias("n"), F.count_if("ok").alias("good"), F.sum("latency").alias("latency"))
     return counted.select(F.col("window.start").alias("start"), "engine", "n", "good", "latency")
+
+
+#: Successes at a rung after which a cheaper one is tried again.
+PROBE_AFTER = 10
+_STRATEGY = "domain string, rung int, successes int, probe boolean, failures int"
+
+
+def _strategy(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rung, good, probe, bad = state.get if state.exists else (None, 0, False, 0)
+    for rows in batches:
+        for r in rows.sort_values("seq").itertuples():
+            if not r.ok:
+                bad += 1
+                continue
+            if rung is None or r.rung != rung:  # a cheaper rung that works replaces the old one, a dearer one was needed
+                rung, good, probe = int(r.rung), 0, False
+            good, bad = good + 1, 0
+            if good >= PROBE_AFTER:
+                good, probe = 0, True
+    state.update((rung, good, probe, bad))
+    yield pd.DataFrame({"domain": [key[0]], "rung": pd.array([rung], "Int32"), "successes": [good], "probe": [probe], "failures": [bad]})
+
+
+def strategy_stream(log: DataFrame) -> DataFrame:
+    """log (domain, seq, rung, ok), a stream: the rung that works for each domain, and whether to try a cheaper one."""
+    return log.groupBy("domain").applyInPandasWithState(_strategy, _STRATEGY, "rung int, good int, probe boolean, bad int", "update", GroupStateTimeout.NoTimeout)
