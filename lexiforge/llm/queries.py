@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import chat_format, decontaminate, line_dedup, minhash, mixing, quality, sharding, substring_dedup, suffix_dedup, warc
+from lexiforge.llm import chat_format, decontaminate, line_dedup, minhash, mixing, oracles, quality, sharding, substring_dedup, suffix_dedup, warc
 from lexiforge.llm.common import new_path
 
 
@@ -79,7 +79,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_round_trip": OP1,
+        "op3_substring_dedup": oracles.SUBSTRINGS,
         "op4_chat_preferences": chat_format.ORACLE,
         "op5_line_dedup": line_dedup.ORACLE,
+        "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES,
         "op9_benchmark_decontamination": decontaminate.ORACLE,
+        "op10_quality_rules": oracles.QUALITY,
     }
