@@ -42,7 +42,7 @@ def _quality() -> str:
         parts.append(f"g{k} AS (SELECT doc_id, i, array_to_string(ws[i + 1 : i + {k}], ' ') AS key FROM (SELECT doc_id, ws, unnest(range(len(ws) - {k - 1})) AS i FROM w WHERE len(ws) >= {k}))")
     for k in top:
         parts.append(
-            f"c{k} AS (SELECT doc_id, key, count(*) AS c, count(*) * length(replace(key, ' ', '')) AS chars FROM g{k} GROUP BY ALL HAVING count(*) > 1), "
+            f"c{k} AS (SELECT doc_id, key, count(*) AS c, count(*) * length(replace(key, ' ', '')) AS chars FROM g{k} GROUP BY doc_id, key HAVING count(*) > 1), "
             f"t{k} AS (SELECT doc_id, arg_max(chars, c * 1000000000 + chars)::BIGINT AS v FROM c{k} GROUP BY doc_id)"
         )
     parts.append("r3 AS (SELECT doc_id, i FROM g3 QUALIFY count(*) OVER (PARTITION BY doc_id, key) > 1), n3 AS (SELECT doc_id, count(DISTINCT i + o) AS v FROM r3, range(3) t(o) GROUP BY doc_id)")
