@@ -226,4 +226,5 @@ def _reader(folder: str):
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """The records of the archives that the folder's manifest names, RECORDS."""
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").select("file", "bytes")
-    return files.repartition("file").mapInArrow(_reader(folder), RECORDS)
+    # Rows of the manifest are small, archives are not: a number of partitions that is given is not reduced at run time.
+    return files.repartition(max(1, files.count()), "file").mapInArrow(_reader(folder), RECORDS)
