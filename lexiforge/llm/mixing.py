@@ -1,7 +1,7 @@
 """Soft-membership mixing: rates that bring expected domain token totals to their targets.
 
-A softmax regression on the presence of telling words (chosen by chi-squared), fitted on a bounded sample of
-labelled rows, gives every document its posterior over the domains ``high``,
+A softmax regression on the presence of telling words and beginnings of words (chosen by chi-squared; beginnings
+tell in languages whose telling words are each rare), fitted on a bounded sample of labelled rows, gives every document its posterior over the domains ``high``,
 ``low`` (quality 1 and 0) and ``toxic``. Projected gradient descent then fits
 a nonnegative rate for each document so that the rates times tokens times
 posteriors, summed by domain, meet the targets. The squares are weighted by the inverse of
@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm.common import keyed, materialize
-from lexiforge.llm.rolling import MARKS, Words, chunks
+from lexiforge.llm.rolling import MARKS, Words, chunks, mix
 
 DOMAINS = ("high", "low", "toxic")
-#: The most labelled rows that the classifier is fitted on, and the most words it knows.
-SAMPLE_ROWS, VOCABULARY = 20_000, 256
-#: Words in fewer documents of the sample, or in a smaller share, are left out.
-LEAST_DOCUMENTS, LEAST_SHARE = 3, 0.01
+#: The most labelled rows that the classifier is fitted on, and the most words and beginnings that it knows.
+SAMPLE_ROWS, VOCABULARY = 20_000, 2048
+#: Words and beginnings in fewer documents of the sample are left out.
+LEAST_DOCUMENTS = 3
+#: Bytes that the beginnings of words have.
+BEGINNINGS = range(3, 9)
 #: The fit ends when every total is this near its target, as a share of all tokens.
 TOLERANCE = 0.002
 MOST_ITERATIONS = 60
@@ -45,10 +47,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def _features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each document; document and hash of its words, in lower case, with and without punctuation."""
+    """Words of each document; document and hash of its words, in lower case, with and without punctuation, and of their beginnings."""
     words, bare = Words(data, at, lower=True), Words(data, at, lower=True, space=MARKS)
     n = np.bincount(words.doc, minlength=len(at) - 1).astype(np.int64)
-    return n, np.concatenate([words.doc, bare.doc]), np.concatenate([words.hash, bare.hash])
+    docs, hashes = [words.doc, bare.doc], [words.hash, bare.hash]
+    for k in BEGINNINGS:
+        longer = bare.end - bare.start > k
+        start = bare.start[longer]
+        docs.append(bare.doc[longer])
+        # so much added that no whole word of a few hundred bytes has this hash
+        hashes.append(mix(bare.sums.stretch(start, start + k) + np.uint64(1000 + k)))
+    return n, np.concatenate(docs), np.concatenate(hashes)
 
 
 def _present(data: np.ndarray, at: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +88,8 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each word of a chunk, in how many documents of each domain it is."""
     for batch in batches:
         for i, j, data, at in chunks(batch.column("text")):
             # a word counts once for each document
@@ -88,8 +98,10 @@ def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, doc = h[order], doc[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            domain = batch.column("domain").slice(i, j - i).take(pa.array(doc[new]))
-            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), domain], ["w", "domain"])
+            known, at_word = np.unique(h[new], return_inverse=True)
+            domain = batch.column("domain").slice(i, j - i).to_numpy()[doc[new]]
+            counts = [pa.array(np.bincount(at_word[domain == d], minlength=len(known)).astype(np.int64)) for d in range(len(DOMAINS))]
+            yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), *counts], ["w", *(f"n{d}" for d in range(len(DOMAINS)))])
 
 
 def fit_classifier(sample: DataFrame, vocabulary: int = VOCABULARY, iterations: int = 200, ridge: float = 1e-3) -> Classifier:
@@ -97,13 +109,15 @@ def fit_classifier(sample: DataFrame, vocabulary: int = VOCABULARY, iterations:
     sizes = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     domains = sorted(sizes)
-    counts = sample.mapInArrow(_word_hashes, "w long, domain int").groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n{d}") for d in domains))
+    each = [f"n{d}" for d in range(len(DOMAINS))]
+    parts = sample.select("text", "domain").mapInArrow(_word_counts, "w long, " + ", ".join(f"{c} long" for c in each))
+    counts = parts.groupBy("w").agg(*(F.sum(c).alias(c) for c in each)).withColumn("n", sum((F.col(c) for c in each), F.lit(0)))
     # Chi-squared of a word's documents by domain against the sample's.
     surprise = F.lit(0.0)
     for d in domains:
         expected = F.col("n") * (sizes[d] / total)
         surprise = surprise + (F.col(f"n{d}") - expected) ** 2 / expected
-    telling = counts.where(F.col("n") >= max(LEAST_DOCUMENTS, LEAST_SHARE * total)).withColumn("surprise", F.round(surprise, 6))
+    telling = counts.where(F.col("n") >= LEAST_DOCUMENTS).withColumn("surprise", F.round(surprise, 6))
     top = telling.orderBy(F.desc("surprise"), "w").limit(vocabulary).collect()  # at most ``vocabulary`` rows
     known = np.sort(np.array([r["w"] for r in top], np.int64).view(np.uint64))
 
