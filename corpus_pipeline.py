@@ -3,7 +3,8 @@
 1. quality rules: documents that break a rule of repetition go;
 2. MinHash near-dedup: of every group of near copies the document with the least id stays;
 3. benchmark decontamination: documents with a passage of ``benchmark`` go;
-4. mixing: classifier posteriors and fitted rates; documents whose rate rounds to 0 (toxic ones) go;
+4. mixing: classifier posteriors and fitted rates; documents that are rather toxic go, the others stay, and
+   those of the domain that falls short of its share of the tokens (WEIGHTS) are repeated;
 5. sharding: a uniform shuffle into 16 shards of equal size adds shard and slot.
 """
 
@@ -18,6 +19,9 @@ from lexiforge.llm.mixing import mix_documents
 from lexiforge.llm.quality import filter_quality
 from lexiforge.llm.sharding import shuffle_into_shards
 
+#: The shares of the tokens of wanted domains that the mixing stage brings about.
+WEIGHTS = {"high": 0.7, "low": 0.3}
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filter_quality(docs)
@@ -32,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mix_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,8 @@ BEGINNINGS = range(3, 9)
 #: The fit ends when every total is this near its target, as a share of all tokens.
 TOLERANCE = 0.002
 MOST_ITERATIONS = 60
+#: Of the hash that rounds rates to copies.
+SEED = 6
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -163,12 +165,15 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.mapInArrow(batches, "row_key long, doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, tolerance: float = TOLERANCE, most_iterations: int = MOST_ITERATIONS) -> DataFrame:
+def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, tolerance: float = TOLERANCE, most_iterations: int = MOST_ITERATIONS, least: float = 0.0) -> DataFrame:
     """``members`` (n_tokens, p_<domain>; a stored table) with ``rate``.
 
     ``weights``: of each wanted domain, its share of their tokens; None: what they have now. The targets share out
     what documents hold that are rather not ``toxic``; the target of ``toxic`` is the expectation that these
     documents carry, which no choice of documents could take away.
+
+    ``least``: if above 0, the least rate of documents that are rather not ``toxic``, so that all of them stay. The
+    shares are then met by more tokens (every weight must be above 0), and what is rather ``toxic`` has rate 0.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     k = len(DOMAINS)
@@ -182,35 +187,54 @@ def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, toler
         return members.withColumn("rate", F.lit(1.0))
     if weights is not None:
         share = np.array([weights.get(d, 0.0) for d in DOMAINS], float)[wanted]
+        if least > 0 and share.min() <= 0:
+            raise ValueError("a domain of which all documents stay needs a weight above 0")
         want[wanted] = share / share.sum() * want[wanted].sum()
     inverse = np.linalg.pinv(gram / now.sum())
     rated = members.withColumn("rate", F.lit(1.0))
+    if least > 0:
+        # only the wanted domains are fitted, and only the documents that stay move
+        inverse = np.zeros((k, k))
+        inverse[np.ix_(wanted, wanted)] = np.linalg.pinv(gram[np.ix_(wanted, wanted)] / now.sum())
+        goal = want[wanted] / want[wanted].sum()
+        stays = F.col("p_toxic") < 0.5
+        rated = members.withColumn("rate", F.when(stays, F.lit(max(1.0, least))).otherwise(0.0))
     for step in range(1, most_iterations + 1):
         have = rated.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * c) for c in p)).first()
-        miss = (np.array(have, float) - want) / now.sum()
+        have = np.array(have, float)
+        if least > 0:
+            want = have.copy()
+            want[wanted] = goal * have[wanted].sum()
+        miss = (have - want) / now.sum()
         if np.abs(miss).max() <= tolerance:
             break
         slope = inverse @ miss
         moved = F.col("rate") - sum((c * F.lit(float(s)) for c, s in zip(p, slope, strict=True)), F.lit(0.0))
-        rated = rated.withColumn("rate", F.greatest(F.lit(0.0), moved))
+        moved = F.greatest(F.lit(float(least)), moved)
+        rated = rated.withColumn("rate", F.when(stays, moved).otherwise(0.0) if least > 0 else moved)
         if step % 8 == 0:
             rated = materialize(rated, "rates", 1_000_000)
     return rated.withColumn("rate", F.round("rate", 6))
 
 
-def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_key, doc_id, n_tokens, p_<domain>, rate and copies (the rate rounded to whole documents)."""
+def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """row_key, doc_id, n_tokens, p_<domain>, rate and copies.
+
+    copies is the rate, rounded up as often as its fraction says by a hash of the row, so that the
+    expected totals are those of the rates. Rows that agree in id and text are rounded alike.
+    """
     docs = keyed(docs, id_col, text_col)
     sample = labelled_sample(docs, labels, sample_rows).persist()  # bounded, and read four times
     model = fit_classifier(sample)
     sample.unpersist()
     members = materialize(posteriors(docs, model), "posteriors")
-    return fit_rates(members, weights).withColumn("copies", F.floor(F.col("rate") + 0.5).cast("int"))
+    unit = F.pmod(F.xxhash64("row_key", F.lit(SEED)), F.lit(1 << 30)) / (1 << 30)  # in [0, 1)
+    return fit_rates(members, weights, least=least).withColumn("copies", F.floor(F.col("rate") + unit).cast("int"))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` as often as its rate says, rounded; rates under one half drop it."""
-    rates = document_rates(docs, labels, weights, id_col=id_col, text_col=text_col)
+    """Every row of ``docs`` as often as its copies say. What is rather toxic goes, everything else stays once at least."""
+    rates = document_rates(docs, labels, weights, id_col=id_col, text_col=text_col, least=1.0)
     changed = materialize(rates.where("copies <> 1").select(F.col("row_key").alias("_key"), F.col("doc_id").alias("_key_id"), F.col("copies").alias("_copies")).distinct(), "copies", 1_000_000)
     same = (F.xxhash64(docs[id_col], docs[text_col]) == F.col("_key")) & docs[id_col].eqNullSafe(F.col("_key_id"))
     joined = docs.join(changed, same, "left")

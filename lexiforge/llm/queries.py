@@ -40,7 +40,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The shares of the tokens of wanted domains that op6 mixes to.
-WEIGHTS = {"high": 0.85, "low": 0.15}
+WEIGHTS = {"high": 0.7, "low": 0.3}
 
 
 def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

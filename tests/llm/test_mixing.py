@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm import mixing
 from lexiforge.llm.common import keyed
+from tests.llm.test_others import corpus
 
 DATA = "/root/testdata/sf0.1"
 
@@ -18,3 +19,34 @@ def test_toxic_documents_held_out_in_each_language(spark):
     clean = docs.join(labels.where(held & (F.col("toxic") == 0)).select("doc_id").distinct(), "doc_id")
     share = mixing.posteriors(keyed(clean), model).agg(F.avg((F.col("p_toxic") >= 0.5).cast("int"))).first()[0]
     assert share <= 0.01, share
+
+
+def shares(out, labels):
+    """Shares of the tokens of high and low among labelled rows that are not toxic."""
+    kind = {i: q for i, q, t in labels if not t}
+    total = [0, 0]
+    for r in out.select("doc_id", F.size(F.split("text", " ")).alias("n")).collect():
+        if r.doc_id in kind:
+            total[1 - kind[r.doc_id]] += r.n
+    return total[0] / sum(total)
+
+
+def test_copies_meet_the_targets(spark, documents, tmp_path):
+    rows, labels = corpus(800)
+    # rates of low documents near 1.4, which the nearest whole number would undo
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = mixing.mix_documents(documents(rows), known, {"high": 0.68, "low": 0.32})
+    assert abs(shares(out, labels) - 0.68) < 0.03
+    assert {r.doc_id for r in out.select("doc_id").collect()} == {i for i, _, t in labels if not t}
+    rates = mixing.document_rates(documents(rows), known, {"high": 0.68, "low": 0.32}).agg(*(F.sum(F.col(c) * F.col("n_tokens")) for c in ("rate", "copies"))).first()
+    assert abs(rates[1] / rates[0] - 1) < 0.03
+
+
+def test_pipeline_mixes_to_its_weights(spark, documents, tmp_path):
+    import corpus_pipeline
+
+    rows, labels = corpus(800)
+    few = [(r, x) for r, x in zip(rows, labels, strict=True) if x[1] or x[0] % 2]  # half of the low ones
+    spark.createDataFrame([x for _, x in few], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.mixing(spark, documents([r for r, _ in few]), str(tmp_path))
+    assert abs(shares(out, labels) - corpus_pipeline.WEIGHTS["high"]) < 0.04
