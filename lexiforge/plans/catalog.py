@@ -268,6 +268,12 @@ def paywall_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(F.length("text") > 20_000).select("doc_id", F.size(p["markers"]).cast("long").alias("markers"))
 
 
+@_register()
+def paywalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that the detector says, of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", screening.paywall(F.col("text")).alias("p")).select("doc_id", "p.*")
+
+
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of a page: a conversation's turns, each stored twice in a row."""
     turns = table(spark, sf_dir, "conversations")
