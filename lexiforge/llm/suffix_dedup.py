@@ -1,10 +1,10 @@
 """Suffix-array dedup: bytes inside a string of ``length`` bytes that starts twice.
 
-Distributed prefix doubling over start positions. Positions are named by ranks
-of growing prefixes; those whose rank is unique drop out, the rest are ranked
-again by the pair of their rank and the hash that grows it, until unique or past the
-threshold. To rank all bytes of a corpus one by one would cost a sorted row for
-each, so positions are ranked as runs: first by the least 32-byte piece inside
+Refinement of fingerprints over start positions, in place of prefix doubling: no
+rank is computed and nothing is sorted. Positions are grouped by hashes of
+growing prefixes; those alone in a group drop out, the rest are grouped again by a
+longer prefix, up to the threshold. To rank all bytes of a corpus one by one would cost a sorted row for
+each, so positions are grouped as runs: first by the least 32-byte piece inside
 their window (``windows``), then in blocks of starts (64, then 8, then 1 wide)
 by the prefix that all starts of the block share (``length`` - width + 1 bytes
 from the last of them), which reaches ``length`` at width 1. A block whose shared prefix is
