@@ -14,7 +14,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -28,6 +28,8 @@ def work_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_root is None:
         _local_root = "file://" + tempfile.mkdtemp(prefix="lexiforge-")
     return _local_root
@@ -72,9 +74,10 @@ class WorkTable:
 
     ``rows_per_file``: gathers the rows of small partitions into files of about so many, however
     many partitions a shuffle has left. The rows are kept by the executors while they are counted.
+    ``watch``: a condition; ``watched`` tells whether a row meets it (with ``rows_per_file`` only).
     """
 
-    def __init__(self, df: DataFrame, tag: str, rows_per_file: int | None = None):
+    def __init__(self, df: DataFrame, tag: str, rows_per_file: int | None = None, watch: Column | None = None):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, tag)
         with freed_shuffles(self.spark):
@@ -82,7 +85,8 @@ class WorkTable:
                 df.write.parquet(self.path)
             else:
                 held = df.persist(StorageLevel.MEMORY_AND_DISK)
-                n = held.count()
+                n, met = held.agg(F.count("*"), F.count_if(F.lit(False) if watch is None else watch)).first()
+                self.watched = met > 0
                 held.coalesce(max(1, -(-n // rows_per_file))).write.parquet(self.path)
                 held.unpersist()
         self.schema = df.schema
@@ -119,3 +123,16 @@ def on_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     r = right.withColumnsRenamed({"row_key": "_rk", "doc_id": "_id"})
     out = left.join(r, (F.col("row_key") == F.col("_rk")) & F.col("doc_id").eqNullSafe(F.col("_id")), how)
     return out.drop("_rk", "_id")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(df: DataFrame, id_col: str, text_col: str) -> Column:
+    """What ``keyed`` calls row_key, of the rows of ``df``."""
+    return F.xxhash64(df[id_col], df[text_col])

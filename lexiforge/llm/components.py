@@ -24,10 +24,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         near = links.df.join(labels.df.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("least"))
         lower = labels.df.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "least").alias("label"), F.col("label").alias("was"))
         jumped = lower.join(labels.df.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left")
-        after = WorkTable(jumped.select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"), "labels", NARROW)
-        changed = after.df.where("label <> was").limit(1).count()
+        after = WorkTable(jumped.select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"), "labels", NARROW, F.col("label") != F.col("was"))
         labels.drop()
         labels = after
-        if not changed:
+        if not after.watched:
             links.drop()
             return labels.df.select("node", "label")

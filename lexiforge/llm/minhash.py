@@ -3,16 +3,18 @@
 Every document gets ``BANDS * ROWS`` minima over its set of five-word shingles.
 The full minima of each band make its bucket key; of each minimum only the low
 ``BITS`` bits stay in a packed signature. Documents with equal sets are one
-node. In a bucket the least node is compared with the others: the signatures'
+node. In the buckets of the first ``STAR_BANDS`` bands the least node is compared with the others: the signatures'
 equal lanes, corrected for chance collisions, estimate the similarity, and pairs
 that may reach the threshold are confirmed on the full sets. That connects most
-of a group of copies, which need no further comparison. Buckets in
+of a group of copies, which need no further comparison. Buckets of any band in
 which several components are left form clusters; there the nodes outside the
 largest component are asked against all nodes of the cluster, in blocks, again by
-estimate and then on the full sets. So no link between components that share a
-bucket is missed, and a group of copies costs a few comparisons for each, not one for each pair.
+estimate and then on the full sets. So every link between components that share a
+bucket is found if its estimate is not five standard deviations too low, and a group of
+copies costs a few comparisons for each, not one for each pair.
 
-A pair at the threshold shares no bucket with probability (1 - 0.75**4)**32 = 5e-6.
+A pair at the threshold shares no bucket with probability (1 - 0.75**4)**32 = 5e-6, and is estimated
+under ``LEAST_ESTIMATE`` with probability 1e-6 (binomial with 128 lanes).
 
 Defined results: a null, empty or wordless text has no shingles and is linked
 with nothing; fewer than five words are one shingle; rows with equal doc_id are one
@@ -28,19 +30,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import WorkTable, keyed, materialize, on_key
+from lexiforge.llm.common import keyed, materialize, on_key
 from lexiforge.llm.components import NARROW, components
 from lexiforge.llm.rolling import Words, chunks, mix
 
 SHINGLE = 5
 ROWS, BANDS, BITS = 4, 32, 2
+#: Bands whose buckets are looked at as stars; the rest only where they join different components.
+STAR_BANDS = 8
 LEAST_PERCENT = 75
 #: Pairs estimated below this are not looked at: five standard deviations under the threshold.
 LEAST_ESTIMATE = 0.52
 #: Rows with a signature or a set in a file.
 WIDE = 10_000
-#: Nodes of a block that is asked, and of a block it is compared with.
-ASKED_BLOCK, OTHERS_BLOCK = 256, 2048
+#: Nodes of a block that is asked, and of a block it is compared with, and the most shingles that either is made for.
+ASKED_BLOCK, OTHERS_BLOCK, BLOCK_SHINGLES = 256, 2048, 4_000_000
 
 _random = np.random.Generator(np.random.PCG64(8))
 _TIMES = _random.integers(0, 2**64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -124,6 +128,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle.view(np.int64)))], ["node", "shingles"])
 
 
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and its shingles, of the nodes that are wanted; stored."""
+    places = nodes.select("node", "row_key").join(wanted, "node").select("row_key", F.col("node").alias("doc_id"), "node")
+    texts = on_key(docs, places, "inner")
+    return materialize(texts.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets", WIDE)
+
+
 def estimated_similarity(a: Column, b: Column) -> Column:
     """Of two packed signatures: the share of equal lanes, corrected for equal bits by chance."""
     lanes = ROWS * BANDS
@@ -188,16 +199,19 @@ def _compare_clusters(clusters: DataFrame, labels: DataFrame, nodes: DataFrame,
     blocks: an asked block and a block of the others make one group. Small clusters share groups.
     """
     placed = materialize(clusters.join(labels, "node"), "clustered", NARROW)
-    sizes = placed.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("largest"))
-    sizes = materialize(sizes.select("cluster", "all", (F.col("all") - F.col("largest.n")).alias("questions"), F.col("largest.label").alias("main")).where("questions > 0"), "cluster-sizes", NARROW)
-    small = sizes.where(F.col("all") < ASKED_BLOCK).agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
-    bins = max(1, -(-small // OTHERS_BLOCK))
-    apart = F.col("all") >= ASKED_BLOCK
+    per_label = placed.join(nodes.select("node", "n_shingles"), "node").groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    sizes = per_label.groupBy("cluster").agg(F.sum("n").alias("all"), F.sum("w").alias("weight"), F.max(F.struct("n", "label", "w")).alias("largest"))
+    sizes = sizes.select("cluster", "all", "weight", (F.col("all") - F.col("largest.n")).alias("questions"), (F.col("weight") - F.col("largest.w")).alias("asked_weight"), F.col("largest.label").alias("main"))
+    sizes = materialize(sizes.where("questions > 0"), "cluster-sizes", NARROW)
+    apart = (F.col("all") >= ASKED_BLOCK) | (F.col("weight") >= BLOCK_SHINGLES // 8)
+    small = sizes.where(~apart).agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    bins = max(1, -(-small[0] // OTHERS_BLOCK), -(-small[1] // BLOCK_SHINGLES))
+    blocks = lambda n, most, w: F.when(apart, F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(w) / BLOCK_SHINGLES))).otherwise(1).cast("int")
     known = placed.join(sizes, "cluster").select(
         "*",
         F.when(apart, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(bins))).alias("place"),
-        F.when(apart, F.ceil(F.col("questions") / ASKED_BLOCK)).otherwise(1).cast("int").alias("asked_blocks"),
-        F.when(apart, F.ceil(F.col("all") / OTHERS_BLOCK)).otherwise(1).cast("int").alias("other_blocks"),
+        blocks("questions", ASKED_BLOCK, "asked_weight").alias("asked_blocks"),
+        blocks("all", OTHERS_BLOCK, "weight").alias("other_blocks"),
     )
     keep = ["node", "label", "cluster", "place"]
     asked_block, other_block = F.pmod(F.xxhash64("node"), "asked_blocks").cast("int"), F.pmod(F.xxhash64(F.lit(1), "node"), "other_blocks").cast("int")
@@ -218,23 +232,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "nodes",
         WIDE,
     )
-    spread = nodes.select("node", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = WorkTable(spread.join(materialize(shared, "shared-buckets", NARROW), "key"), "buckets", NARROW)
-    members = buckets.df.select("node").distinct()
-    texts = on_key(docs, nodes.join(members, "node").select("row_key", F.col("node").alias("doc_id"), "node"), "inner")
-    sets = materialize(texts.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets", WIDE)
+    star_rows = nodes.select("node", F.explode(F.slice("bands", 1, STAR_BANDS)).alias("key"))
+    centers = materialize(star_rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center")).where("n > 1").select("key", "center"), "centers", NARROW)
+    stars = materialize(star_rows.join(centers, "key").where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct(), "stars", NARROW)
+    compared = materialize(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "compared", NARROW)
+    sets = _sets_of(docs, nodes, compared)
     brief = nodes.select("node", "sig", "n_shingles")
-    centers = materialize(buckets.df.groupBy("key").agg(F.min("node").alias("center")), "centers", NARROW)
-    stars = buckets.df.join(centers, "key").where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
     links = materialize(_confirm(stars, brief, sets), "links", NARROW)
-    labels = materialize(members.join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels", NARROW)
-    # Buckets in which several components meet, chained to clusters.
-    placed = buckets.df.join(labels, "node")
-    mixed = placed.groupBy("key").agg(F.min("node").alias("u"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key", "u")
-    chains = buckets.df.join(materialize(mixed, "mixed-buckets", NARROW), "key").select("u", F.col("node").alias("v")).distinct()
+    labels = nodes.select("node", "bands").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # Buckets of all bands in which several components meet, chained to clusters.
+    met = labels.select("node", "label", F.explode("bands").alias("key")).groupBy("key").agg(F.min("node").alias("u"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    mixed = materialize(met.where("l0 <> l1").select("key", "u"), "mixed-buckets", NARROW)
+    spread = nodes.select("node", F.explode("bands").alias("key"))
+    chains = spread.join(mixed, "key").select("u", F.col("node").alias("v")).distinct()
     clusters = components(chains).select("node", F.col("label").alias("cluster"))
-    more = materialize(_compare_clusters(clusters, labels, brief, sets), "more-links", NARROW)
+    late = materialize(clusters.select("node").join(compared, "node", "left_anti"), "late", NARROW)
+    sets = sets.unionByName(_sets_of(docs, nodes, late))
+    more = materialize(_compare_clusters(clusters, labels.select("node", "label"), brief, sets), "more-links", NARROW)
     final = components(links.unionByName(more))
     named = materialize(nodes.select(*same, "node").join(final, "node", "left").select(*same, F.coalesce("label", "node").alias("component_id")), "named", NARROW)
     out = rows.select("doc_id", *same).join(named, same, "left")
@@ -245,5 +259,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows of documents that another one of their component stands for."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(materialize(gone, "gone", NARROW), F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = materialize(near_duplicates(docs, id_col, text_col).where("not kept").select("doc_id").distinct(), "gone", NARROW)
+    return docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
