@@ -4,10 +4,11 @@ Every document is a sequence of line IDs (hashes of its lines that are not blank
 a position's rank is the place of its prefix (1 line, then 2, then up to
 ``min_lines``) in the sorted order of all prefixes of that length; the next rank comes from
 sorting the pairs of the rank at the position and the rank at the offset. A
-position whose prefix is unique drops out. Positions with equal rank at
-``min_lines`` form a longest-common-prefix interval of at least that many lines;
-all but its first (by doc_id, then line) start a later copy, and overlapping
-later copies merge into maximal runs.
+position whose prefix is unique drops out. Positions with equal rank at a length form an interval of
+suffixes with a longest common prefix of at least that many lines. All but its first (by doc_id, then line) start a later copy if
+the length is ``min_lines``, or if it is shorter (1, 2, 4 ... lines) and these lines have ``min_chars`` characters together; overlapping
+later copies merge into maximal runs. Longer common prefixes need no rank of their own: they are covered by
+copies that start inside them.
 
 Defined results: a null or empty text has no lines; blank lines (spaces and tabs only) are not looked at and stay;
 of repeated rows the later ones count as copies only under another doc_id or row content; runs never cross documents; other columns are ignored.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from lexiforge.llm.common import keyed, materialize, on_key
 
 MIN_LINES = 3
+#: Fewer lines than that count as a run if they have so many characters (some 30 words).
+MIN_CHARS = 200
 
 
 def _lines(text: Column) -> Column:
@@ -31,30 +34,40 @@ def _ranked(positions: DataFrame, a: str, b: str, tag: str) -> DataFrame:
     """The positions whose pair (a, b) is not unique, with its rank in sorted order and its first position."""
     groups = positions.groupBy(a, b).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "i")).alias("first")).where("n > 1")
     names = materialize(groups.orderBy(a, b).select(a, b, "first", F.monotonically_increasing_id().alias("rank")), f"names-{tag}")
-    return materialize(positions.join(names, [a, b]).select("row_key", "doc_id", "i", "line", "rank", "first"), f"ranked-{tag}")
+    return materialize(positions.join(names, [a, b]).select("row_key", "doc_id", "i", "line", "chars", "rank", "first"), f"ranked-{tag}")
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def _starts(ranked: DataFrame, length: int, least_chars: int = 0) -> DataFrame:
+    """The lines of the later copies among positions ranked at ``length``."""
+    later = ranked.where((F.col("first") != F.struct("doc_id", "row_key", "i")) & (F.col("chars") >= least_chars))
+    return later.select("row_key", "doc_id", F.explode(F.sequence("i", F.col("i") + length - 1)).alias("i"))
+
+
+def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """row_key, doc_id, i (number of the line among those not blank) and line (its number) of the lines to delete."""
     split = docs.select("row_key", "doc_id", F.posexplode(_lines(F.col("text"))).alias("line", "words")).where(~F.col("words").rlike("^[ \\t\\r]*\\z"))
     order = Window.partitionBy("row_key", "doc_id").orderBy("line")
-    numbered = split.select("row_key", "doc_id", "line", F.xxhash64("words").alias("id"), F.xxhash64(F.lit(1), "words").alias("id2")).distinct()
+    numbered = split.select("row_key", "doc_id", "line", F.xxhash64("words").alias("id"), F.xxhash64(F.lit(1), "words").alias("id2"), F.length("words").alias("chars")).distinct()
     lines = materialize(numbered.withColumn("i", F.row_number().over(order) - 1), "lines")
-    at, length = _ranked(lines, "id", "id2", "1"), 1
+    at, length, found = _ranked(lines, "id", "id2", "1"), 1, []
     while length < min_lines:
+        found.append(_starts(at, length, min_chars))
         offset = min(length, min_lines - length)
-        ahead = at.select("row_key", F.col("doc_id").alias("same_doc"), (F.col("i") - offset).alias("i"), F.col("rank").alias("next"))
+        # characters of the longer prefix, as long as its halves do not overlap; after that nobody asks
+        ahead = at.select("row_key", F.col("doc_id").alias("same_doc"), (F.col("i") - offset).alias("i"), F.col("rank").alias("next"), F.col("chars").alias("more"))
         pairs = at.withColumnRenamed("rank", "own").drop("first").join(ahead, ["row_key", "i"]).where(F.col("doc_id").eqNullSafe(F.col("same_doc")))
-        at = _ranked(pairs, "own", "next", str(length + offset))
+        at = _ranked(pairs.withColumn("chars", F.col("chars") + F.col("more")), "own", "next", str(length + offset))
         length += offset
-    starts = at.where(F.col("first") != F.struct("doc_id", "row_key", "i")).select("row_key", "doc_id", F.explode(F.sequence("i", F.col("i") + length - 1)).alias("i")).distinct()
-    return starts.join(lines.select("row_key", "i", "line"), ["row_key", "i"]).select("row_key", "doc_id", "i", "line").distinct()
+    gone = _starts(at, length)
+    for more in found:
+        gone = gone.unionByName(more)
+    return gone.distinct().join(lines.select("row_key", "i", "line"), ["row_key", "i"]).select("row_key", "doc_id", "i", "line").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs, kept_text of each document."""
     docs = keyed(docs, id_col, text_col)
-    gone = later_copies(docs, min_lines)
+    gone = later_copies(docs, min_lines, min_chars)
     order = Window.partitionBy("row_key", "doc_id").orderBy("line")
     runs = gone.withColumn("new_run", F.coalesce(F.col("i") - F.lag("i").over(order) != 1, F.lit(True)).cast("int")).withColumn("gap", F.col("line") - F.coalesce(F.lag("line").over(order), F.lit(-1)) - 1)
     # For each removed line how many kept ones precede it; together they make a mask of the document.
@@ -76,9 +89,10 @@ ORACLE = f"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE length(text) > 0),
 l AS (SELECT doc_id, unnest(w) AS words, unnest(range(len(w))) AS line FROM split),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS i FROM l WHERE NOT regexp_full_match(words, '[ \\t\\r]*')),
-win AS (SELECT doc_id, i, list(words) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {MIN_LINES - 1} FOLLOWING) AS run FROM n),
-f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM win WHERE len(run) = {MIN_LINES}),
-gone AS (SELECT DISTINCT doc_id, i + o AS i FROM f, range({MIN_LINES}) t(o) WHERE k > 1),
+win AS (SELECT doc_id, i, o + 1 AS size, list(words) OVER (PARTITION BY doc_id, o ORDER BY i ROWS BETWEEN CURRENT ROW AND o FOLLOWING) AS run,
+  sum(length(words)) OVER (PARTITION BY doc_id, o ORDER BY i ROWS BETWEEN CURRENT ROW AND o FOLLOWING) AS chars FROM n, (VALUES (0), (1), ({MIN_LINES - 1})) t(o)),
+f AS (SELECT doc_id, i, size, chars, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM win WHERE len(run) = size),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM f, range({MIN_LINES}) t(o) WHERE k > 1 AND o < size AND (size = {MIN_LINES} OR chars >= {MIN_CHARS})),
 marked AS (SELECT n.doc_id, n.line, n.i, n.i - lag(n.i) OVER (PARTITION BY n.doc_id ORDER BY n.i) AS step FROM n JOIN gone USING (doc_id, i)),
 runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE step IS NULL OR step <> 1) AS n_runs FROM marked GROUP BY doc_id),
 kept AS (SELECT l.doc_id, string_agg(l.words, chr(10) ORDER BY l.line) AS t FROM l ANTI JOIN marked ON l.doc_id = marked.doc_id AND l.line = marked.line GROUP BY l.doc_id)
