@@ -1,7 +1,9 @@
 """Deterministic sharded WARC writer, and a reader.
 
-Pages are range-sorted by host-reversed URL and id. Shards are stretches of that order of
-about ``shard_bytes`` of payload; within a shard, files are rolled when their compressed
+Pages are range-sorted by host-reversed URL and id. Shards are the stretches of that order between multiples of
+``shard_bytes`` (with at most ``MOST_SHARDS`` shards; larger tables have larger ones), found by running sums over a narrow
+table; a shard begins with the row whose bytes hold the multiple. Equal rows that fill more than a shard are dealt
+over the shards that begin with them. Within a shard, files are rolled when their compressed
 size reaches ``roll_bytes``. Every record is a gzip member of its own with fresh
 headers and digests, so the same table gives the same bytes in the same files.
 A task writes under a temporary name of its own and reports it; the reports that Spark accepts become the
@@ -19,11 +21,14 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiforge.llm.common import WorkTable, drop_path, materialize
@@ -31,8 +36,10 @@ from lexiforge.llm.common import WorkTable, drop_path, materialize
 SHARD_BYTES = 16 << 20
 ROLL_BYTES = 4 << 20
 LEAST_REVISIT = 100
-#: Of the sorted order, so many rows for each shard are looked at to place the cuts.
-SAMPLES_PER_SHARD = 200
+#: The first rows of so many shards are held by the driver and the tasks.
+MOST_SHARDS = 1 << 16
+#: Bytes that a record has besides its payload, about.
+RECORD_BYTES = 700
 WARC_DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, number int, temporary string, file string, bytes long, records long, sha256 string"
@@ -124,6 +131,50 @@ def _commit(folder: str):
     return rename
 
 
+def _key(place: str, page_id: int | None, row_key: int) -> tuple:
+    """In the order in which Spark sorts: places by their UTF-8 bytes, a null id before all others."""
+    return place.encode(), page_id is not None, page_id or 0, row_key
+
+
+def _first_rows(brief: DataFrame, shard_bytes: int) -> list[tuple]:
+    """Key of the row that each multiple of ``shard_bytes`` falls into, in order; the sums are exact, wherever partitions end."""
+    order = ["place", "page_id", "row_key"]
+    own = F.col("size") + RECORD_BYTES
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            upto = before + np.cumsum(batch.column("own").to_numpy())
+            before = int(upto[-1]) if len(upto) else before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto, pa.int64())], [*batch.schema.names, "upto"])
+
+    ordered = brief.select(*order, own.cast("long").alias("own")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    placed = WorkTable(ordered.mapInArrow(sums, "place string, page_id long, row_key long, own long, part int, upto long"), "running-sums")
+    parts = placed.df.groupBy("part").agg(F.max("upto").alias("bytes"))  # a row for each partition
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("part", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("start"))
+    end = F.col("start") + F.col("upto")
+    held = F.floor((end - 1) / shard_bytes) - F.floor((end - F.col("own") - 1) / shard_bytes)  # multiples in the row's bytes
+    first = placed.df.join(F.broadcast(starts), "part").select(*order, held.alias("held")).where("held > 0").collect()  # at most MOST_SHARDS rows
+    return sorted(_key(r["place"], r["page_id"], r["row_key"]) for r in first for _ in range(r["held"]))
+
+
+def _shard_of(cuts: list[tuple]):
+    """The number of cuts at or before a row; rows that are several cuts are dealt over these shards."""
+
+    @F.pandas_udf("int")
+    def shard(places: pd.Series, ids: pd.Series, keys: pd.Series) -> pd.Series:
+        out = []
+        for k, (place, page_id, row_key) in enumerate(zip(places, ids, keys, strict=True)):
+            key = _key(place, None if pd.isna(page_id) else int(page_id), row_key)
+            last = bisect_right(cuts, key)
+            several = last - bisect_left(cuts, key)
+            out.append(last - k % several if several > 1 else last)
+        return pd.Series(out, dtype="int32")
+
+    return shard
+
+
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """Writes the archives and their manifest into a new folder; returns the manifest."""
     spark = pages.sparkSession
@@ -139,16 +190,11 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     first_urls = materialize(first_urls, "first-urls")
     later = materialize(brief.join(first_urls, "digest").where("page_id > first_id").select("row_key", F.col("page_id").alias("later_id"), "first_id", "first_url").distinct(), "revisits")
 
-    total = brief.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
-    n_shards = max(1, -(-total["b"] // shard_bytes))
-    every = max(1, total["n"] // (n_shards * SAMPLES_PER_SHARD))
-    # The cuts come from a sample that depends on the rows alone; its size is bounded by the number of shards.
-    sample = [(r["place"], r["row_key"]) for r in brief.where(F.pmod("row_key", F.lit(every)) == 0).select("place", "row_key").orderBy("place", "row_key").collect()]
-    cuts = sorted({sample[len(sample) * k // n_shards] for k in range(1, n_shards)} if sample else ())
-    # A page's shard is the number of cuts at or before it.
-    bounds = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in cuts))
-    mine = F.struct(F.col("place").alias("p"), F.col("row_key").alias("q"))
-    sharded = rows.withColumn("shard", F.size(F.filter(bounds, lambda b: b <= mine)) if cuts else F.lit(0))
+    total = brief.agg(F.coalesce(F.sum("size"), F.lit(0)) + F.count("*") * RECORD_BYTES).first()[0]
+    shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
+    n_shards = max(1, -(-total // shard_bytes))
+    cuts = _first_rows(brief, shard_bytes) if n_shards > 1 else []
+    sharded = rows.withColumn("shard", _shard_of(cuts)("place", "page_id", "row_key") if cuts else F.lit(0))
     same = (F.col("row_key") == F.col("late_key")) & (F.col("page_id") == F.col("later_id"))
     told = sharded.join(later.withColumnRenamed("row_key", "late_key"), same, "left")
     ordered = told.repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "place", "page_id", "row_key")
