@@ -142,23 +142,25 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays(columns + [pa.array(counts[c], pa.int64()) for c in COUNTS], names + COUNTS)
 
 
-def _verdict():
-    """Whether no rule of repetition is broken."""
-    ok = F.lit(True)
-    for n, most in TOP_NGRAM_PERCENT.items():
-        ok &= F.col(f"top_{n}_chars") * 100 <= F.col("word_chars") * most
-    for n, most in DUPLICATE_NGRAM_PERCENT.items():
-        ok &= F.col(f"dup_{n}_chars") * 100 <= F.col("word_chars") * most
-    ok &= (F.col("n_dup_lines") < LEAST_DUPLICATE_LINES) | (F.col("n_dup_lines") * 100 <= F.col("n_lines") * DUPLICATE_LINE_PERCENT)
-    return ok & (F.col("dup_line_chars") * 100 <= F.col("word_chars") * DUPLICATE_LINE_CHARS_PERCENT)
+def _clean(c):
+    """Whether no rule of repetition is broken; ``c`` gives the column or array of a count."""
+    ok = (c("n_dup_lines") < LEAST_DUPLICATE_LINES) | (c("n_dup_lines") * 100 <= c("n_lines") * DUPLICATE_LINE_PERCENT)
+    ok &= c("dup_line_chars") * 100 <= c("word_chars") * DUPLICATE_LINE_CHARS_PERCENT
+    for kind, limits in (("top", TOP_NGRAM_PERCENT), ("dup", DUPLICATE_NGRAM_PERCENT)):
+        for n, most in limits.items():
+            ok &= c(f"{kind}_{n}_chars") * 100 <= c("word_chars") * most
+    return ok
+
+
+def _base_failed(c):
+    return (c("n_words") < LEAST_WORDS) | (c("n_repeat_words") * 100 > c("n_words") * REPEAT_WORDS_PERCENT)
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, the counts, base_failed and kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(_measure_batches, f"doc_id long, {SCHEMA}")
-    failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_WORDS_PERCENT)
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & _verdict())
+    return out.withColumn("base_failed", _base_failed(F.col)).withColumn("kept", ~F.col("base_failed") & _clean(F.col))
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -171,19 +173,9 @@ def filter_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in chunks(batch.column(place)):
-                keep = passes(measure_chunk(data, at))
+                counts = measure_chunk(data, at).__getitem__
+                keep = _clean(counts) & ~_base_failed(counts)
                 if keep.any():
                     yield batch.slice(i, j - i).filter(pa.array(keep))
 
     return docs.mapInArrow(passing, docs.schema)
-
-
-def passes(c: dict[str, np.ndarray]) -> np.ndarray:
-    """The same verdict as ``measure`` gives in ``kept``, on arrays."""
-    ok = (c["n_words"] >= LEAST_WORDS) & (c["n_repeat_words"] * 100 <= c["n_words"] * REPEAT_WORDS_PERCENT)
-    for n, most in TOP_NGRAM_PERCENT.items():
-        ok &= c[f"top_{n}_chars"] * 100 <= c["word_chars"] * most
-    for n, most in DUPLICATE_NGRAM_PERCENT.items():
-        ok &= c[f"dup_{n}_chars"] * 100 <= c["word_chars"] * most
-    ok &= (c["n_dup_lines"] < LEAST_DUPLICATE_LINES) | (c["n_dup_lines"] * 100 <= c["n_lines"] * DUPLICATE_LINE_PERCENT)
-    return ok & (c["dup_line_chars"] * 100 <= c["word_chars"] * DUPLICATE_LINE_CHARS_PERCENT)
