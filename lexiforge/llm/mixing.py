@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import keyed, materialize
+from lexiforge.llm.common import free_name, keyed, materialize, on_key, row_key
 from lexiforge.llm.rolling import MARKS, Words, chunks, mix
 
 DOMAINS = ("high", "low", "toxic")
@@ -35,17 +35,23 @@ LEAST_DOCUMENTS = 3
 BEGINNINGS = range(3, 9)
 #: The fit ends when every total is this near its target, as a share of all tokens.
 TOLERANCE = 0.002
-MOST_ITERATIONS = 60
+#: A fit that needs more rounds than this raises an error: its targets cannot be met.
+MOST_ITERATIONS = 200
 #: Of the hash that rounds rates to copies.
 SEED = 6
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text and domain (number) of at most ``rows`` labelled documents, by the order of a hash of the id."""
+    """text and domain (number) of at most ``rows`` labelled documents, by the order of a hash of the id.
+
+    Labels of ids that are not here take no place; of rows with one id the one with the least hash of the text stands for all.
+    """
     one = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.struct("toxic", "quality")).alias("l"))
     domain = F.when(F.col("l.toxic") == 1, 2).when(F.col("l.quality") == 1, 0).otherwise(1)
-    picked = one.select(F.col("doc_id").cast("long").alias("id"), domain.alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("text", "domain")  # at most ``rows`` rows
+    keys = docs.groupBy("doc_id").agg(F.min("row_key").alias("row_key")).join(one.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain")), "doc_id")
+    picked = keys.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = on_key(docs, F.broadcast(picked), "inner")  # at most ``rows`` rows
+    return found.dropDuplicates(["doc_id"]).select("text", "domain")
 
 
 def _features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,6 +220,8 @@ def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, toler
         rated = rated.withColumn("rate", F.when(stays, moved).otherwise(0.0) if least > 0 else moved)
         if step % 8 == 0:
             rated = materialize(rated, "rates", 1_000_000)
+    else:
+        raise ValueError(f"after {most_iterations} rounds a domain's tokens are {np.abs(miss).max():.4f} of all tokens from their target")
     return rated.withColumn("rate", F.round("rate", 6))
 
 
@@ -235,8 +243,7 @@ def document_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float]
 def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` as often as its copies say. What is rather toxic goes, everything else stays once at least."""
     rates = document_rates(docs, labels, weights, id_col=id_col, text_col=text_col, least=1.0)
-    changed = materialize(rates.where("copies <> 1").select(F.col("row_key").alias("_key"), F.col("doc_id").alias("_key_id"), F.col("copies").alias("_copies")).distinct(), "copies", 1_000_000)
-    same = (F.xxhash64(docs[id_col], docs[text_col]) == F.col("_key")) & docs[id_col].eqNullSafe(F.col("_key_id"))
-    joined = docs.join(changed, same, "left")
-    repeated = joined.withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.coalesce("_copies", F.lit(1)))))
-    return repeated.select(*(f"`{c}`" for c in docs.columns))
+    changed = materialize(rates.where("copies <> 1").select("row_key", "doc_id", "copies").distinct(), "copies", 1_000_000)
+    same = (row_key(docs, id_col, text_col) == changed["row_key"]) & docs[id_col].eqNullSafe(changed["doc_id"])
+    each = F.array_repeat(F.lit(1), F.coalesce(changed["copies"], F.lit(1)))
+    return docs.join(changed, same, "left").select(*(docs[f"`{c}`"] for c in docs.columns), F.explode(each).alias(free_name(docs, "copy"))).drop(free_name(docs, "copy"))

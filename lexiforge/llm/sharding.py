@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import WorkTable, materialize
+from lexiforge.llm.common import WorkTable, free_name, materialize
 
 ROWS_PER_BLOCK = 20_000
 MAX_BLOCKS = 4096
@@ -75,17 +75,13 @@ def shard_rows(rows: DataFrame, n_shards: int = 16, seed: int = 17, rows_per_blo
     )
 
 
-def _random(docs: DataFrame, id_col: str, seed: int) -> DataFrame:
-    row = F.monotonically_increasing_id()
-    who = F.coalesce(F.col(id_col).cast("long"), row)
-    return docs.select("*", row.alias("_row"), F.xxhash64(F.lit(seed), who).alias("_u"), F.xxhash64(F.lit(seed + 1), who).alias("_v"))
-
-
 def assign_shards(docs: DataFrame, n_shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", **blocks) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row; texts are read once and not moved."""
     raw = F.coalesce(F.encode(F.col(text_col).cast("string"), "UTF-8"), F.lit(b""))
     digests = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    rows = materialize(_random(digests, "doc_id", seed), "shard-rows")
+    row = F.monotonically_increasing_id()
+    who = F.coalesce("doc_id", row)
+    rows = materialize(digests.select("*", row.alias("_row"), F.xxhash64(F.lit(seed), who).alias("_u"), F.xxhash64(F.lit(seed + 1), who).alias("_v")), "shard-rows")
     out = shard_rows(rows, n_shards, seed, **blocks)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -96,8 +92,9 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 16, seed: int = 17, id_
     A partition holds rows of one stretch of a shard, in slot order.
     """
     docs = docs.drop("shard", "slot")
-    stored = WorkTable(_random(docs, id_col, seed), "shard-input")
-    rows = stored.df.select("_row", "_u", "_v")
-    where = shard_rows(rows, n_shards, seed, **blocks)
-    moved = stored.df.drop("_u", "_v").join(where, "_row")
-    return moved.select(*docs.columns, F.col("shard").cast("int").alias("shard"), "slot")
+    row = free_name(docs, "_row")
+    stored = WorkTable(docs.select("*", F.monotonically_increasing_id().alias(row)), "shard-input")
+    who = F.coalesce(F.col(id_col).cast("long"), F.col(row))
+    rows = stored.df.select(F.col(row).alias("_row"), F.xxhash64(F.lit(seed), who).alias("_u"), F.xxhash64(F.lit(seed + 1), who).alias("_v"))
+    where = shard_rows(rows, n_shards, seed, **blocks).withColumnRenamed("_row", row)
+    return stored.df.join(where, row).select(*(f"`{c}`" for c in docs.columns), F.col("shard").cast("int").alias("shard"), "slot")
