@@ -71,6 +71,20 @@ def brute_words(rows, n):
     return out
 
 
+def test_suffix_dedup_at_the_default_length(documents):
+    """Passages of 399, 400 and 401 bytes, runs of one letter, a copy inside the same document, multi-byte characters."""
+    rng = random.Random(11)
+    noise = lambda k: "".join(rng.choice("abcdefghij klmnop") for _ in range(k))
+    p = noise(401)
+    rows = [(0, noise(50) + p[:399] + "X"), (1, p[:400] + noise(90)), (2, noise(700) + p), (3, "z" * 1500), (4, "z" * 420), (5, "y" + "z" * 398)]
+    rows += [(6, "é" * 300 + noise(20)), (7, "a" + "é" * 205), (8, noise(600)), (9, None), (10, "")]
+    block = noise(450)
+    rows += [(11, block + noise(30) + block), (12, noise(5000)), (13, rows[8][1]), (13, rows[8][1])]
+    out = suffix_dedup.dedup_strings(documents(rows))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted(brute_bytes(rows, 400), key=repr)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_substring_dedup(documents, seed):
     rows = texts(seed)
@@ -126,22 +140,36 @@ def test_near_duplicates(documents, monkeypatch, seed, blocks):
     assert {r.doc_id for r in kept} == {r.doc_id for r in out if r.kept} and kept[0].row_key == 1
 
 
-def brute_lines(rows, n):
+def brute_lines(rows, n, least_chars=200):
     lines = [(i, t.split("\n") if t else []) for i, t in rows]
     full = [(i, [(k, x) for k, x in enumerate(ls) if x.strip(" \t\r")]) for i, ls in lines]
+    sizes = {n} | {1 << k for k in range(n) if 1 << k < n}
     first = {}
     for d, (i, ls) in enumerate(full):
-        for p in range(len(ls) - n + 1):
-            first.setdefault(tuple(x for _, x in ls[p : p + n]), (d, p))
+        for size in sizes:
+            for p in range(len(ls) - size + 1):
+                first.setdefault(tuple(x for _, x in ls[p : p + size]), (d, p))
     out = []
     for d, (i, ls) in enumerate(full):
-        gone = {q for p in range(len(ls) - n + 1) if first[tuple(x for _, x in ls[p : p + n])] != (d, p) for q in range(p, p + n)}
+        gone = set()
+        for size in sizes:
+            for p in range(len(ls) - size + 1):
+                run = tuple(x for _, x in ls[p : p + size])
+                if first[run] != (d, p) and (size == n or sum(map(len, run)) >= least_chars):
+                    gone |= set(range(p, p + size))
         runs = sum(q - 1 not in gone for q in gone)
         out_lines = {ls[q][0] for q in gone}
         out.append((i, len(lines[d][1]), len(gone), runs, "\n".join(x for k, x in enumerate(lines[d][1]) if k not in out_lines)))
     return out
 
 
+def test_line_dedup_of_one_and_two_long_lines(documents):
+    long, half, other = "é" * 200, "h " * 50, "o " * 50
+    rows = [(0, f"{long}\na"), (1, f"b\n{long}"), (2, long), (3, f"{half}\n{other}\nc"), (4, f"d\n{half}\n\n{other}"), (5, half), (6, long[1:])]
+    out = sorted((r.doc_id, r.n_lines, r.n_removed, r.n_runs, r.kept_text) for r in line_dedup.dedup_lines(documents(rows)).collect())
+    assert out == sorted(brute_lines(rows, 3)) and [r[2] for r in out] == [0, 1, 1, 0, 2, 0, 0]
+
+
 def test_line_dedup(documents):
     rng = random.Random(5)
     rows = [(0, None), (1, ""), (2, "\n\n"), (3, "a\nb\n\nc\nd"), (4, "x\na\nb\nc\nd\ny"), (5, "a\nb\nc\na\nb\nc\na\nb\nc"), (6, "z" * 10)]
