@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from lexiforge.llm import line_dedup, minhash, substring_dedup, suffix_dedup
+from lexiforge.llm.components import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -140,6 +141,22 @@ def test_near_duplicates(documents, monkeypatch, seed, blocks):
     assert {r.doc_id for r in kept} == {r.doc_id for r in out if r.kept} and kept[0].row_key == 1
 
 
+@pytest.mark.parametrize("kind", ["path", "shuffled path", "random", "none"])
+def test_components(spark, kind):
+    rng = random.Random(2)
+    order = list(range(60))
+    if kind != "path":
+        rng.shuffle(order)
+    edges = {"none": [], "random": [(rng.randrange(90), rng.randrange(90)) for _ in range(70)]}.get(kind, list(zip(order, order[1:])))
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted((r.node, r.label) for r in got) == sorted(label.items())
+
+
 def brute_lines(rows, n, least_chars=200):
     lines = [(i, t.split("\n") if t else []) for i, t in rows]
     full = [(i, [(k, x) for k, x in enumerate(ls) if x.strip(" \t\r")]) for i, ls in lines]
