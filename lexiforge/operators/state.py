@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Failures in a row that block, and how long (seconds) by reason.
 BLOCK_AFTER, COOLDOWN, COOLDOWN_CONNECTION = 2, 600, 120
+#: The same for the engine that is worth waiting for.
+PATIENT_ENGINE, PATIENT_BLOCK_AFTER, PATIENT_COOLDOWN = "google", 6, 60
 
 
 def versions(stores: DataFrame, key: str, at: str, content: str) -> DataFrame:
@@ -76,8 +78,9 @@ def engine_health(log: DataFrame) -> DataFrame:
     since = log.join(F.broadcast(good), "engine", "left").where(~F.col("ok") & (F.col("last_ok").isNull() | (order > F.col("last_ok"))))  # a row for each engine
     tail = since.groupBy("engine").agg(F.count("*").alias("consecutive"), F.max_by(F.struct("at", "reason"), order).alias("last"))
     out = totals.join(tail, "engine", "left").withColumn("consecutive", F.coalesce("consecutive", F.lit(0)))
-    pause = F.when(F.col("last.reason") == "connection", COOLDOWN_CONNECTION).otherwise(COOLDOWN)
-    until = F.when(F.col("consecutive") >= BLOCK_AFTER, F.timestamp_seconds(F.unix_timestamp("last.at") + pause))
+    patient = F.col("engine") == PATIENT_ENGINE
+    pause = F.when(patient, PATIENT_COOLDOWN).when(F.col("last.reason") == "connection", COOLDOWN_CONNECTION).otherwise(COOLDOWN)
+    until = F.when(F.col("consecutive") >= F.when(patient, PATIENT_BLOCK_AFTER).otherwise(BLOCK_AFTER), F.timestamp_seconds(F.unix_timestamp("last.at") + pause))
     return out.select("engine", "successes", "failures", "consecutive", "latency_sum", "n", F.col("last.reason").alias("last_reason"), until.alias("blocked_until"))
 
 
@@ -89,13 +92,16 @@ def reliability(health: DataFrame) -> DataFrame:
 
 
 def queue_state(ops: DataFrame, tries: int = 3) -> DataFrame:
-    """ops (url, path, seq, op): one entry for each path with its status; the last operation decides."""
-    failed = F.count_if(F.col("op") == "fail").alias("retries")
-    last = ops.groupBy("path").agg(F.min_by("url", "seq").alias("url"), failed, F.max_by("op", "seq").alias("op"))
+    """ops (url, path, seq, op): one entry for each path with its status, and how often it was added again.
+
+    The last operation but ``add`` decides: to add what is there already counts as a duplicate and changes nothing.
+    """
+    failed, again = F.count_if(F.col("op") == "fail").alias("retries"), F.greatest(F.count_if(F.col("op") == "add") - 1, F.lit(0)).alias("duplicates")
+    last = ops.groupBy("path").agg(F.min_by("url", "seq").alias("url"), failed, again, F.max_by("op", F.when(F.col("op") != "add", F.col("seq"))).alias("op"))
     status = (
         F.when(F.col("op") == "complete", "completed").when((F.col("op") == "fail") & (F.col("retries") >= tries), "failed").when(F.col("op") == "next", "in_progress").otherwise("queued")
     )
-    return last.select("path", "url", "retries", status.alias("status"))
+    return last.select("path", "url", "retries", "duplicates", status.alias("status"))
 
 
 def queue_stats(entries: DataFrame) -> DataFrame:

@@ -9,21 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lexiforge.operators.state import BLOCK_AFTER, COOLDOWN, COOLDOWN_CONNECTION
+from lexiforge.operators.state import BLOCK_AFTER, COOLDOWN, COOLDOWN_CONNECTION, PATIENT_BLOCK_AFTER, PATIENT_COOLDOWN, PATIENT_ENGINE
 
 _HEALTH = "engine string, successes long, failures long, consecutive long, blocked_until timestamp"
 
 
 def _health(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     good, bad, run, until = state.get if state.exists else (0, 0, 0, None)
+    patient = key[0] == PATIENT_ENGINE
     for rows in batches:
         for r in rows.sort_values(["at", "seq"]).itertuples():
             if r.ok:
                 good, run, until = good + 1, 0, None
             else:
                 bad, run = bad + 1, run + 1
-                if run >= BLOCK_AFTER:
-                    until = int(r.at.timestamp()) + (COOLDOWN_CONNECTION if r.reason == "connection" else COOLDOWN)
+                if run >= (PATIENT_BLOCK_AFTER if patient else BLOCK_AFTER):
+                    until = int(r.at.timestamp()) + (PATIENT_COOLDOWN if patient else COOLDOWN_CONNECTION if r.reason == "connection" else COOLDOWN)
     state.update((good, bad, run, until))
     when = pd.Timestamp(until, unit="s") if until is not None else pd.NaT
     yield pd.DataFrame({"engine": [key[0]], "successes": [good], "failures": [bad], "consecutive": [run], "blocked_until": [when]})
@@ -45,6 +46,8 @@ def _queue(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     for rows in batches:
         for r in rows.sort_values("seq").itertuples():
             url = url or r.url
+            if r.op == "add":  # what is there already stays as it is
+                continue
             if r.op == "fail":
                 retries += 1
             status = {"next": "in_progress", "complete": "completed"}.get(r.op, "failed" if r.op == "fail" and retries >= 3 else "queued")
