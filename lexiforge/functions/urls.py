@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Query parameters that only track the visitor.
 TRACKING_PREFIX = "utm_"
@@ -146,6 +150,33 @@ def is_private_ipv4(ip: Column) -> Column:
     return F.coalesce(~valid, F.lit(True)) | (private & ~number.isin([ipv4_number(x) for x in PUBLIC_ANYCAST]))
 
 
+#: Prefixes of addresses whose last four bytes are an IPv4 address.
+_NAT64 = (ipaddress.IPv6Address("64:ff9b::").packed[:12], ipaddress.IPv6Address("::").packed[:12])
+
+
+@F.pandas_udf(BooleanType())
+def _is_private_ipv6(ips: pd.Series) -> pd.Series:
+    """An address that carries an IPv4 address is as private as that one; addresses that are not global are private."""
+
+    def one(text: str | None) -> bool:
+        try:
+            ip = ipaddress.IPv6Address((text or "").strip("[]").split("%")[0])
+        except ValueError:
+            return True
+        inner = ip.ipv4_mapped or ip.sixtofour or (ip.teredo or (None, None))[1]
+        if inner is None and ip.packed[:12] in _NAT64:
+            inner = ipaddress.IPv4Address(ip.packed[12:])
+        return not ip.is_global or ip.is_multicast or (inner is not None and (not inner.is_global or inner.is_multicast))
+
+    return ips.map(one)
+
+
+def is_private_ip(ip: Column) -> Column:
+    """True for IPv4 and IPv6 addresses that are not public, and for what is no address; only IPv6 goes through Python."""
+    six = ip.contains(":")
+    return F.when(six, _is_private_ipv6(F.when(six, ip))).otherwise(is_private_ipv4(ip))
+
+
 def is_private_host(name: Column) -> Column:
     h = F.lower(name)
     local = h.isin("localhost") | h.endswith(".localhost") | h.endswith(".local") | h.endswith(".internal")

@@ -106,3 +106,39 @@ def repository_tree(paths: DataFrame) -> DataFrame:
     line = F.concat(F.repeat(F.lit("  "), F.col("_n") - 1), F.element_at(names, -1), F.when(last_is_folder, "/").otherwise(""))
     order = Window.partitionBy("repo").orderBy("_place")
     return rows.withColumns({"line": line, "position": F.row_number().over(order)}).drop("_place", "_n")
+
+
+#: Files that tell how a repository is built, and what they stand for.
+SIGNALS = {
+    "docker": [(r"^(Dockerfile|docker-compose\.(yml|yaml)|\.dockerignore)$", "yes")],
+    "ci": [
+        (r"^\.github/workflows/", "GitHub Actions"), (r"^\.gitlab-ci\.yml$", "GitLab CI"), (r"^Jenkinsfile$", "Jenkins"), (r"^\.circleci/", "CircleCI"),
+        (r"^\.travis\.yml$", "Travis CI"), (r"^azure-pipelines\.yml$", "Azure Pipelines"), (r"^bitbucket-pipelines\.yml$", "Bitbucket Pipelines"),
+    ],
+    "tests": [
+        (r"^jest\.config\.", "Jest"), (r"^vitest\.config\.", "Vitest"), (r"^playwright\.config\.", "Playwright"), (r"^cypress\.config\.", "Cypress"),
+        (r"^(.*/)?conftest\.py$", "pytest"), (r"^pytest\.ini$", "pytest"), (r"^\.mocharc\.", "Mocha"), (r"^karma\.conf\.", "Karma"),
+    ],
+    "monorepo": [(r"^lerna\.json$", "Lerna"), (r"^nx\.json$", "Nx"), (r"^turbo\.json$", "Turborepo"), (r"^pnpm-workspace\.yaml$", "pnpm workspaces"), (r"^rush\.json$", "Rush")],
+    "managers": [
+        (r"(^|/)package-lock\.json$", "npm"), (r"(^|/)yarn\.lock$", "yarn"), (r"(^|/)pnpm-lock\.yaml$", "pnpm"), (r"(^|/)bun\.lockb$", "bun"), (r"(^|/)uv\.lock$", "uv"),
+        (r"(^|/)poetry\.lock$", "poetry"), (r"(^|/)Pipfile\.lock$", "pipenv"), (r"(^|/)Cargo\.lock$", "cargo"), (r"(^|/)Gemfile\.lock$", "bundler"),
+    ],
+    "security": [(r"^SECURITY\.md$", "SECURITY.md"), (r"^\.env$", ".env committed"), (r"^\.github/dependabot\.(yml|yaml)$", "Dependabot")],
+}
+
+
+def repository_signals(paths: DataFrame) -> DataFrame:
+    """paths (repo, path; folders end with a slash): of each repository the sorted labels of each kind of signal.
+
+    Only files count, but for a folder of tests where no test tool is named. Labels are few, so a large repository gathers a short set.
+    """
+    file = ~F.col("path").endswith("/")
+    labels = lambda kind: F.array_compact(F.array(*(F.when(file & F.col("path").rlike(p), F.lit(name)) for p, name in SIGNALS[kind])))
+    per_path = paths.select("repo", *(labels(kind).alias(kind) for kind in SIGNALS), F.col("path").rlike("^(__tests__|tests?|spec)/").alias("in_tests"), (file & F.col("path").endswith("/package.json")).alias("package"))
+    union = lambda kind: F.array_sort(F.array_distinct(F.flatten(F.collect_set(kind)))).alias(kind)
+    out = per_path.groupBy("repo").agg(*(union(kind) for kind in SIGNALS), F.max("in_tests").alias("in_tests"), F.count_if("package").alias("packages"))
+    none = lambda kind: F.size(kind) == 0
+    tests = F.when(none("tests") & F.col("in_tests"), F.array(F.lit("(test dir present)"))).otherwise(F.col("tests"))
+    mono = F.when(none("monorepo") & (F.col("packages") > 1), F.array(F.lit("multi-package"))).otherwise(F.col("monorepo"))
+    return out.withColumns({"tests": tests, "monorepo": mono}).drop("in_tests", "packages")

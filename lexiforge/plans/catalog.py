@@ -224,7 +224,12 @@ def stance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query", "supporting", "conflicting", "neutral", F.when(F.col("verdict") == "insufficient_evidence", "insufficient_evidence").otherwise("other").alias("class"))
 
 
-@_register()
+@_register(f"""WITH {_STANCE}, v AS (SELECT query, count(*) FILTER (WHERE label = 'supporting') AS supporting, count(*) FILTER (WHERE label = 'conflicting') AS conflicting, count(*) FILTER (WHERE label = 'neutral') AS neutral,
+ floor(sum(greatest(strength, 0)) * 1000 + 0.5) / 1000 AS support_score, floor(-sum(least(strength, 0)) * 1000 + 0.5) / 1000 AS conflict_score FROM st GROUP BY query)
+SELECT *, CASE WHEN supporting = 0 AND conflicting = 0 THEN 'insufficient_evidence'
+ WHEN conflicting = 0 THEN CASE WHEN support_score >= {research.STRONG_SCORE} AND supporting >= {research.STRONG_COUNT} THEN 'supported' ELSE 'likely_supported' END
+ WHEN supporting = 0 THEN CASE WHEN conflict_score >= {research.STRONG_SCORE} AND conflicting >= {research.STRONG_COUNT} THEN 'likely_false' ELSE 'contested' END
+ WHEN support_score > conflict_score * {research.DOMINANCE} THEN 'likely_supported' WHEN conflict_score > support_score * {research.DOMINANCE} THEN 'likely_false' ELSE 'contested' END AS verdict FROM v""")
 def stance_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research.verdicts(stances(spark, sf_dir))
 
@@ -262,10 +267,13 @@ def bot_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", w["type"].alias("wall"), w["confidence"].alias("confidence"))
 
 
-@_register("SELECT doc_id, (" + " + ".join(f"CASE WHEN contains(lower(text), '{t.replace(chr(39), chr(39) * 2)}') THEN 1 ELSE 0 END" for t, _ in screening.PAYWALL_MARKERS) + ")::BIGINT AS markers FROM documents WHERE length(text) > 20000")
+_SCAN = f"CASE WHEN length(text) > {screening.WHOLE_FROM} THEN lower(text) ELSE substr(lower(text), 1, {screening.HEAD}) || chr(10) || right(lower(text), {screening.TAIL}) END"
+
+
+@_register(f"WITH s AS (SELECT doc_id, {_SCAN} AS low FROM documents) SELECT doc_id, (" + " + ".join(f"CASE WHEN contains(low, '{t.replace(chr(39), chr(39) * 2)}') THEN 1 ELSE 0 END" for t, _ in screening.PAYWALL_MARKERS) + " + " + " + ".join(f"CASE WHEN contains(lower(text), '{t}') THEN 1 ELSE 0 END" for t, _, _ in screening.PAYWALL_VENDORS) + ")::BIGINT AS markers FROM s JOIN documents USING (doc_id)")
 def paywall_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = screening.paywall(F.col("text"))
-    return table(spark, sf_dir, "documents").where(F.length("text") > 20_000).select("doc_id", F.size(p["markers"]).cast("long").alias("markers"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(p["markers"]).cast("long").alias("markers"))
 
 
 @_register()
@@ -329,7 +337,7 @@ def engine_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register("""WITH o AS (SELECT user_id AS path, event_id, CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'next' WHEN 'signup' THEN 'add' WHEN 'purchase' THEN 'complete' ELSE 'fail' END AS op FROM events),
-l AS (SELECT path, arg_max(op, event_id) AS op, count(*) FILTER (WHERE op = 'fail') AS r FROM o GROUP BY path),
+l AS (SELECT path, arg_max(op, event_id) FILTER (WHERE op <> 'add') AS op, count(*) FILTER (WHERE op = 'fail') AS r FROM o GROUP BY path),
 s AS (SELECT CASE WHEN op = 'complete' THEN 'completed' WHEN op = 'fail' AND r >= 3 THEN 'failed' WHEN op = 'next' THEN 'in_progress' ELSE 'queued' END AS status FROM l)
 SELECT count(*) FILTER (WHERE status = 'queued') AS queued, count(*) FILTER (WHERE status = 'in_progress') AS in_progress, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) AS total FROM s""")
 def queue_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

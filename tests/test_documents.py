@@ -61,7 +61,7 @@ def test_screening(spark):
     out = df.orderBy("i").select(screening.secret_types(F.col("t")).alias("s"), screening.injection(F.col("t")).alias("j"), screening.redact(F.col("t")).alias("r")).collect()
     assert out[0].s == ["AWS Access Key ID"] and out[2].s == ["Password in URL"] and out[3].s == []
     assert out[1].j.name == "instruction-override" and out[3].j is None
-    assert out[2].r == "https://u:[REDACTED]@h.org" and out[3].r == "plain words" and out[4].r == "token = [REDACTED]"
+    assert out[2].r == "https://u:[REDACTED:password]@h.org" and out[3].r == "plain words" and out[4].r == "token = [REDACTED:token]"
 
 
 def test_walls(spark):
