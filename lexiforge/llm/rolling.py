@@ -25,7 +25,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 #: Bytes of text that one chunk holds, unless a single document is longer.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 class _Powers:
