@@ -197,7 +197,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     sharded = rows.withColumn("shard", _shard_of(cuts)("place", "page_id", "row_key") if cuts else F.lit(0))
     same = (F.col("row_key") == F.col("late_key")) & (F.col("page_id") == F.col("later_id"))
     told = sharded.join(later.withColumnRenamed("row_key", "late_key"), same, "left")
-    ordered = told.repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "place", "page_id", "row_key")
+    ordered = told.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "place", "page_id", "row_key")
     written = ordered.select("shard", "page_id", "url", "payload", "first_id", "first_url").mapInArrow(_writer(folder, roll_bytes), MANIFEST)
     manifest = WorkTable(written, "warc-files")
     committed = manifest.df.repartition(max(1, n_shards), "file").mapInArrow(_commit(folder), MANIFEST)
