@@ -48,6 +48,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     """
     one = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.struct("toxic", "quality")).alias("l"))
     domain = F.when(F.col("l.toxic") == 1, 2).when(F.col("l.quality") == 1, 0).otherwise(1)
+    docs = keyed(docs)
     keys = docs.groupBy("doc_id").agg(F.min("row_key").alias("row_key")).join(one.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain")), "doc_id")
     picked = keys.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = on_key(docs, F.broadcast(picked), "inner")  # at most ``rows`` rows
