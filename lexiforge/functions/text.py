@@ -44,10 +44,13 @@ def estimate_tokens(text: Column) -> Column:
 
 def clean_for_terms(text: Column) -> Column:
     """Lower case, without code, link targets, tags and punctuation."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, by in ((r"(?s)```.*?```", " "), (r"`[^`]+`", " "), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", " "), (r"<[^>]+>", " "), (r"[^a-z0-9_ \t\n\r\f\x0B-]", " ")):
+    low = F.lower(F.coalesce(text, F.lit("")))
+    plain = lambda t: F.regexp_replace(t, r"[^a-z0-9_ \t\n\r\f\x0B-]", " ")
+    t = low
+    for pattern, by in ((r"(?s)```.*?```", " "), (r"`[^`]+`", " "), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", " "), (r"<[^>]+>", " ")):
         t = F.regexp_replace(t, pattern, by)
-    return t
+    # texts without code, links and tags are searched for punctuation only
+    return F.when(low.contains("`") | low.contains("](") | low.contains("<"), plain(t)).otherwise(plain(low))
 
 
 def terms(text: Column, least: int = 2, stop_words: list[str] | None = None) -> Column:
