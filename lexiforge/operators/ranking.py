@@ -152,13 +152,13 @@ def profile_bonus(matches: Column) -> Column:
     return F.aggregate(matches, F.lit(0), lambda a, m: a + m["weight"])
 
 
-def merge_hits(hits: DataFrame) -> DataFrame:
-    """hits (query, engine, rank, url, title, snippet, domain, weight): one row for each query and canonical URL.
+def merge_hits(hits: DataFrame, key: Column | None = None) -> DataFrame:
+    """hits (query, engine, rank, url, title, snippet, domain, weight): one row for each query and canonical URL, or ``key``.
 
     weights of all entries add up, each further entry adds consensus, and the
     heaviest entry (the first on ties) gives title, snippet and domain.
     """
-    keyed = hits.withColumn("key", canonical_url(F.col("url")))
+    keyed = hits.withColumn("key", canonical_url(F.col("url")) if key is None else key)
     best = F.max_by(F.struct("title", "snippet", "domain"), F.struct("weight", (-F.col("rank")).alias("r"), "engine"))
     merged = keyed.groupBy("query", "key").agg(F.sum("weight").alias("weights"), F.count("*").alias("entries"), F.array_sort(F.collect_set("engine")).alias("engines"), best.alias("best"))
     return merged.select(
@@ -189,8 +189,24 @@ def rank_results(hits: DataFrame, profile: str | list[dict] | None = None, domai
 
     The BM25 part is only added to the 30 best of a query by the other parts. A site's rows beyond the cap go to the end.
     """
+    return _placed(merge_hits(hits), profile, domain_cap, limit).select("query", "position", "url", "domain", "source_type", "score")
+
+
+def rank_in_two_stages(hits: DataFrame, others: DataFrame, profile: str | list[dict] | None = None, domain_cap: int = DOMAIN_CAP, limit: int | None = None) -> DataFrame:
+    """``rank_results`` of what web engines found (``hits``) and of what other providers found (``others``).
+
+    The engines' hits are merged by their URLs as they stand and ranked first. That list then counts as one engine,
+    ``http``, of weight 1, and is merged with the others by canonical URL and scored anew.
+    """
+    first = _placed(merge_hits(hits, F.col("url")), profile, domain_cap, None)
+    web = first.select("query", F.lit("http").alias("engine"), F.col("position").alias("rank"), "url", "title", "snippet", "domain", F.lit(1).alias("weight"))
+    both = web.unionByName(others.select("query", "engine", "rank", "url", "title", "snippet", "domain", "weight"))
+    return rank_results(both, profile, domain_cap, limit)
+
+
+def _placed(rows: DataFrame, profile: str | list[dict] | None, domain_cap: int, limit: int | None) -> DataFrame:
+    """Merged hits with source_type, score and position."""
     rules = PROFILES.get(profile.lower()) if isinstance(profile, str) else profile
-    rows = merge_hits(hits)
     rows = rows.withColumn("source_type", source_type(F.col("domain"), F.col("title"), F.col("url")))
     score = F.col("engine_score") + TYPE_WEIGHT * type_priority(F.col("source_type")) + F.when(prefers(F.col("query"), F.col("domain")), PREFERRED_BONUS).otherwise(0)
     if rules:
@@ -203,7 +219,7 @@ def rank_results(hits: DataFrame, profile: str | list[dict] | None = None, domai
     out = diversify(rows, ["query"], [F.desc("score"), F.col("url")], F.col("domain"), domain_cap)
     if limit is not None:
         out = out.where(F.col("position") <= limit)
-    return out.select("query", "position", "url", "domain", "source_type", "score")
+    return out
 
 
 def diversify(rows: DataFrame, within: list[str], order: list, site: Column, cap: int = DOMAIN_CAP) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.operators import bm25, sections
+from lexiforge.operators import bm25, ranking, sections
 
 
 def answer(pages: DataFrame, query: str, k: int = 5, most_tokens: int = 300, id_col: str = "page_id") -> DataFrame:
@@ -17,6 +17,24 @@ def answer(pages: DataFrame, query: str, k: int = 5, most_tokens: int = 300, id_
     return top.join(named, ["file", "chunk"])
 
 
+def answer_each(pages: DataFrame, query: str, k: int = 3, most_tokens: int = 512, overlap: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, answer and omitted: of each page its own k best chunks for the query, in the page's order.
+
+    Chunks are rated with the overlap before them but shown without it; each stands under its last heading. Ties go to the
+    earlier chunk. Pages without a chunk have no row; ``omitted`` counts the chunks that are left out.
+    """
+    chunks = sections.chunk_documents(pages, most_tokens, overlap, id_col, text_col)
+    named = bm25.breadcrumbs(chunks.withColumnsRenamed({"doc_id": "file", "index": "chunk"})).withColumnsRenamed({"file": "doc_id", "chunk": "index"})
+    asked = named.withColumn("query", F.lit(query))
+    rated = ranking.relevance(asked, ["doc_id", "index"], "query", F.concat_ws("\n\n", F.nullif("overlap", F.lit("")), "text"), ["doc_id"])
+    rows = named.join(rated, ["doc_id", "index"], "left").withColumn("score", F.round(F.coalesce("relevance", F.lit(0.0)), 9))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "index"))
+    shown = F.concat(F.when(F.coalesce("heading", F.lit("")) != "", F.concat(F.lit("> **"), F.trim("heading"), F.lit("**\n\n"))).otherwise(""), "text")
+    rows = rows.withColumn("place", place).withColumn("shown", F.when(F.col("place") <= k, F.struct("index", shown.alias("text"))))
+    out = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("shown")).alias("parts"), F.count("*").alias("n"))  # k chunks
+    return out.select("doc_id", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n---\n\n").alias("answer"), (F.col("n") - F.size("parts")).alias("omitted"))
+
+
 def context_package(pages: DataFrame, id_col: str, most_total: int = 500_000, most_page: int = 50_000, text_col: str = "text", block: int = 1000) -> DataFrame:
     """id and part of the pages that fit, in id order, each cut to ``most_page`` characters.
 
