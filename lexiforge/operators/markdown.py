@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -127,6 +128,51 @@ def clean_markdown(texts: pd.Series) -> pd.Series:
     return texts.map(tidy, na_action="ignore")
 
 
+_CODE_MARK = re.compile(r"[ \t]{0,3}(`{3}|~{3})")
+_STYLE, _STYLE_END = re.compile(r"<style\b[^>]*>", re.IGNORECASE), re.compile(r"</style\s*>", re.IGNORECASE)
+#: At-rules of style sheets.
+_AT_RULE = re.compile(r"@(media|supports|keyframes|import|font-face|page|charset|namespace|layer|container|scope|property|document)\b", re.IGNORECASE)
+_DECLARES, _SELECTS = re.compile(r"[a-z-]+\s*:", re.IGNORECASE), re.compile(r"[.#:\[>@~+]")
+_RULE = re.compile(r"(?P<selector>[^{}]+)\{(?P<body>[^{}]*)\}")
+
+
+def _style_free(lines: list[tuple[int, str]]) -> Iterator[int]:
+    """The numbers of the lines that are no part of a style sheet: of a style element, an at-rule with its braces, or a rule on one line."""
+    rest = iter(lines)
+    depth = lambda x: x.count("{") - x.count("}")
+    for number, line in rest:
+        bare = line.strip()
+        rule = _RULE.fullmatch(bare)
+        at_rule = _AT_RULE.match(bare) and "{" in bare and (_SELECTS.search(bare) or _DECLARES.search(bare))
+        if _STYLE.search(line):
+            if not _STYLE_END.search(line):
+                next((k for k, inner in rest if _STYLE_END.search(inner)), None)
+        elif at_rule and depth(bare) >= -1:
+            left = depth(bare)
+            while left > 0 and (after := next(rest, None)):
+                left += depth(after[1])
+        elif not (rule and _SELECTS.search(rule["selector"].strip()) and _DECLARES.search(rule["body"])):
+            yield number
+
+
+def unstyled(text: str) -> str:
+    """The text without style sheets that stand between its lines; code fences (closed by any mark of their kind) stay."""
+    lines, mark, code = list(enumerate(text.split("\n"))), "", set()
+    for k, line in lines:
+        found = _CODE_MARK.match(line)
+        if found or mark:
+            code.add(k)
+        if found and mark in ("", found[1]):
+            mark = "" if mark else found[1]
+    kept = code.union(_style_free([x for x in lines if x[0] not in code]))
+    return "\n".join(line for k, line in lines if k in kept)
+
+
+@F.pandas_udf(StringType())
+def without_styles(texts: pd.Series) -> pd.Series:
+    return texts.map(unstyled, na_action="ignore")
+
+
 def difference(old: list[str], new: list[str]) -> tuple[list[str], list[str], int]:
     """Added lines, removed lines and the number of common ones, by a longest common subsequence.
 

@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.functions.text import estimate_tokens, word_count
+from lexiforge.functions.text import estimate_tokens, word_count, words
 
 _FRONT = r"(?s)\A---[ \t]*\r?\n(.*?\r?\n)?---[ \t]*(?:\r?\n|\z)"
 #: Headings that say little about a page.
-LOW_VALUE_HEADINGS = ["references", "external links", "see also", "further reading", "notes", "bibliography", "navigation", "contents", "table of contents"]
+LOW_VALUE_HEADINGS = ["references", "external links", "see also", "categories", "notes", "bibliography", "further reading", "footer", "navigation", "menu"]
 
 
 def front_matter(markdown: Column) -> Column:
@@ -25,6 +25,12 @@ def without_front_matter(markdown: Column) -> Column:
     return F.regexp_replace(markdown, _FRONT, "")
 
 
+def without_wrapper(markdown: Column) -> Column:
+    """Without front matter and without the lines that mark where foreign text begins and ends."""
+    lines = F.split(without_front_matter(markdown), "\n")
+    return F.array_join(F.filter(lines, lambda x: ~x.rlike(r"^\s*\[UNTRUSTED WEB CONTENT (START|END)\]\s*$")), "\n")
+
+
 def front_matter_url(markdown: Column) -> Column:
     found = F.regexp_extract(front_matter(markdown), r"(?m)^url:[ \t]*[\"']?([^\"'\r\n]+)", 1)
     return F.nullif(F.trim(found), F.lit(""))
@@ -45,17 +51,30 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.where((F.col("section") > 0) | (F.col("body") != ""))
 
 
+def says_little(heading: Column) -> Column:
+    """Whether a heading is one of those that stand over lists of links and the like."""
+    bare = F.regexp_replace(F.lower(F.trim(heading)), r"[\s.:]+$", "")
+    return F.regexp_replace(bare, r"\s+", " ").isin(LOW_VALUE_HEADINGS)
+
+
+def mostly_not_prose(body: Column) -> Column:
+    """Whether more than half of the words are addresses or pieces of style sheets."""
+    all_words = words(body)
+    odd = lambda w: w.rlike(r"^((?i)https?://|(?i)www\.)|[{};]|^[.#][a-zA-Z_]") | (w.rlike("(?i)^[a-z-]+:[a-z0-9#.!%]") & w.rlike(r"(?i)\d|%|px|em|rem|#[0-9a-f]"))
+    return F.size(F.filter(all_words, odd)) * 2 > F.size(all_words)
+
+
 def outline(parts: DataFrame) -> DataFrame:
     """``sections`` with words, tokens and whether a section is worth reading."""
-    prose = ~F.col("key").isin(LOW_VALUE_HEADINGS)
+    prose = ~says_little(F.col("heading")) & ~mostly_not_prose(F.col("body"))
     return parts.withColumns({"words": word_count(F.col("body")), "tokens": estimate_tokens(F.col("body")), "prose": prose})
 
 
-def frugal_section(parts: DataFrame) -> DataFrame:
-    """Of each document the section to show first: the longest that is prose, the earliest on ties."""
+def frugal_section(parts: DataFrame, *more: str) -> DataFrame:
+    """Of each document the section to show first: the longest that is prose, the earliest on ties; without prose the first one. ``more``: further columns."""
     rated = outline(parts)
-    pick = F.max_by(F.struct("section", "heading", "words"), F.struct("prose", "words", (-F.col("section")).alias("early")))
-    return rated.groupBy("doc_id").agg(pick.alias("p")).select("doc_id", "p.*")
+    best = F.struct("prose", F.when(F.col("prose"), F.col("words")).otherwise(0).alias("size"), (-F.col("section")).alias("early"))
+    return rated.groupBy("doc_id").agg(F.max_by(F.struct("section", "heading", "words", *more), best).alias("p")).select("doc_id", "p.*")
 
 
 def section_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import urls as U
-from lexiforge.operators import decisions, discovery, markdown, ranking, screening, serp, verticals
+from lexiforge.operators import decisions, discovery, envelopes, markdown, previews, ranking, screening, sections, serp, verticals
 from lexiforge.plans import compose
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,6 +365,118 @@ def site_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verticals.render_answers(rows).select("page_id", "vertical", "markdown")
 
 
+_STYLED = {
+    "a\n.box > p { margin: 0 }\nb": "a\nb",
+    "if (x) { y }\nx.y { z }": "if (x) { y }\nx.y { z }",  # no declaration
+    "a\n@media (max-width: 9px) {\n.x { top: 0 }\n}\nb": "a\nb",
+    "@media print { .x { top: 0 } }\nb\n@media is a word": "b\n@media is a word",
+    "a <STYLE type=x>\n.x {\n</style> c\nb": "b",  # both lines of the element go whole
+    "<style>.x{}</style>\nb": "b",
+    "```css\n.x { top: 0 }\n~~~\n```\n#id { top: 0 }\nb": "```css\n.x { top: 0 }\n~~~\n```\nb",
+    "<style>\n```\nkept\n```\n.x {": "```\nkept\n```",
+    "@supports (a:b) {\nnever closed": "",
+    "": "",
+    None: None,
+}
+
+
+@_register(_expected("documents", "doc_id", {"plain": list(_STYLED.values())}))
+def style_free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", markdown.without_styles(_planted("doc_id", list(_STYLED))).alias("plain"))
+
+
+_FIELDS = {
+    "access_token=abc, x=1": "access_token=[redacted-credential], x=1",
+    "Authorization: Bearer": "Authorization: [redacted-authorization]",
+    "{'sessionId': 'it\\'s', \"n\": 2}": "{'sessionId': '[redacted-id]', \"n\": 2}",
+    'cookie: {"a": ["}", 1]} then': "cookie: [redacted-credential] then",
+    "msg \\\"client id\\\": \\\"x y\\\" end": "msg \\\"client id\\\": \\\"[redacted-id]\\\" end",
+    'password: "never closed, x=1': 'password: "[redacted-credential]',
+    "tokens: abc": "tokens: abc",
+    "the target moved": "the target [redacted-id]",
+    "client secret": "client secret",
+    "mytoken=abc": "mytoken=abc",
+    "": "",
+    None: None,
+}
+
+
+@_register(_expected("pages", "page_id", {"scrubbed": list(_FIELDS.values())}))
+def scrubbed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", envelopes.scrub_text(_planted("page_id", list(_FIELDS))).alias("scrubbed"))
+
+
+_ID = "01234567-89ab-4def-8123-456789abcdef"
+_RECORDS = {
+    '{"requestId": "' + _ID + '", "a": {"requestId": "' + _ID + '"}}': '{"requestId":"' + _ID + '","a":{"requestId":"[redacted-id]"}}',
+    '{"requestId": 7, "pwd": null, "ok": true}': '{"requestId":"[redacted-id]","pwd":"[redacted-credential]","ok":true}',
+    '[{"auth": {"x": 1}, "note": "token=abc"}]': '[{"auth":"[redacted-authorization]","note":"token=[redacted-credential]"}]',
+    "failed, lease=9": "failed, lease=[redacted-id]",
+    "{}": "{}",
+    None: None,
+}
+
+
+@_register(_expected("pages", "page_id", {"scrubbed": list(_RECORDS.values())}))
+def scrubbed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", envelopes.scrub_record(_planted("page_id", list(_RECORDS))).alias("scrubbed"))
+
+
+_FRONTS = {
+    "---\nurl: a\nauthor: b\n language: c\ntitle: d\n---\nauthor: e": "---\nurl: a\ntitle: d\n---\nauthor: e",
+    "---\nsite: a\n---": "---\n\n---",
+    "x\n---\nsite: a\n---": "x\n---\nsite: a\n---",
+    "---\nsite: a": "---\nsite: a",
+    None: None,
+}
+
+
+@_register(_expected("documents", "doc_id", {"shown": list(_FRONTS.values())}))
+def short_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", previews.short_front_matter(_planted("doc_id", list(_FRONTS))).alias("shown"))
+
+
+_BODIES = {
+    "[1]": "JSON payload omitted (3 chars).\nJSON array: 1 item",
+    ' {"a": [1, 2], "b": {"c": 1}, "d": null, "e": "x", "f": 2.5, "g": true, "h": 1} ': (
+        "JSON payload omitted (80 chars).\nJSON object: 7 top-level keys\nKeys: a, b, d, e, f, g, h\n- a: 2 items\n- b: object (c)\n- d: null\n- e: string\n- f: number\n- g: boolean"
+    ),
+    "---\nurl: x\n---\n```json\n{}\n```\n": "JSON payload omitted (30 chars).\nJSON object: 0 top-level keys\nKeys: ",
+    '{"content": "[1, 2]", "contentLength": 6}': "JSON payload omitted (41 chars).\nJSON array: 2 items",
+    "{broken": None,
+    "plain": None,
+    None: None,
+}
+
+
+@_register(_expected("pages", "page_id", {"preview": list(_BODIES.values())}))
+def json_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", previews.json_preview(_planted("page_id", list(_BODIES))).alias("preview"))
+
+
+_BODY_WORDS = [("References:", "some words", True, False), ("See  also", ".a { color:#fff } x", True, True), ("Usage", "https://x.org see here", False, False), ("Menu items", "margin:0 www.x.org end", False, True), ("", "", False, False)]
+
+
+@_register(_expected("documents", "doc_id", {"little": [x[2] for x in _BODY_WORDS], "odd": [x[3] for x in _BODY_WORDS]}))
+def section_worth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heading, body = (_planted("doc_id", [x[k] for x in _BODY_WORDS]) for k in (0, 1))
+    return _table(spark, sf_dir, "documents").select("doc_id", sections.says_little(heading).alias("little"), sections.mostly_not_prose(body).alias("odd"))
+
+
+@_register(rf"""WITH n AS (SELECT doc_id, text, {_COUNT} AS n FROM documents WHERE length(text) + length(doc_id::VARCHAR) + 71 > 6000)
+SELECT doc_id, (n + 13)::INT AS words, 'Outline: ' || (n + 13) || ' words, 2 sections' || chr(10) || '- Doc ' || doc_id || ' (' || (n + 7) || ')' || chr(10) || '  - End (2)' AS outline,
+ 'Doc ' || doc_id AS heading FROM n""")
+def long_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return previews.frugal_previews(_structured(spark, sf_dir)).drop("excerpt")
+
+
+@_register("SELECT page_id, url, page_id % 3 > 0 AS ok, CASE page_id % 3 WHEN 0 THEN 'no result recorded' END AS error FROM pages")
+def filled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    results = pages.where("page_id % 3 > 0").select("page_id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+    return previews.backfilled(pages, results, "page_id")
+
+
 @_register()
 def two_stage_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as hits of three web engines, and again as hits of a provider that writes their addresses with a tracking parameter."""
