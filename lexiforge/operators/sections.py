@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.functions.text import estimate_tokens, word_count, words
+from lexiforge.functions.text import CJK, SPACE, SPECIAL, estimate_tokens, word_count, words
 
 _FRONT = r"(?s)\A---[ \t]*\r?\n(.*?\r?\n)?---[ \t]*(?:\r?\n|\z)"
 #: Headings that say little about a page.
@@ -99,65 +99,122 @@ def within_budget(chunks: DataFrame, budget: int, by: list[str]) -> DataFrame:
     return run.where((F.col("upto") <= budget) | (F.col("nth") == 1)).drop("nth")
 
 
-def _blocks(text: str) -> list[str]:
-    """Paragraphs; a fence and all it holds is one block."""
-    blocks, lines, fence = [], [], ""
-    for line in text.splitlines():
-        mark = re.match(r"\s*(`{3,}|~{3,})", line)
-        if fence:
-            if mark and mark[1].startswith(fence) and not line.strip().strip(fence[0]):
-                fence = ""
-        elif mark:
-            fence = mark[1]
-        elif not line.strip():
-            if lines:
-                blocks.append("\n".join(lines))
-            lines = []
-            continue
-        lines.append(line)
-    return blocks + ["\n".join(lines)] * bool(lines)
+_GAP, _SENTENCE = re.compile(SPACE + "+"), re.compile(r"(?<=[.!?])\s+")
+_SPECIAL, _CJK = re.compile(SPECIAL), re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), CJK))
+_MARK = re.compile(r"[ \t]*(`{3,}|~{3,})")
 
 
-def _cost(text: str) -> int:
-    """As ``estimate_tokens`` for plain words: one for a short word, a quarter of the letters of a long one."""
-    return sum(1 if len(w) <= 7 else -(-len(w) // 4) for w in text.split())
+def _word_cost(word: str) -> int:
+    n = len(word)
+    if n <= 7 and word.isascii() and word.isalnum():
+        return 1
+    if len(_CJK.findall(word)) * 2 > n or len(_SPECIAL.findall(word)) > n * 0.4:
+        return n
+    return 1 if n <= 7 else -(-n // 4)
 
 
-def _pieces(block: str, most: int) -> Iterator[str]:
-    """Parts of a block that fit: lines of a fence with the fence around, else sentences, else words."""
-    if _cost(block) <= most:
-        yield block
-        return
-    fenced = re.match(r"\s*(`{3,}|~{3,})[^\n]*\n", block)
-    if fenced:
-        parts, join, head, tail = block[fenced.end() :].splitlines(), "\n", fenced[0], "\n" + fenced[1]
-        parts = parts[:-1] if parts and not parts[-1].strip().strip(fenced[1][0]) else parts
-    else:
-        parts, join, head, tail = re.split(r"(?<=[.!?])\s+", block), " ", "", ""
-        parts = [w for s in parts for w in ([s] if _cost(s) <= most else s.split())]
+def cost(text: str) -> int:
+    """As ``estimate_tokens``."""
+    return max(1, sum(_word_cost(w) for w in _GAP.split(text) if w)) if text else 0
+
+
+def _marked(lines: list[str]) -> Iterator[tuple[str, str, bool]]:
+    """Each line with the mark of the fence that is open after it (or empty), and whether the line opens it."""
+    fence = ""
+    for line in lines:
+        mark = _MARK.match(line)
+        opens = bool(mark and not fence)
+        if opens:
+            fence = mark[1]
+        elif mark and mark[1].startswith(fence) and not line.strip().strip(fence[0]):
+            fence = ""
+        yield line, fence, opens
+
+
+def _blocks(text: str) -> Iterator[str]:
+    """Parts between blank lines; a fence begins a part of its own, and blank lines inside of it do not end it."""
     held: list[str] = []
-    for part in parts:
-        if held and _cost(join.join([*held, part])) > most:
-            yield head + join.join(held) + tail
+    for line, fence, opens in _marked(text.splitlines()):
+        blank = not fence and not line.strip()
+        if held and (opens or blank):
+            yield "\n".join(held)
             held = []
-        held.append(part)
+        if not blank:
+            held.append(line)
     if held:
-        yield head + join.join(held) + tail
+        yield "\n".join(held)
 
 
-def pack(text: str | None, most: int, overlap: int) -> list[dict]:
-    """Greedy chunks of at most ``most`` tokens, with the tail of the one before as overlap."""
-    chunks: list[str] = []
+def _packed(units: Iterable[str], most: int, joiner: str, split: Callable[[str, int], Iterator[str]]) -> Iterator[str]:
+    """Units together as long as they and what joins them fit; one that does not fit is split, and its parts stand alone."""
     held: list[str] = []
-    for piece in (p for block in _blocks(text or "") for p in _pieces(block, most)):
-        if held and _cost("\n\n".join([*held, piece])) > most:
-            chunks.append("\n\n".join(held))
-            held = []
-        held.append(piece)
+    used, gap = 0, cost(joiner)
+    for unit in units:
+        n = cost(unit)
+        if held and used + gap + n > most:
+            yield joiner.join(held)
+            held, used = [], 0
+        if n > most:
+            yield from split(unit, most)
+        else:
+            used += n + (gap if held else 0)
+            held.append(unit)
     if held:
-        chunks.append("\n\n".join(held))
-    tails = ([""] + [" ".join(c.split()[-overlap:]) if overlap else "" for c in chunks])[: len(chunks)]
-    return [{"index": i, "text": c, "tokens": _cost(c), "overlap": t} for i, (c, t) in enumerate(zip(chunks, tails, strict=True))]
+        yield joiner.join(held)
+
+
+def _code_word_parts(word: str, most: int) -> Iterator[str]:
+    size = 4 * most if all(cost(word[k : k + 4 * most]) <= most for k in range(0, len(word), 4 * most)) else most
+    yield from (word[k : k + size] for k in range(0, len(word), size))
+
+
+def _code_line_parts(line: str, most: int) -> Iterator[str]:
+    yield from _packed(re.findall(r"\s*\S+", line), most, "", _code_word_parts)
+
+
+def _parts(block: str, most: int) -> Iterator[str]:
+    """Of a block that does not fit: sentences, else words, else stretches of characters; of a fence its lines, each part with the fence around.
+
+    A block of at most four characters for each token stays whole if it is prose. A fence whose marks leave no room holds one token.
+    """
+    if _MARK.match(block):
+        lines = list(_marked(block.split("\n")))
+        head, mark = lines[0][0], lines[0][1]
+        last = next((k for k, (_, fence, _) in enumerate(lines) if not fence), len(lines))
+        room = max(1, most - cost(head) - cost(mark))
+        for part in _packed((x[0] for x in lines[1:last]), room, "\n", _code_line_parts):
+            yield f"{head}\n{part}\n{mark}"
+        after = "\n".join(x[0] for x in lines[last + 1 :])
+        yield from _packed([after] if after else [], most, "\n\n", _parts)
+        return
+    if len(block) <= 4 * most:
+        yield block
+        return
+    for between in (_SENTENCE, _GAP):
+        units = [x for x in between.split(block) if x]
+        if len(units) > 1:
+            yield from _packed(units, most, " ", _parts)
+            return
+    yield from (block[k : k + 4 * most] for k in range(0, len(block), 4 * most))
+
+
+def _tail(text: str, overlap: int, most: int) -> str:
+    """The end of a chunk, from a word on, without a fence that it only closes."""
+    n = 4 * min(overlap, most)
+    tail = text[-n:] if n > 0 else ""
+    gap = re.search(r"\s", tail)
+    if len(text) > n and gap and gap.start():
+        tail = tail[gap.end() :]
+    while tail and list(_marked(tail.split("\n")))[-1][1]:
+        tail = tail.partition("\n")[2]
+    return tail
+
+
+def pack(text: str | None, most: int, overlap: int) -> list[dict]:
+    """Greedy chunks of at most ``most`` tokens, each with the tail of the one before as overlap."""
+    chunks = list(_packed(_blocks(text or ""), most, "\n\n", _parts))
+    tails = ["", *(_tail(c, overlap, most) for c in chunks[:-1])]
+    return [{"index": i, "text": c, "tokens": cost(c), "overlap": t} for i, (c, t) in enumerate(zip(chunks, tails))]
 
 
 def chunk_documents(docs: DataFrame, most: int = 512, overlap: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

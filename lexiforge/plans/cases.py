@@ -477,6 +477,23 @@ def filled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return previews.backfilled(pages, results, "page_id")
 
 
+_CHUNKED = {
+    "One two three.\n\nFour five six.\n\n\nSeven": "One two three.|Four five six.|Seven",
+    "One two.\nthree\n\nfour": "One two.\nthree\n\nfour",  # three, one for the gap, and one
+    "word ```\n```\na b c d\n```\nend": "word ```|```\na\n```|```\n b\n```|```\n c\n```|```\n d\n```|end",
+    "A long sentence of words. Another one with words.": "A long|sentence of|words.|Another one with words.",  # words with a gap of one between them, while the second sentence fits
+    "": None,
+    None: None,
+}
+
+
+@_register("SELECT * FROM (" + _expected("documents", "doc_id", {"chunks": list(_CHUNKED.values())}) + ") WHERE chunks IS NOT NULL")
+def chunk_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sections.chunk_documents(_table(spark, sf_dir, "documents").select("doc_id", _planted("doc_id", list(_CHUNKED)).alias("text")), 5, 5)
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "text"))).alias("c"))
+    return listed.select("doc_id", F.array_join(F.transform("c", lambda x: x["text"]), "|").alias("chunks"))
+
+
 @_register()
 def two_stage_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as hits of three web engines, and again as hits of a provider that writes their addresses with a tracking parameter."""

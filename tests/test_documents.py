@@ -3,7 +3,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexiforge.operators import html, screening, sections
-from lexiforge.operators.sections import _cost, pack
+from lexiforge.functions.text import estimate_tokens
+from lexiforge.operators.sections import cost, pack
 
 
 def test_front_matter_and_sections(spark):
@@ -29,10 +30,24 @@ def test_chunks():
 def test_chunks_fit_and_keep_all_words(parts, most):
     text = " ".join(parts)
     chunks = pack(text, most, 0)
-    # a fence around a part, or one long word, may go beyond
-    assert all(_cost(c["text"]) <= most + 2 or len(c["text"].split()) <= 3 for c in chunks)
-    words = lambda t: sorted(w for w in t.split() if "`" not in w)
-    assert words(text) == words(" ".join(c["text"] for c in chunks))
+    marks = lambda t: cost(t.split("\n")[0]) + cost(t.split("\n")[-1]) if t.lstrip().startswith("```") else 0
+    assert all(c["tokens"] <= max(most, marks(c["text"]) + 1) or len(c["text"]) <= 4 * most for c in chunks)
+    letters = lambda t: "".join(t.replace("`", "").split())
+    left = iter(letters(" ".join(c["text"] for c in chunks)))
+    assert all(x in left for x in letters(text))  # all letters in order; fences are opened again with their first line
+    if "```" not in text:
+        assert sorted(text.split()) == sorted(" ".join(c["text"] for c in chunks).split())
+
+
+def test_chunks_of_code_long_words_and_cjk(spark):
+    assert [c["text"] for c in pack("```py\n" + "a" * 60 + "\n```\nafter", 10, 0)] == ["```py\n" + "a" * n + "\n```" for n in (8,) * 7 + (4,)] + ["after"]
+    assert [c["text"] for c in pack("x" * 50, 5, 0)] == ["x" * 20, "x" * 20, "x" * 10]
+    assert [c["overlap"] for c in pack("one two three\n\nfour five six", 3, 2)] == ["", "three"]
+    assert [c["overlap"] for c in pack("```\na b c d\n```\n\nfour five six seven", 10, 3)] == ["", ""]
+    assert len(pack("word " * 200_000, 512, 50)) > 700 and len(pack("x" * 2_000_000, 512, 0)) == 977
+    texts = ["", "a", "international", "型検査を無効", "{}[]();x", "ab{}", "word " * 9, " \n", "été-ñandú!"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", estimate_tokens(F.col("t")).alias("n")).collect()
+    assert [r.n for r in rows] == [cost(r.t) for r in rows]
 
 
 def test_html(spark):
