@@ -478,8 +478,8 @@ def filled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CHUNKED = {
-    "One two three.\n\nFour five six.\n\n\nSeven": "One two three.|Four five six.|Seven",
-    "One two.\nthree\n\nfour": "One two.\nthree\n\nfour",  # three, one for the gap, and one
+    "One two three.\n\nFour five six.\n\n\nSeven": "One two three.|Four five six.\n\nSeven",  # three, one for the gap, and one are five
+    "One two.\nthree\n\nfour": "One two.\nthree\n\nfour",
     "word ```\n```\na b c d\n```\nend": "word ```|```\na\n```|```\n b\n```|```\n c\n```|```\n d\n```|end",
     "A long sentence of words. Another one with words.": "A long|sentence of|words.|Another one with words.",  # words with a gap of one between them, while the second sentence fits
     "": None,
