@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import chat_format, decontaminate, line_dedup, minhash, mixing, oracles, quality, sharding, substring_dedup, suffix_dedup, warc
+from lexiforge.llm import chat_format, decontaminate, divergence, line_dedup, minhash, mixing, oracles, quality, sharding, substring_dedup, suffix_dedup, warc
 from lexiforge.llm.common import new_path
 
 
@@ -64,6 +64,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 OP1 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
@@ -73,7 +77,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_round_trip, op2_suffix_array_dedup, op3_substring_dedup, op4_chat_preferences, op5_line_dedup, op6_soft_mixing, op7_shard, op8_minhash_near_dedup, op9_benchmark_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_round_trip, op2_suffix_array_dedup, op3_substring_dedup, op4_chat_preferences, op5_line_dedup, op6_soft_mixing, op7_shard, op8_minhash_near_dedup, op9_benchmark_decontamination, op10_quality_rules, op11_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -85,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES,
         "op9_benchmark_decontamination": decontaminate.ORACLE,
         "op10_quality_rules": oracles.QUALITY,
+        "op11_source_divergence": divergence.ORACLE,
     }
