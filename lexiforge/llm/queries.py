@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import chat_format, decontaminate, divergence, lexical, line_dedup, minhash, mixing, oracles, quality, sharding, substring_dedup, suffix_dedup, warc
+from lexiforge.llm import chat_format, decontaminate, divergence, language, lexical, line_dedup, minhash, mixing, oracles, quality, sharding, substring_dedup, suffix_dedup, warc
 from lexiforge.llm.common import new_path
 
 
@@ -72,6 +72,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 OP1 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
@@ -81,7 +85,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_round_trip, op2_suffix_array_dedup, op3_substring_dedup, op4_chat_preferences, op5_line_dedup, op6_soft_mixing, op7_shard, op8_minhash_near_dedup, op9_benchmark_decontamination, op10_quality_rules, op11_source_divergence, op12_lexical_search)}
+    return {f.__name__: f for f in (op1_warc_round_trip, op2_suffix_array_dedup, op3_substring_dedup, op4_chat_preferences, op5_line_dedup, op6_soft_mixing, op7_shard, op8_minhash_near_dedup, op9_benchmark_decontamination, op10_quality_rules, op11_source_divergence, op12_lexical_search, op13_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
