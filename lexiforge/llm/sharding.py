@@ -8,9 +8,12 @@ The result is a uniform random order of all rows and shard sizes differ by at
 most one. Only block counts, of which there are at most ``max_blocks``, reach
 the driver.
 
+What is permuted is the rows, by a hash of the place where each was read, so copies and rows with one id lie
+as far apart as any others. The same files, read in the same splits, give the same order.
+
 Law: ``rows``. Defined results: null texts have size 1 and checksum 0; null or
 repeated ids and repeated rows are rows like any other, each with its own slot;
-an empty table gives an empty table; other columns are ignored.
+texts of any length are one value of a row; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,22 +82,25 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, seed: int = 17, id_col: s
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row; texts are read once and not moved."""
     raw = F.coalesce(F.encode(F.col(text_col).cast("string"), "UTF-8"), F.lit(b""))
     digests = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    row = F.monotonically_increasing_id()
-    who = F.coalesce("doc_id", row)
-    rows = materialize(digests.select("*", row.alias("_row"), F.xxhash64(F.lit(seed), who).alias("_u"), F.xxhash64(F.lit(seed + 1), who).alias("_v")), "shard-rows")
+    numbered = digests.select("*", F.monotonically_increasing_id().alias("_row"))
+    rows = materialize(numbered.select("*", F.xxhash64(F.lit(seed), "_row").alias("_u"), F.xxhash64(F.lit(seed + 1), "_row").alias("_v")), "shard-rows")
     out = shard_rows(rows, n_shards, seed, **blocks)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def shuffle_into_shards(docs: DataFrame, n_shards: int = 16, seed: int = 17, id_col: str = "doc_id", **blocks) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, n_shards: int = 16, seed: int = 17, rows_per_block: int = ROWS_PER_BLOCK, **blocks) -> DataFrame:
     """``docs`` with shard and slot (existing columns of these names give way), moved to where its shard is.
 
-    A partition holds rows of one stretch of a shard, in slot order.
+    Partitions are in the order of shards and slots: each holds one stretch of ``rows_per_block`` slots of a shard, or its rest,
+    sorted by slot.
     """
     docs = docs.drop("shard", "slot")
-    row = free_name(docs, "_row")
+    row, part = free_name(docs, "_row"), free_name(docs, "_part")
     stored = WorkTable(docs.select("*", F.monotonically_increasing_id().alias(row)), "shard-input")
-    who = F.coalesce(F.col(id_col).cast("long"), F.col(row))
-    rows = stored.df.select(F.col(row).alias("_row"), F.xxhash64(F.lit(seed), who).alias("_u"), F.xxhash64(F.lit(seed + 1), who).alias("_v"))
-    where = shard_rows(rows, n_shards, seed, **blocks).withColumnRenamed("_row", row)
-    return stored.df.join(where, row).select(*(f"`{c}`" for c in docs.columns), F.col("shard").cast("int").alias("shard"), "slot")
+    rows = stored.df.select(F.col(row).alias("_row"), F.xxhash64(F.lit(seed), F.col(row)).alias("_u"), F.xxhash64(F.lit(seed + 1), F.col(row)).alias("_v"))
+    where = shard_rows(rows, n_shards, seed, rows_per_block, **blocks).withColumnRenamed("_row", row)
+    placed = stored.df.join(where, row).select(*(f"`{c}`" for c in docs.columns), F.col("shard").cast("int").alias("shard"), "slot")
+    stretches = max(1, -(-(-(-stored.df.count() // n_shards)) // rows_per_block))  # of the largest shard
+    number = (F.col("shard") * stretches + F.floor(F.col("slot") / rows_per_block)).cast("int")
+    moved = placed.withColumn(part, number).repartitionById(n_shards * stretches, F.col(part))
+    return moved.sortWithinPartitions("shard", "slot").drop(part)
