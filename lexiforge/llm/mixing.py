@@ -9,9 +9,15 @@ the domains' Gram matrix, so a step of 1 is the right one however rare a domain
 is. An iteration is one aggregate over a narrow table; only three sums and
 the model reach the driver.
 
+The fit ends at its targets, or where steps no longer bring it nearer (a step that leads away is halved): targets that
+no rates from ``least`` to ``MOST_RATE`` can meet are met as nearly as they can be, by the plain sum of squares. A wanted domain that hardly any
+document has (``LEAST_SHARE``) has no target, and the others share its weight.
+
 Defined results: a null or empty text has 0 tokens and the model's prior; labels with nulls are skipped, of repeated labels of
-a document the largest counts; without any label all domains are equally likely;
-if no domain with a target has tokens all rates are 1; repeated rows and null ids are documents like any other; other columns are ignored by ``fit_rates``.
+a document the largest counts; a domain that no label names has posterior 0, but without any label all domains are equally likely;
+if no domain with a target has tokens, documents that are rather toxic have rate 0 and all others 1; texts are read whole however
+long (a chunk of work holds one text at least); repeated rows and null ids are documents like any other; other columns are
+ignored by ``fit_rates``.
 """
 
 from __future__ import annotations
@@ -35,8 +41,12 @@ LEAST_DOCUMENTS = 3
 BEGINNINGS = range(3, 9)
 #: The fit ends when every total is this near its target, as a share of all tokens.
 TOLERANCE = 0.002
-#: A fit that needs more rounds than this raises an error: its targets cannot be met.
-MOST_ITERATIONS = 200
+#: The most rounds of a fit, and the most of them one after the other that gain less than 2 in 1,000.
+MOST_ITERATIONS, MOST_IDLE = 200, 5
+#: The greatest rate of a document.
+MOST_RATE = 64.0
+#: The share of all tokens that a domain needs to have a target.
+LEAST_SHARE = 1e-6
 #: Of the hash that rounds rates to copies.
 SEED = 6
 
@@ -156,6 +166,7 @@ def fit_classifier(sample: DataFrame, vocabulary: int = VOCABULARY, iterations:
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         model.weights -= step[:-1]
         model.bias -= step[-1]
+    model.bias[[d for d in range(len(DOMAINS)) if d not in sizes]] = -np.inf
     return model
 
 
@@ -184,45 +195,59 @@ def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, toler
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     k = len(DOMAINS)
-    rather = F.when(F.col("p_toxic") < 0.5, F.col("n_tokens")).otherwise(0)
+    stays = F.col("p_toxic") < 0.5
+    rather = F.when(stays, F.col("n_tokens")).otherwise(0)
     sums = [F.sum(F.col("n_tokens") * p[a] * p[b]) for a in range(k) for b in range(k)] + [F.sum(rather * c) for c in p]
     row = np.array(members.agg(*(F.coalesce(x, F.lit(0.0)).alias(f"s{i}") for i, x in enumerate(sums))).first(), float)
     gram, want = row[: k * k].reshape(k, k), row[k * k :]
     now = gram.sum(axis=1)  # posteriors sum to 1
+    total = now.sum()
     wanted = np.array([d != "toxic" for d in DOMAINS])
-    if now.sum() <= 0 or want[wanted].sum() <= 0:
-        return members.withColumn("rate", F.lit(1.0))
+    start = F.when(stays, F.lit(max(1.0, least))).otherwise(0.0)
+    if total <= 0 or want[wanted].sum() <= 0:
+        return members.withColumn("rate", start)
     if weights is not None:
-        share = np.array([weights.get(d, 0.0) for d in DOMAINS], float)[wanted]
-        if least > 0 and share.min() <= 0:
+        share = np.array([weights.get(d, 0.0) for d in DOMAINS], float)
+        if least > 0 and share[wanted].min() <= 0:
             raise ValueError("a domain of which all documents stay needs a weight above 0")
-        want[wanted] = share / share.sum() * want[wanted].sum()
-    inverse = np.linalg.pinv(gram / now.sum())
-    rated = members.withColumn("rate", F.lit(1.0))
-    if least > 0:
-        # only the wanted domains are fitted, and only the documents that stay move
-        inverse = np.zeros((k, k))
-        inverse[np.ix_(wanted, wanted)] = np.linalg.pinv(gram[np.ix_(wanted, wanted)] / now.sum())
-        goal = want[wanted] / want[wanted].sum()
-        stays = F.col("p_toxic") < 0.5
-        rated = members.withColumn("rate", F.when(stays, F.lit(max(1.0, least))).otherwise(0.0))
-    for step in range(1, most_iterations + 1):
-        have = rated.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * c) for c in p)).first()
-        have = np.array(have, float)
+        wanted &= now > LEAST_SHARE * total
+        if share[wanted].sum() <= 0:
+            return members.withColumn("rate", start)
+        want[wanted] = share[wanted] / share[wanted].sum() * want[wanted].sum()
+    fitted = wanted if least > 0 else now > LEAST_SHARE * total  # with ``least`` only the wanted domains
+    inverse = np.zeros((k, k))
+    inverse[np.ix_(fitted, fitted)] = np.linalg.pinv(gram[np.ix_(fitted, fitted)] / total, rcond=1e-6)
+    goal = want / want[wanted].sum()
+
+    def miss_of(rates: DataFrame) -> np.ndarray:
+        """How far each domain's tokens are from their target, as a share of all tokens (with ``least``, of those it leads to)."""
+        have = np.array(rates.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * c) for c in p)).first(), float)
         if least > 0:
-            want = have.copy()
-            want[wanted] = goal * have[wanted].sum()
-        miss = (have - want) / now.sum()
+            return np.where(fitted, have / have[wanted].sum() - goal, 0.0)
+        return np.where(fitted, have - want, 0.0) / total
+
+    first = members.withColumn("rate", start if least > 0 else F.lit(1.0))
+    # Weighted squares reach any target that can be reached; of the others plain squares tell what is nearest.
+    plain = np.diag(fitted / np.linalg.eigvalsh(gram / total).max())
+    for metric in (inverse, plain):
+        rated, miss, step, idle, depth = first, miss_of(first), 1.0, 0, 0
+        for _ in range(most_iterations):
+            if np.abs(miss).max() <= tolerance or idle >= MOST_IDLE or step < 1e-3:
+                break
+            slope = step * (metric @ miss)
+            moved = F.col("rate") - sum((c * F.lit(float(s)) for c, s in zip(p, slope, strict=True)), F.lit(0.0))
+            moved = F.least(F.greatest(F.lit(float(least)), moved), F.lit(MOST_RATE))
+            tried = rated.withColumn("rate", F.when(stays, moved).otherwise(0.0) if least > 0 else moved)
+            after = miss_of(tried)
+            gain = 1 - (after @ metric @ after) / max(miss @ metric @ miss, 1e-300)
+            if gain < 0:
+                step /= 2
+                continue
+            rated, miss, step, idle, depth = tried, after, min(1.0, 2 * step), idle + 1 if gain < 0.002 else 0, depth + 1
+            if depth % 8 == 0:
+                rated = materialize(rated, "rates", 1_000_000)
         if np.abs(miss).max() <= tolerance:
             break
-        slope = inverse @ miss
-        moved = F.col("rate") - sum((c * F.lit(float(s)) for c, s in zip(p, slope, strict=True)), F.lit(0.0))
-        moved = F.greatest(F.lit(float(least)), moved)
-        rated = rated.withColumn("rate", F.when(stays, moved).otherwise(0.0) if least > 0 else moved)
-        if step % 8 == 0:
-            rated = materialize(rated, "rates", 1_000_000)
-    else:
-        raise ValueError(f"after {most_iterations} rounds a domain's tokens are {np.abs(miss).max():.4f} of all tokens from their target")
     return rated.withColumn("rate", F.round("rate", 6))
 
 
