@@ -2,8 +2,8 @@
 
 Pages are range-sorted by host-reversed URL and id. Shards are the stretches of that order between multiples of
 ``shard_bytes`` (with at most ``MOST_SHARDS`` shards; larger tables have larger ones), found by running sums over a narrow
-table; a shard begins with the row whose bytes hold the multiple. Equal rows that fill more than a shard are dealt
-over the shards that begin with them. Within a shard, files are rolled when their compressed
+table; a shard begins with the row whose bytes hold the multiple. Equal rows that fill more than a shard are counted, and
+as many are written again in each of the shards that begin with them (the first ones get one more if they do not divide). Within a shard, files are rolled when their compressed
 size reaches ``roll_bytes``. Every record is a gzip member of its own with fresh
 headers and digests, so the same table gives the same bytes in the same files.
 A task writes under a temporary name of its own and reports it; the reports that Spark accepts become the
@@ -160,21 +160,36 @@ def _first_rows(brief: DataFrame, shard_bytes: int) -> list[tuple]:
 
 
 def _shard_of(cuts: list[tuple]):
-    """The number of cuts at or before a row; rows that are several cuts are dealt over these shards."""
+    """``last``, the number of cuts at or before a row, and ``several``, how many of them are the row's own."""
 
-    @F.pandas_udf("int")
-    def shard(places: pd.Series, ids: pd.Series, keys: pd.Series) -> pd.Series:
+    @F.pandas_udf("last int, several int")
+    def shard(places: pd.Series, ids: pd.Series, keys: pd.Series) -> pd.DataFrame:
         out = []
-        for k, (place, page_id, row_key) in enumerate(zip(places, ids, keys, strict=True)):
+        for place, page_id, row_key in zip(places, ids, keys, strict=True):
             key = _key(place, None if pd.isna(page_id) else int(page_id), row_key)
             last = bisect_right(cuts, key)
-            several = last - bisect_left(cuts, key)
-            out.append(last - k % several if several > 1 else last)
-        return pd.Series(out, dtype="int32")
+            out.append((last, last - bisect_left(cuts, key)))
+        return pd.DataFrame(out, columns=["last", "several"], dtype="int32")
 
     return shard
 
 
+def _sharded(rows: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """``rows`` with shard and copies; of equal rows that fill several shards one is left for each of these."""
+    if not cuts:
+        return rows.withColumns({"shard": F.lit(0), "copies": F.lit(1)})
+    placed = rows.withColumn("cut", _shard_of(cuts)("place", "page_id", "row_key"))
+    one = placed.withColumns({"shard": F.col("cut.last"), "copies": F.lit(1)})
+    if len(set(cuts)) == len(cuts):  # no row's bytes hold two multiples
+        return one.drop("cut")
+    several = F.col("cut.several")
+    equal = placed.where(several > 1).groupBy("page_id", "place", "row_key", "cut").agg(F.any_value("url").alias("url"), F.any_value("payload").alias("payload"), F.count("*").alias("n"))
+    dealt = equal.withColumn("i", F.explode(F.sequence(F.lit(0), several - 1)))
+    dealt = dealt.withColumns({"shard": F.col("cut.last") - several + 1 + F.col("i"), "copies": (F.floor(F.col("n") / several) + F.when(F.col("i") < F.col("n") % several, 1).otherwise(0)).cast("int")})
+    names = [*rows.columns, "shard", "copies"]
+    return one.where(several <= 1).select(names).unionByName(dealt.where("copies > 0").select(names))
+
+
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """Writes the archives and their manifest into a new folder; returns the manifest."""
     spark = pages.sparkSession
@@ -194,10 +209,11 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
     n_shards = max(1, -(-total // shard_bytes))
     cuts = _first_rows(brief, shard_bytes) if n_shards > 1 else []
-    sharded = rows.withColumn("shard", _shard_of(cuts)("place", "page_id", "row_key") if cuts else F.lit(0))
+    sharded = _sharded(rows, cuts)
     same = (F.col("row_key") == F.col("late_key")) & (F.col("page_id") == F.col("later_id"))
     told = sharded.join(later.withColumnRenamed("row_key", "late_key"), same, "left")
-    ordered = told.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "place", "page_id", "row_key")
+    # copies are made where they are written
+    ordered = told.repartitionById(n_shards, F.col("shard")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).sortWithinPartitions("shard", "place", "page_id", "row_key")
     written = ordered.select("shard", "page_id", "url", "payload", "first_id", "first_url").mapInArrow(_writer(folder, roll_bytes), MANIFEST)
     manifest = WorkTable(written, "warc-files")
     committed = manifest.df.repartition(max(1, n_shards), "file").mapInArrow(_commit(folder), MANIFEST)
