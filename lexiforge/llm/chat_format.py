@@ -23,8 +23,9 @@ TRAINED_ROLE = "assistant"
 
 def conversations_as_rows(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id and its turns in order."""
-    safe = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "<\\|", "< |")
-    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), safe.alias("text"))
+    safe = lambda c, if_null: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit(if_null)), "<\\|", "< |")
+    role = F.regexp_replace(safe(role_col, "unknown"), "[\\r\\n]+", " ")
+    turn = F.struct(F.col(turn_col).alias("turn"), role.alias("role"), safe(text_col, "").alias("text"))
     rows = turns.select(F.col(id_col).alias("conv_id"), turn.alias("t")).where("conv_id is not null").distinct()
     return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
@@ -82,8 +83,8 @@ def _sql_side(side: str) -> str:
   string_agg(CASE WHEN role = '{TRAINED_ROLE}' THEN (before + 13 + length(role))::VARCHAR || '-' || (before + 24 + length(role) + length(text))::VARCHAR END, ',' ORDER BY k) FILTER (WHERE side = '{side}' AND k > common)"""
 
 
-ORACLE = f"""
-WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ORACLE = rf"""
+WITH t AS (SELECT DISTINCT conv_id, turn, regexp_replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '[\r\n]+', ' ', 'g') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, (conv_id - conv_id % 2) // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'c' ELSE 'r' END AS side FROM t),
 ids AS (SELECT pair_id, max(conv_id) FILTER (WHERE side = 'c') AS chosen_id, max(conv_id) FILTER (WHERE side = 'r') AS rejected_id, max(k) FILTER (WHERE side = 'c') AS nc, max(k) FILTER (WHERE side = 'r') AS nr FROM n GROUP BY pair_id),
 eq AS (SELECT c.pair_id, min(c.k) AS first FROM n c JOIN n r ON c.pair_id = r.pair_id AND c.k = r.k AND c.side = 'c' AND r.side = 'r' WHERE c.role <> r.role OR c.text <> r.text GROUP BY c.pair_id),
