@@ -43,6 +43,8 @@ FAMILIES = {
 #: Distinct texts of a language that its pairs are fitted on, those of them that families are fitted on, and labels at most.
 ROWS_PER_LANG, FAMILY_ROWS, MOST_LANGS = 600, 200, 1000
 BITS, LONGEST = 14, 4
+#: The range of hashes is counted in 2^PART_BITS parts to find the least ones.
+PART_BITS = 10
 _BYTE = np.arange(256, dtype=np.uint32)
 _BYTE[ord("A") : ord("Z") + 1] += 32
 _BYTE[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
@@ -171,8 +173,14 @@ def is_held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, rows_per_lang: int) -> DataFrame:
     """lang, key (a hash) and text of the texts to learn from; ``docs``: lang, text."""
     keyed = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("key", F.xxhash64("text"))
+    keys = WorkTable(keyed.select("lang", "key").distinct(), "language-keys").df.withColumn("part", F.shiftright("key", 64 - PART_BITS))
+    # the lowest parts of the range of hashes that hold enough of a language
+    sizes = keys.groupBy("lang", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    low = sizes.withColumn("before", before).where(F.col("before") < rows_per_lang).select("lang", "part")
     by = Window.partitionBy("lang").orderBy("key")
-    picked = WorkTable(keyed.select("lang", "key").distinct().withColumn("place", F.row_number().over(by)).where(F.col("place") <= rows_per_lang), "language-sample", 100_000)
+    picked = keys.join(low, ["lang", "part"]).select("lang", "key").withColumn("place", F.row_number().over(by)).where(F.col("place") <= rows_per_lang)
+    picked = WorkTable(picked, "language-sample", 100_000)
     # copies of a picked text become one where they lie
     return keyed.join(picked.df, ["lang", "key"]).groupBy("lang", "key").agg(F.any_value("text").alias("text"))
 
