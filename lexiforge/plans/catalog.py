@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import text as T
 from lexiforge.functions import urls as U
-from lexiforge.operators import bm25, discovery, html, ranking, research, screening, sections, state
+from lexiforge.operators import bm25, discovery, html, ranking, research, retrieval, screening, sections, state
 from lexiforge.plans import compose
+from lexiforge.sources import postings
+from lexiforge.sources.work import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -61,6 +63,19 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.index(bm25.line_chunks(table(spark, sf_dir, "documents")))
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The index of the lines of all documents, built once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        folder = work_folder(spark, "corpus-index")
+        postings.write_postings(bm25.line_chunks(table(spark, sf_dir, "documents")), folder)
+        _indexes[key] = folder
+    return postings.read_postings(spark, _indexes[key])
+
+
 @_register(f"""WITH {_CHUNKS},
 telling AS (SELECT term FROM df WHERE file_df <= greatest(1, floor((SELECT count(DISTINCT file) FROM chunks) * 2 / 3))),
 allowed AS (SELECT DISTINCT file, chunk FROM found JOIN telling USING (term)),
@@ -68,7 +83,27 @@ r AS (SELECT file, chunk, round(score, 9) AS score FROM scored JOIN allowed USIN
 capped AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, chunk) AS k FROM r)
 SELECT file, chunk, score, row_number() OVER (ORDER BY score DESC, file, chunk) AS rank FROM capped WHERE k <= 2 ORDER BY score DESC, file, chunk LIMIT 8""")
 def corpus_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.corpus_search(corpus(spark, sf_dir), QUERY)
+    one = spark.range(1).select(F.col("id").alias("query_id"), F.lit(QUERY).alias("text"))
+    return retrieval.search(stored_index(spark, sf_dir), one).select("file", "chunk", "score", "rank")
+
+
+_ITEMS = _CHUNKS.replace(f"asked AS (SELECT term, count(*) AS mult FROM (SELECT unnest({_sql_terms(f"'{QUERY}'")}) AS term) GROUP BY term)", f"asked AS (SELECT item_id, term, count(*) AS mult FROM (SELECT item_id, unnest({_sql_terms('text')}) AS term FROM benchmark) GROUP BY ALL)")
+_ITEMS = _ITEMS.replace("found AS (SELECT file, chunk, len, term, mult,", "hit AS (SELECT file, chunk, len, term, count(*) AS tf FROM post WHERE term IN (SELECT term FROM asked) GROUP BY ALL),\nfound AS (SELECT item_id, file, chunk, len, term, mult, tf FROM hit JOIN asked USING (term)),\nnone AS (SELECT file, chunk, len, term, mult,")
+_ITEMS = _ITEMS.replace("count(DISTINCT file) AS file_df FROM found", "count(DISTINCT file) AS file_df FROM hit").replace("scored AS (SELECT file, chunk,", "scored AS (SELECT item_id, file, chunk,").replace("corpus GROUP BY file, chunk)", "corpus GROUP BY item_id, file, chunk)")
+
+
+@_register(f"""WITH {_ITEMS},
+telling AS (SELECT term FROM df WHERE file_df <= greatest(1, floor((SELECT count(DISTINCT file) FROM chunks) * 2 / 3))),
+allowed AS (SELECT DISTINCT item_id, file, chunk FROM found JOIN telling USING (term)),
+r AS (SELECT item_id, file, chunk, round(score, 9) AS score FROM scored JOIN allowed USING (item_id, file, chunk) WHERE score > 0),
+capped AS (SELECT *, row_number() OVER (PARTITION BY item_id, file ORDER BY score DESC, chunk) AS k FROM r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, file, chunk) AS rank FROM capped WHERE k <= 2)
+SELECT item_id, rank::INTEGER AS rank, file, chunk, round(score, 6) AS score FROM ranked WHERE rank <= 8""")
+def corpus_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a query."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = retrieval.search(stored_index(spark, sf_dir), items)
+    return found.select(F.col("query_id").alias("item_id"), "rank", "file", "chunk", F.round("score", 6).alias("score"))
 
 
 @_register(f"WITH {_CHUNKS} SELECT file, chunk, round(score, 6) AS score FROM scored")
