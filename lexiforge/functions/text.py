@@ -32,14 +32,18 @@ def _count(word: Column, pattern: str) -> Column:
     return F.length(word) - F.length(F.regexp_replace(word, pattern, ""))
 
 
-def estimate_tokens(text: Column) -> Column:
-    """Tokens that a model would see: short words 1, longer ones a quarter of their letters, code and CJK letter by letter."""
+def token_sum(text: Column) -> Column:
+    """The tokens of a text's words; what two texts with a space or a line break between them cost is their sum."""
     n = F.length
     cost = lambda w: (
         F.when(_count(w, CJK) > n(w) * 0.5, n(w)).when(_count(w, SPECIAL) > n(w) * 0.4, n(w)).when(n(w) <= 7, 1).otherwise(F.ceil(n(w) / 4).cast("int"))
     )
-    total = F.aggregate(words(text), F.lit(0), lambda a, w: a + cost(w))
-    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.greatest(F.lit(1), total))
+    return F.aggregate(words(text), F.lit(0), lambda a, w: a + cost(w))
+
+
+def estimate_tokens(text: Column) -> Column:
+    """Tokens that a model would see: short words 1, longer ones a quarter of their letters, code and CJK letter by letter."""
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.greatest(F.lit(1), token_sum(text)))
 
 
 def clean_for_terms(text: Column) -> Column:

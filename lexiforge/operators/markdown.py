@@ -21,20 +21,25 @@ FALLBACK_MOST = 80
 DIFF_MOST_LINES = 2000
 
 
-def fenced(lines: list[str]) -> list[bool]:
-    """Of each line whether it belongs to a fence: its first, its last, or between.
+def fence_states(lines: list[str]) -> Iterator[tuple[bool, str, bool]]:
+    """Of each line whether it belongs to a fence (its first line, its last, or between), the mark that is open after it, and whether it is a mark itself.
 
     A fence ends with a line of its own mark, at least as long and with nothing after it, or with the text.
     """
-    out, opened = [], ""
+    opened = ""
     for line in lines:
         mark = _FENCE.match(line.rstrip("\r"))
-        out.append(bool(opened or mark))
-        if not opened:
-            opened = mark[1] if mark else ""
-        elif mark and mark[1].startswith(opened) and not mark[2].strip(" \t"):
-            opened = ""
-    return out
+        inside, acts = bool(opened or mark), not opened and bool(mark)
+        if acts:
+            opened = mark[1]
+        elif opened and mark and mark[1].startswith(opened) and not mark[2].strip(" \t"):
+            opened, acts = "", True
+        yield inside, opened, acts
+
+
+def fenced(lines: list[str]) -> list[bool]:
+    """Of each line whether it belongs to a fence."""
+    return [inside for inside, _, _ in fence_states(lines)]
 
 
 @F.pandas_udf(ArrayType(BooleanType()))

@@ -21,6 +21,11 @@ def front_matter(markdown: Column) -> Column:
     return F.regexp_extract(markdown, _FRONT, 1)
 
 
+def front_matter_block(markdown: Column) -> Column:
+    """The front matter with its fences."""
+    return F.regexp_extract(markdown, "(" + _FRONT.replace("(.*?\\r?\\n)?", "(?:.*?\\r?\\n)?") + ")", 1)
+
+
 def without_front_matter(markdown: Column) -> Column:
     return F.regexp_replace(markdown, _FRONT, "")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import urls as U
-from lexiforge.operators import decisions, discovery, envelopes, markdown, previews, ranking, screening, sections, serp, verticals
+from lexiforge.operators import budget, decisions, discovery, envelopes, markdown, previews, ranking, screening, sections, serp, verticals
 from lexiforge.plans import compose
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +165,27 @@ def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("before\n"), head, "text", F.lit("\n````\n# no heading\n```\n````\n---\n  ## End\nlast words")).alias("text"))
 
 
+_TELLING = ", ".join(f"'{w}'" for w in budget.TELLING)
+_SCORED = f"""n AS (SELECT *, length(body) AS n, substr(lower(body), 1, 2000) AS low, (length(body) - length(replace(body, '```', ''))) / 3 AS marks, len(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '^\\|.+\\|'))) AS tables FROM parts)
+SELECT doc_id, section, level, heading, (CASE WHEN level > 0 THEN greatest(1, 7 - level) ELSE 0 END + CASE WHEN section = 0 THEN 3 ELSE 0 END + CASE WHEN n > 500 THEN 3 WHEN n > 200 THEN 2 WHEN n > 80 THEN 1 ELSE 0 END
+ + 2.0 * len(list_filter([{_TELLING}], lambda w: contains(lower(heading), w))) + 0.5 * len(list_filter([{_TELLING}], lambda w: contains(low, w)))
+ - least(marks / 2, 3.0) - CASE WHEN tables > 10 THEN 2.0 WHEN tables > 3 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score FROM n"""
+
+
+@_register(rf"""WITH parts AS (SELECT doc_id, 0::BIGINT AS section, 0 AS level, '' AS heading, 'before' AS body FROM documents
+UNION ALL SELECT doc_id, 1, 1, 'Doc ' || doc_id || ' ##', regexp_replace(text, '^\s+', '') || chr(10) || '````' || chr(10) || '# no heading' || chr(10) || '```' || chr(10) || '````' || chr(10) || '---' FROM documents
+UNION ALL SELECT doc_id, 2, 2, 'End', 'last words' FROM documents), {_SCORED}""")
+def section_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.section_scores(_structured(spark, sf_dir))
+
+
+@_register()
+def fitted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document within 120 tokens, with a query that only the last section answers."""
+    out = budget.fit(_structured(spark, sf_dir), 120, query="last words")
+    return out.select("doc_id", "tokens", "n_sections", "n_omitted", F.sha2("text", 256).alias("text_sha256"))
+
+
 _COUNT = r"len(list_filter(string_split_regex(text, '[ \t\n\r\f\x0B]+'), lambda x: x <> ''))"
 
 
