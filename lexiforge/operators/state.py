@@ -91,6 +91,54 @@ def reliability(health: DataFrame) -> DataFrame:
     return health.withColumn("reliability", F.round(F.coalesce(share - slow, F.lit(0.5)), 9))
 
 
+#: Successes after which the rungs are tried again from the cheapest, and days after which a domain is forgotten.
+PROBE_AFTER, STRATEGY_DAYS = 10, 7
+#: Seconds that a service which gives no time is left alone.
+LATCH_SECONDS = 600
+
+
+def strategy_memory(log: DataFrame) -> DataFrame:
+    """log (domain, at, seq, rung, ok): of each domain the cheapest rung that worked, successes since it was last tried from the cheapest, whether that is due, failures in a row by rung, and when.
+
+    After seven days without an event a domain starts anew. One that starts with a failure remembers rung 0. Each state is a running
+    minimum or a count since an event, so a domain is a few windows over its events; all have the same partitioning.
+    """
+    by = Window.partitionBy("domain").orderBy("at", "seq")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.select("domain", "at", "seq", "rung", "ok").dropDuplicates(["domain", "at", "seq"])
+    late = F.unix_micros("at") - F.unix_micros(F.lag("at").over(by)) > STRATEGY_DAYS * 86_400_000_000
+    rows = rows.withColumn("life", F.sum(F.when(F.coalesce(late, F.lit(False)), 1).otherwise(0)).over(upto))
+    rows = rows.withColumn("last_life", F.max("life").over(Window.partitionBy("domain"))).where("life = last_life")
+    rows = rows.withColumn("best", F.min(F.when(F.col("ok"), F.col("rung")).otherwise(F.when(F.row_number().over(by) == 1, 0))).over(upto))
+    # a cheaper rung that works begins anew; so the last such event bounds all counts
+    begun = F.max(F.when(F.coalesce(F.col("best") != F.lag("best").over(by), F.lit(True)), F.struct("at", "seq"))).over(Window.partitionBy("domain"))
+    rows = rows.withColumn("begun", begun).where(F.struct("at", "seq") >= F.col("begun"))
+    good = rows.where("ok").groupBy("domain", "rung").agg(F.max(F.struct("at", "seq")).alias("good"))
+    bad = rows.where("not ok").join(good, ["domain", "rung"], "left").where(F.col("good").isNull() | (F.struct("at", "seq") > F.col("good")))
+    bad = bad.groupBy("domain", "rung").agg(F.count("*").alias("n"))
+    bad = bad.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("rung").cast("string"), F.col("n").cast("string")))), ",").alias("failures"))
+    counts = rows.groupBy("domain").agg(F.max_by("best", F.struct("at", "seq")).alias("rung"), F.count_if("ok").alias("n"), F.max("at").alias("updated"))
+    probe = (F.col("n") > 0) & (F.col("n") % PROBE_AFTER == 0)
+    return counts.join(bad, "domain", "left").select("domain", "rung", (F.col("n") % PROBE_AFTER).cast("int").alias("successes"), probe.alias("probe"), F.coalesce("failures", F.lit("")).alias("failures"), "updated")
+
+
+def latched(ops: DataFrame) -> DataFrame:
+    """ops (service, at, seq, op, seconds): of each request whether the service had not said ``limited`` within its pause before; the last word counts."""
+    before = Window.partitionBy("service").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    until = F.when(F.col("op") == "limited", F.timestamp_micros(F.unix_micros("at") + 1_000_000 * F.coalesce(F.col("seconds"), F.lit(LATCH_SECONDS)).cast("long")))
+    rows = ops.withColumn("until", F.last(until, ignorenulls=True).over(before)).where("op = 'request'")
+    return rows.select("service", "at", "seq", (F.col("until").isNull() | (F.col("at") >= F.col("until"))).alias("passed"))
+
+
+def cache_answers(ops: DataFrame, ttl_seconds: int = 1800) -> DataFrame:
+    """ops (name, at, seq, op, value): of each get whether the last put or drop before it was a put at most ``ttl_seconds`` ago, and its value."""
+    before = Window.partitionBy("name").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("op") != "get", F.struct("op", "at", "value")), ignorenulls=True).over(before)
+    rows = ops.withColumn("last", last).where("op = 'get'")
+    hit = F.coalesce((F.col("last.op") == "put") & (F.unix_micros("at") - F.unix_micros("last.at") <= ttl_seconds * 1_000_000), F.lit(False))
+    return rows.select("name", "at", "seq", hit.alias("hit"), F.when(hit, F.col("last.value")).alias("value"))
+
+
 def queue_state(ops: DataFrame, tries: int = 3) -> DataFrame:
     """ops (url, path, seq, op): one entry for each path with its status, and how often it was added again.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lexiforge.operators.state import BLOCK_AFTER, COOLDOWN, COOLDOWN_CONNECTION, PATIENT_BLOCK_AFTER, PATIENT_COOLDOWN, PATIENT_ENGINE
+from lexiforge.operators.state import BLOCK_AFTER, COOLDOWN, COOLDOWN_CONNECTION, PATIENT_BLOCK_AFTER, PATIENT_COOLDOWN, PATIENT_ENGINE, STRATEGY_DAYS
 
 _HEALTH = "engine string, successes long, failures long, consecutive long, blocked_until timestamp"
 
@@ -67,45 +67,6 @@ def outcome_windows(events: DataFrame, late: str = "10 minutes", size: str = "1
     return counted.select(F.col("window.start").alias("start"), "engine", "n", "good", "latency")
 
 
-#: Successes at a rung after which a cheaper one is tried again.
-PROBE_AFTER = 10
-#: Days without an event after which what was learnt of a domain is forgotten.
-STRATEGY_DAYS = 7
-_STRATEGY = "domain string, rung int, successes int, probe boolean, failures int, updated timestamp"
-
-
-def _strategy(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rung, good, probe, bad, seconds = state.get if state.exists else (None, 0, False, 0, None)
-    for rows in batches:
-        for r in rows.sort_values("seq").itertuples():
-            if not pd.isna(r.seconds):
-                if seconds is not None and r.seconds - seconds > STRATEGY_DAYS * 86_400:
-                    rung, good, probe, bad = None, 0, False, 0
-                seconds = float(r.seconds)
-            if not r.ok:
-                bad += 1
-                continue
-            if rung is None or r.rung != rung:  # a cheaper rung that works replaces the old one, a dearer one was needed
-                rung, good, probe = int(r.rung), 0, False
-            good, bad = good + 1, 0
-            if good >= PROBE_AFTER:
-                good, probe = 0, True
-    state.update((rung, good, probe, bad, seconds))
-    updated = pd.to_datetime(pd.Series([seconds], dtype="float64"), unit="s")
-    yield pd.DataFrame({"domain": [key[0]], "rung": pd.array([rung], "Int32"), "successes": [good], "probe": [probe], "failures": [bad], "updated": updated})
-
-
-def strategy_stream(log: DataFrame) -> DataFrame:
-    """log (domain, seq, rung, ok, and maybe at), a stream: the rung that works for each domain, and whether to try a cheaper one.
-
-    With ``at``, a timestamp, an event that comes more than seven days after the one before starts anew. Within a batch
-    events count in the order of seq.
-    """
-    at = F.col("at").cast("timestamp").cast("double") if "at" in log.columns else F.lit(None).cast("double")
-    rows = log.select("domain", "seq", "rung", "ok", at.alias("seconds"))
-    return rows.groupBy("domain").applyInPandasWithState(_strategy, _STRATEGY, "rung int, good int, probe boolean, bad int, seconds double", "update", GroupStateTimeout.NoTimeout)
-
-
 def remembered(strategies: DataFrame, now: Column) -> DataFrame:
     """``strategies`` (domain, rung, updated) that still count: updated at most seven days before ``now``, or at no known time."""
     fresh = F.col("updated") >= now - F.make_dt_interval(F.lit(STRATEGY_DAYS))

@@ -27,24 +27,7 @@ def test_tree(spark):
     assert out == ["a/", "  c/", "    d.txt", "  z.txt", "README", "b.txt"]
 
 
-def test_strategy(spark, tmp_path):
-    schema = "domain string, seq long, rung int, ok boolean"
-    rows = [("d", k, 2, True) for k in range(10)] + [("d", 10, 2, False), ("e", 1, 3, True), ("e", 2, 1, True), ("f", 1, 1, False)]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "s"))
-    q = state_machines.strategy_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "s"))).writeStream.outputMode("update").format("memory").queryName("strategy").start()
-    q.processAllAvailable()
-    q.stop()
-    assert {r.domain: (r.rung, r.successes, r.probe, r.failures) for r in spark.table("strategy").collect()} == {"d": (2, 0, True, 1), "e": (1, 1, False, 0), "f": (None, 0, False, 1)}
-
-
-def test_strategy_forgets_after_seven_days(spark, tmp_path):
-    schema = "domain string, seq long, rung int, ok boolean, at timestamp"
+def test_remembered(spark):
     day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
-    rows = [("old", 1, 3, True, day(0)), ("old", 2, 3, False, day(7.5)), ("kept", 1, 3, True, day(0)), ("kept", 2, 3, True, day(6.9)), ("kept", 3, 3, True, day(13)), ("none", 1, 2, True, None)]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "s"))
-    q = state_machines.strategy_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "s"))).writeStream.outputMode("update").format("memory").queryName("forgetting").start()
-    q.processAllAvailable()
-    q.stop()
-    found = spark.table("forgetting")
-    assert {r.domain: (r.rung, r.successes, r.failures, r.updated) for r in found.collect()} == {"old": (None, 0, 1, day(7.5)), "kept": (3, 3, 0, day(13)), "none": (2, 1, 0, None)}
+    found = spark.createDataFrame([("old", 1, day(7.5)), ("kept", 2, day(13)), ("none", 2, None)], "domain string, rung int, updated timestamp")
     assert {r.domain for r in state_machines.remembered(found, F.lit(day(16))).collect()} == {"kept", "none"}
