@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +60,23 @@ def eligible(entries: DataFrame, origin: str, prefix: str = "/") -> DataFrame:
     return rows.groupBy("loc").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "loc"]), "ord").alias("r")).select("loc", "r.*")
 
 
-def site_urls(entries: DataFrame, origin: str, prefix: str = "/", most: int = MOST_URLS) -> DataFrame:
-    """Eligible first, then ranked, then cut: the order of these steps is the contract."""
-    rows = rank_by_recency(eligible(entries, origin, prefix).withColumn("_site", F.lit(1)), ["_site"])
-    return rows.where(F.col("position") <= most).drop("_site")
+def site_urls(entries: DataFrame, origin: str, prefix: str = "/", most: int = MOST_URLS, seed: str | None = None) -> DataFrame:
+    """Eligible first, then ranked, then cut: the order of these steps is the contract. A ``seed`` comes first, once, and counts.
+
+    The vote on dates is an aggregate, and the best ``most`` are a top-k: only they come together.
+    """
+    rows = eligible(entries, origin, prefix).withColumn("date", entry_date(F.col("loc"), F.col("lastmod")))
+    if seed is not None:
+        page = lambda u: F.regexp_replace(F.regexp_replace(u, "[?#].*$", ""), "/+$", "")
+        rows = rows.where(page(F.col("loc")) != page(F.lit(seed)))
+    by_date = rows.agg(F.count("date").alias("dated"), F.count("*").alias("n")).first()
+    order = ([F.desc_nulls_last("date")] if by_date["dated"] * 2 > by_date["n"] else []) + [F.col("ord"), F.col("loc")]
+    top = rows.orderBy(*order).limit(most if seed is None else most - 1)
+    top = top.withColumn("position", F.row_number().over(Window.orderBy(*order)))  # at most ``most`` rows
+    if seed is None:
+        return top
+    first = entries.sparkSession.range(1).select(F.lit(seed).alias("loc"), F.lit(1).alias("position"))
+    return first.unionByName(top.withColumn("position", F.col("position") + 1), allowMissingColumns=True)
 
 
 def best_strategy(found: DataFrame) -> DataFrame:
@@ -73,28 +88,34 @@ def best_strategy(found: DataFrame) -> DataFrame:
 def crawl(links: DataFrame, seeds: DataFrame, depth: int, stored) -> DataFrame:
     """url and depth of the pages that ``depth`` steps over ``links`` (src, dst) reach from the seeds.
 
-    ``stored``: cuts the lineage of a DataFrame (a table or a reliable checkpoint), once for each step.
+    ``stored``: cuts the lineage of a DataFrame (a table or a reliable checkpoint), once for each step. A step stores what it adds.
     """
-    seen = stored(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
+    steps = [stored(seeds.select("url").distinct().withColumn("depth", F.lit(0)))]
     for step in range(1, depth + 1):
-        edge = seen.where(F.col("depth") == step - 1).join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()
-        fresh = edge.join(seen, "url", "left_anti").withColumn("depth", F.lit(step))
-        seen = stored(seen.unionByName(fresh))
-    return seen
+        edge = steps[-1].join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()
+        seen = reduce(DataFrame.unionByName, steps)
+        steps.append(stored(edge.join(seen, "url", "left_anti").withColumn("depth", F.lit(step))))
+    return reduce(DataFrame.unionByName, steps)
+
+
+#: What a path of a repository that is not read has in it, in any case.
+EXCLUDED_PATHS = (
+    "node_modules/ vendor/ venv/ .venv/ __pycache__/ pycache/ .pytest_cache/ .mypy_cache/ .tox/ .cache/ .tmp/ .tmp .min. .pyc .pyo .pyd .so .dll .class "
+    ".jpg .jpeg .png .gif .ico .svg .ttf .woff .woff2 .webp .mp4 .mp3 .webm .mov .avi .zip .tar .gz .tgz .lockb yarn.lock pnpm-lock.yaml package-lock.json "
+    "Cargo.lock dist/ build/ target/ .next/ .nuxt/ .output/ out/ .vscode/ .idea/ .git/ .github/ISSUE_TEMPLATE/ docs/ .log .dmg .pkg .exe .deb .rpm .whl "
+    ".jar"
+).split()
 
 
-#: Paths of a repository that are not read.
-EXCLUDED_PATHS = ["node_modules/", "dist/", "build/", "vendor/", ".git/", "target/", "__pycache__/", ".min.js", "package-lock.json", "yarn.lock", "coverage/"]
-#: What a path says about a repository.
-SIGNALS = [("tests", r"(^|/)(tests?|__tests__|spec)/"), ("ci", r"^\.github/workflows/"), ("docker", r"(^|/)dockerfile$"), ("docs", r"^docs/"), ("python", r"(^|/)(pyproject\.toml|setup\.py)$"), ("node", r"(^|/)package\.json$")]
+def excluded_path(path: Column) -> Column:
+    low = F.lower(path)
+    return F.exists(F.array(*(F.lit(p.lower()) for p in EXCLUDED_PATHS)), lambda p: F.contains(low, p))
 
 
 def repository_census(paths: DataFrame) -> DataFrame:
-    """paths (repo, path; a trailing slash is a folder): files, folders and signals of each repository."""
-    low = F.lower("path")
-    kept = paths.where(~F.exists(F.array(*map(F.lit, EXCLUDED_PATHS)), lambda p: F.contains(low, p)))
-    signals = F.array_compact(F.array(*(F.when(F.bool_or(low.rlike(pattern)), F.lit(name)) for name, pattern in SIGNALS)))
-    return kept.groupBy("repo").agg(F.count_if(~F.col("path").endswith("/")).alias("files"), F.count_if(F.col("path").endswith("/")).alias("folders"), F.array_join(signals, ",").alias("signals"))
+    """paths (repo, path; a trailing slash is a folder): files and folders of each repository, without paths that are not read."""
+    folder = F.col("path").endswith("/")
+    return paths.where(~excluded_path(F.col("path"))).groupBy("repo").agg(F.count_if(~folder).alias("files"), F.count_if(folder).alias("folders"))
 
 
 def repository_tree(paths: DataFrame) -> DataFrame:

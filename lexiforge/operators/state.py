@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,21 +173,25 @@ def arrived_in_time(rows: DataFrame, arrived_ms: str, deadline_ms: int) -> DataF
 def token_bucket(requests: DataFrame, burst: int = 10, per_second: int = 5) -> DataFrame:
     """requests (host, second): how many of each host's seconds pass a bucket that refills in whole-second steps.
 
-    Requests are counted by second first, so the fold over a host is over its seconds, not its requests.
+    Requests are counted by second first. A bucket is full again after a pause in which all its tokens come back, so a host's seconds
+    fall into stretches between such pauses, and a thousand stretches are a pass of their own.
     """
+    refill = -(-burst // per_second)
     counted = requests.groupBy("host", "second").agg(F.count("*").alias("asked"))
-    per_host = counted.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("second", "asked"))).alias("seconds"))
-    start = F.struct(F.lit(burst).cast("long").alias("tokens"), F.lit(None).cast("long").alias("at"), F.array().cast("array<struct<second:bigint,asked:bigint,passed:bigint>>").alias("out"))
-
-    def step(a, s):
-        second = s["second"].cast("long")
-        tokens = F.least(F.lit(burst).cast("long"), a["tokens"] + F.coalesce(second - a["at"], F.lit(0)) * per_second)
-        passed = F.least(tokens, s["asked"].cast("long"))
-        row = F.struct(second.alias("second"), s["asked"].cast("long").alias("asked"), passed.alias("passed"))
-        return F.struct((tokens - passed).alias("tokens"), second.alias("at"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    folded = per_host.select("host", F.explode(F.aggregate("seconds", start, step, lambda a: a["out"])).alias("r"))
-    return folded.select("host", "r.*")
+    by = Window.partitionBy("host").orderBy("second")
+    new = F.coalesce(F.col("second") - F.lag("second").over(by) >= refill, F.lit(True))
+    stretches = counted.withColumn("stretch", F.floor(F.sum(new.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)) / 1000))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, tokens, at, passed = rows.sort_values("second"), burst, None, []
+        for second, asked in zip(rows["second"].tolist(), rows["asked"].tolist(), strict=True):
+            tokens = min(burst, tokens + (0 if at is None else (second - at) * per_second))
+            passed.append(min(tokens, asked))
+            tokens, at = tokens - passed[-1], second
+        return rows.assign(passed=passed)[["host", "second", "asked", "passed"]]
+
+    host = dict(counted.dtypes)["host"]
+    return stretches.groupBy("host", "stretch").applyInPandas(run, f"host {host}, second long, asked long, passed long")
 
 
 def scorecard(runs: DataFrame, by: str) -> DataFrame:

@@ -467,11 +467,25 @@ def multi_source_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.answer(html.extract_articles(table(spark, sf_dir, "pages")).withColumnRenamed("markdown", "text"), QUERY)
 
 
-@_register(r"""WITH t AS (SELECT page_id, length(html) AS n, sum(least(length(html), 5000)) OVER (ORDER BY page_id) AS upto, row_number() OVER (ORDER BY page_id) AS k FROM pages)
-SELECT page_id, least(n, 5000)::BIGINT AS used FROM t WHERE upto <= 200000""")
+@_register(r"""WITH p AS (SELECT page_id, CASE WHEN length(html) > 5000 THEN 5016 ELSE length(html) END AS n FROM pages),
+l AS (SELECT list({'page_id': page_id, 'n': n, 'room': 200000 - n, 'used': n} ORDER BY page_id) AS ps FROM p),
+-- the rule page by page: with 200 left or fewer nothing more, else the page or what is left and the mark
+f AS (SELECT list_transform(range(1, len(ps) + 1), lambda k: list_reduce(ps[1:k], lambda a, x: {'page_id': x.page_id, 'n': x.n, 'room': CASE WHEN a.room <= 200 THEN a.room WHEN x.n > a.room THEN -16 ELSE a.room - x.n END, 'used': CASE WHEN a.room <= 200 THEN 0 WHEN x.n > a.room THEN a.room + 16 ELSE x.n END})) AS out FROM l),
+u AS (SELECT unnest(out) AS o FROM f)
+SELECT o.page_id AS page_id, o.used::BIGINT AS used FROM u WHERE o.used > 0""")
 def context_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
-    return compose.context_package(pages, "page_id", 200_000, 5000).select("page_id", F.length("part").cast("long").alias("used"))
+    return compose.context_package(pages, "page_id", 200_000, 5000).select("page_id", F.col("n_chars").alias("used"))
+
+
+@_register(f"""WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS repo, regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1) || CASE WHEN page_id % 4 = 0 THEN '/' WHEN page_id % 7 = 0 THEN '/dist/x.js' WHEN page_id % 7 = 1 THEN '/a.PNG' ELSE '' END AS path FROM pages)
+SELECT repo, count(*) FILTER (WHERE NOT ends_with(path, '/')) AS files, count(*) FILTER (WHERE ends_with(path, '/')) AS folders FROM p
+WHERE NOT regexp_matches(lower(path), '{"|".join(x.lower().replace(".", "[.]") for x in discovery.EXCLUDED_PATHS)}') GROUP BY repo""")
+def repository_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts as repositories, with folders, a build and a picture among their paths."""
+    path = F.regexp_extract("url", "^[a-z]+://[^/?#]+/?([^?#]*)", 1)
+    end = F.when(F.col("page_id") % 4 == 0, "/").when(F.col("page_id") % 7 == 0, "/dist/x.js").when(F.col("page_id") % 7 == 1, "/a.PNG").otherwise("")
+    return discovery.repository_census(table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("repo"), F.concat(path, end).alias("path")))
 
 
 def queries() -> dict[str, Query]:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -121,7 +122,62 @@ def test_fetch_source(spark):
     assert {(r.url, r.status) for r in out.collect()} == {("https://a", 200), ("https://b", 200), ("https://c", 200)}
 
 
+def package(pages, most_total, most_page):
+    """The rule, page by page."""
+    total, out = 0, []
+    for i, text in pages:
+        room = most_total - total
+        if room <= 200:
+            break
+        part = text if len(text) <= most_page else text[:most_page] + "\n\n[...truncated]"
+        if len(part) > room:
+            part = part[:room] + "\n\n[...truncated]"
+        total += len(part)
+        out.append((i, part))
+    return out
+
+
 def test_context_package(spark):
-    pages = spark.createDataFrame([(i, "x" * 30) for i in range(10)], "id int, text string")
-    out = compose.context_package(pages, "id", 90, 25, block=4)
-    assert [(r.id, len(r.part)) for r in out.orderBy("id").collect()] == [(0, 25), (1, 25), (2, 25)]
+    rng = random.Random(4)
+    for most_total, most_page in ((400, 500), (3000, 250), (1000, 900), (100, 50), (10**6, 100)):
+        pages = [(i, "x" * rng.choice([0, 30, 100, 260, 500])) for i in range(60)]
+        df = spark.createDataFrame([(i, t, f"https://e.org/{i}", f"T{i}") for i, t in pages], "id int, text string, url string, title string").repartition(3)
+        out = compose.context_package(df, "id", most_total, most_page, block=4)
+        assert [(r.id, r.part) for r in out.orderBy("id").collect()] == package(pages, most_total, most_page), (most_total, most_page)
+    three = spark.createDataFrame([(1, "a" * 100, "u1", "One"), (2, "b" * 500, "u2", "Two"), (3, "c" * 50, "u3", None)], "id int, text string, url string, title string")
+    out = compose.context_package(three, "id", 400)
+    assert [(r.id, r.n_chars, r.cut) for r in out.orderBy("id").collect()] == [(1, 100, False), (2, 316, True)]
+    text = compose.package_document(out, "id", 3, "pack", "2024-01-01T00:00:00Z").first().text
+    assert text.startswith("---\npackage: pack\ncompiled_at: 2024-01-01T00:00:00Z\npages: 3\n---\n\n---\n\n# One\n\n<!-- source: u1 -->\n\na")
+    assert text.endswith("[...truncated]\n\n---\n\n## Index\n\n- [One](u1) — 100 chars\n- [Two](u2) — 316 chars\n")
+
+
+def test_bucket_by_hand(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), s) for s in sorted(rng.randrange(120) for _ in range(500))]
+    want, tokens, at = {}, {}, {}
+    for host, second in sorted(rows):
+        tokens[host] = min(10, tokens.get(host, 10) + 5 * (second - at.get(host, second)))
+        at[host] = second
+        want.setdefault((host, second), 0)
+        if tokens[host]:
+            tokens[host] -= 1
+            want[host, second] += 1
+    got = {(r.host, r.second): r.passed for r in state.token_bucket(spark.createDataFrame(rows, "host string, second long")).collect()}
+    assert got == want
+
+
+def test_site_urls(spark):
+    rows = [(k, f"https://e.org/p{k}", f"2024-01-{k % 28 + 1:02d}" if k % 3 else None) for k in range(40)] + [(40, "https://e.org/x.png", None), (41, "https://other.org/", None), (42, "https://e.org/p1", None)]
+    entries = spark.createDataFrame(rows, "ord int, loc string, lastmod string")
+    out = discovery.site_urls(entries, "https://e.org", most=10).orderBy("position").collect()
+    want = sorted([r for r in rows[:40] if r[2]], key=lambda r: (-int(r[2][-2:]), r[0]))
+    assert [r.loc for r in out] == [r[1] for r in want[:10]] and [r.position for r in out] == list(range(1, 11))
+    seeded = discovery.site_urls(entries, "https://e.org", most=10, seed=want[2][1] + "/#top").orderBy("position").collect()
+    assert [r.loc for r in seeded] == [want[2][1] + "/#top", *(r[1] for k, r in enumerate(want[:10]) if k != 2)]
+
+
+def test_census(spark):
+    paths = [("r", p) for p in ("src/", "src/a.py", "README", "Dist/x.js", "a/node_modules/b.js", "img.PNG", "docs/readme", ".git/")] + [("s", "x/")]
+    out = {r.repo: (r.files, r.folders) for r in discovery.repository_census(spark.createDataFrame(paths, "repo string, path string")).collect()}
+    assert out == {"r": (2, 1), "s": (0, 1)} and len(discovery.EXCLUDED_PATHS) == 63
