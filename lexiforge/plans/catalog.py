@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import text as T
 from lexiforge.functions import urls as U
-from lexiforge.operators import bm25, discovery, html, ranking, research, retrieval, screening, sections, state
+from lexiforge.operators import articles, bm25, discovery, html, ranking, research, retrieval, screening, sections, state
 from lexiforge.plans import compose
 from lexiforge.sources import postings
 from lexiforge.sources.work import work_folder
@@ -453,18 +453,18 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register()
 def article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract_articles(table(spark, sf_dir, "pages")).select("page_id", "title", "markdown")
+    return articles.extract(table(spark, sf_dir, "pages")).select("page_id", "title", "markdown")
 
 
 @_register()
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = html.extract_articles(table(spark, sf_dir, "pages"))
+    pages = articles.extract(table(spark, sf_dir, "pages"))
     return sections.outline(sections.sections(pages, "page_id", "markdown")).drop("body")
 
 
 @_register()
 def multi_source_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compose.answer(html.extract_articles(table(spark, sf_dir, "pages")).withColumnRenamed("markdown", "text"), QUERY)
+    return compose.answer(articles.extract(table(spark, sf_dir, "pages")).withColumnRenamed("markdown", "text"), QUERY)
 
 
 @_register(r"""WITH p AS (SELECT page_id, CASE WHEN length(html) > 5000 THEN 5016 ELSE length(html) END AS n FROM pages),

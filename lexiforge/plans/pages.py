@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.operators import elements
+from lexiforge.operators import articles, elements
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -67,6 +67,16 @@ def article_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_register(rf"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS inside FROM pages),
+t AS (SELECT page_id, trim(regexp_replace({_UNESCAPED.format("regexp_replace(inside, '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g')) AS words FROM a)
+SELECT page_id, CASE WHEN length(words) >= 300 THEN 'score' ELSE 'short' END AS chosen_by, sha256(words) AS words_sha256 FROM t""")
+def scored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each page's article without its menu, advertisement and footer; Markdown's heading marks taken off."""
+    words = F.trim(F.regexp_replace(F.regexp_replace("markdown", "(?m)^#+ ", ""), r"\s+", " "))
+    how = F.when(F.length(words) >= 300, F.col("chosen_by")).otherwise("short")
+    return articles.extract(_pages(spark, sf_dir)).select("page_id", how.alias("chosen_by"), F.sha2(words, 256).alias("words_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
