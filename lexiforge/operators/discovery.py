@@ -163,3 +163,68 @@ def repository_signals(paths: DataFrame) -> DataFrame:
     tests = F.when(none("tests") & F.col("in_tests"), F.array(F.lit("(test dir present)"))).otherwise(F.col("tests"))
     mono = F.when(none("monorepo") & (F.col("packages") > 1), F.array(F.lit("multi-package"))).otherwise(F.col("monorepo"))
     return out.withColumns({"tests": tests, "monorepo": mono}).drop("in_tests", "packages")
+
+
+#: Sitemaps that one may name, fetches of a site, and how deep sitemaps may name others.
+MOST_CHILDREN, MOST_FETCHES, MOST_DEPTH = 50, 100, 3
+
+
+def sitemap_tree(sites: DataFrame, bodies: DataFrame, stored, most_fetches: int = MOST_FETCHES, most_depth: int = MOST_DEPTH, most_children: int = MOST_CHILDREN, most: int = MOST_URLS) -> tuple[DataFrame, DataFrame]:
+    """site, position, loc, lastmod of the pages that the sitemaps of many sites name, and site, fetch, url, depth of what was fetched.
+
+    ``sites``: site and origin; ``bodies``: url and text of what answers. A site's robots.txt names its first sitemaps; an index names
+    more, at most ``most_children`` of the same origin each, down to ``most_depth``. All branches of a site share ``most_fetches``
+    fetches, level by level in the order in which they are named; robots.txt is the first. What does not answer has been fetched too.
+    ``stored`` cuts the lineage, once for each level.
+    """
+    texts = bodies.select(F.col("url").alias("_url"), F.col("text").alias("body")).dropDuplicates(["_url"])
+    own = F.concat("origin", F.lit("/robots.txt"))
+    level = stored(sites.select("site", "origin", F.lit(1).cast("long").alias("fetch"), own.alias("url"), F.lit(-1).alias("depth")).where(F.lit(most_fetches) > 0))
+    fetched, entries = [level], []
+    for depth in range(most_depth + 1):
+        answered = level.join(texts, F.col("url") == F.col("_url")).drop("_url")
+        if depth == 0:
+            named = robots_sitemaps(F.col("body"))
+        else:
+            pages = sitemap_entries(answered.where(~_is_index(F.col("body"))).select("site", "fetch", F.col("body").alias("xml")))
+            entries.append(pages)
+            named = F.when(_is_index(F.col("body")), F.regexp_extract_all("body", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), 1))
+        approved = lambda u: u.startswith(F.concat(F.col("origin"), F.lit("/"))) | (u == F.col("origin"))
+        children = F.slice(F.filter(F.transform(named, lambda u: unescape_xml(F.trim(u))), approved), 1, most_children)
+        rows = answered.select("site", "origin", F.col("fetch").alias("_from"), F.posexplode(children).alias("_at", "url"))
+        done = reduce(DataFrame.unionByName, fetched).groupBy("site").agg(F.count("*").alias("_done"))  # at most most_fetches a site
+        order = F.row_number().over(Window.partitionBy("site").orderBy("_from", "_at"))
+        rows = rows.join(done, "site").withColumn("fetch", (F.col("_done") + order).cast("long")).where(F.col("fetch") <= most_fetches)
+        level = stored(rows.select("site", "origin", "fetch", "url", F.lit(depth).alias("depth")))
+        fetched.append(level)
+    answered = level.join(texts, F.col("url") == F.col("_url"))
+    entries.append(sitemap_entries(answered.where(~_is_index(F.col("body"))).select("site", "fetch", F.col("body").alias("xml"))))
+    every = reduce(DataFrame.unionByName, entries)
+    # each sitemap's best first, then those of the site; a page counts where it is named first
+    each = rank_by_recency(every, ["site", "fetch"]).where(F.col("position") <= most)
+    first = each.groupBy("site", "loc").agg(F.min_by(F.struct("fetch", F.col("position").alias("at"), "lastmod"), F.struct("fetch", "position")).alias("f")).select("site", "loc", "f.*")
+    ranked = rank_by_recency(first.withColumn("ord", F.struct("fetch", "at")), ["site"]).where(F.col("position") <= most)
+    return ranked.select("site", "position", "loc", "lastmod"), reduce(DataFrame.unionByName, fetched).select("site", "fetch", "url", "depth")
+
+
+def _is_index(xml: Column) -> Column:
+    return xml.contains("<sitemapindex") | (xml.contains("<sitemap>") & ~xml.contains("<urlset"))
+
+
+#: What stands around a page's navigation, as in ``articles.matches``.
+NAVIGATION = ["nav", "aside", "[class*=sidebar]", "[class*=Sidebar]", "[class*=navigation]", "[class*=toc]", "[class*=menu]", "[role=navigation]"]
+
+
+def navigation_links(rows: DataFrame, urls: DataFrame) -> DataFrame:
+    """page and url of the links inside a page's navigation, each once and without query and fragment, and of the page itself.
+
+    ``rows``: ``elements``; ``urls``: page and url. Assets and links that are no web pages are left out.
+    """
+    from lexiforge.operators.articles import any_of
+    from lexiforge.operators.html import resolve
+
+    around = rows.where(any_of(NAVIGATION)).select("page", F.col("place").alias("around"))
+    links = rows.where((F.col("tag") == "a") & F.col("attributes")["href"].isNotNull()).select("page", F.explode("ancestors").alias("around"), F.col("attributes")["href"].alias("href"))
+    inside = links.join(around, ["page", "around"]).select("page", "href").distinct().join(urls, "page")
+    found = inside.where(~F.col("href").startswith("#")).select("page", F.regexp_replace(resolve(F.col("href"), F.col("url")), "[?#].*$", "").alias("url")).where("url is not null")
+    return found.where(~is_asset(F.col("url"))).unionByName(urls.select("page", F.regexp_replace("url", "#.*$", "").alias("url"))).distinct()

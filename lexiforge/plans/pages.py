@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.operators import articles, elements
+from lexiforge.operators import articles, discovery, elements
+from lexiforge.sources.work import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -77,6 +78,29 @@ def scored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles.extract(_pages(spark, sf_dir)).select("page_id", how.alias("chosen_by"), F.sha2(words, 256).alias("words_sha256"))
 
 
+@_register(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, regexp_extract(url, '^[a-z]+://[^/?#]+/([a-z]*)', 1) AS lang, regexp_replace(url, '[?#].*$', '') AS loc, CASE WHEN page_id % 4 > 0 THEN DATE '2024-01-01' + (page_id % 300)::INT END AS day FROM pages),
+m AS (SELECT *, dense_rank() OVER (PARTITION BY origin ORDER BY lang) AS map, row_number() OVER (PARTITION BY origin, lang ORDER BY page_id) AS k FROM p),
+e AS (SELECT *, count(day) OVER (PARTITION BY origin, map) * 2 > count(*) OVER (PARTITION BY origin, map) AS by_date FROM m WHERE map <= 2),
+i AS (SELECT *, row_number() OVER (PARTITION BY origin, map ORDER BY CASE WHEN by_date THEN day END DESC NULLS LAST, k) AS pos FROM e),
+f AS (SELECT origin, loc, arg_min({'no': map, 'pos': pos, 'day': day}, (map, pos)) AS f FROM i GROUP BY ALL),
+s AS (SELECT *, count(f.day) OVER (PARTITION BY origin) * 2 > count(*) OVER (PARTITION BY origin) AS by_date FROM f)
+SELECT origin AS site, row_number() OVER (PARTITION BY origin ORDER BY CASE WHEN by_date THEN f.day END DESC NULLS LAST, f.no, f.pos)::INTEGER AS position, loc, f.day::VARCHAR AS lastmod FROM s""")
+def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every site names an index, the index a sitemap for each language, and these its pages; four fetches for each site."""
+    origin = F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1)
+    day = F.when(F.col("page_id") % 4 > 0, F.date_add(F.lit("2024-01-01"), (F.col("page_id") % 300).cast("int")).cast("string"))
+    pages = _pages(spark, sf_dir).select("page_id", origin.alias("origin"), F.regexp_extract("url", "^[a-z]+://[^/?#]+/([a-z]*)", 1).alias("lang"), F.regexp_replace("url", "[?#].*$", "").alias("loc"), day.alias("day"))
+    in_order = lambda c, of: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(of, c.alias("x")))), lambda s: s["x"]), "")
+    entry = F.concat(F.lit("<url><loc>"), "loc", F.lit("</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), "day", F.lit("</lastmod>")), F.lit("")), F.lit("</url>"))
+    maps = pages.groupBy("origin", "lang").agg(F.concat(F.lit("<urlset>"), in_order(entry, "page_id"), F.lit("</urlset>")).alias("text")).withColumn("url", F.concat("origin", F.lit("/map-"), "lang", F.lit(".xml")))
+    child = F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>"))
+    index = maps.groupBy("origin").agg(F.concat(F.lit("<sitemapindex>"), in_order(child, "lang"), F.lit("</sitemapindex>")).alias("text")).withColumn("url", F.concat("origin", F.lit("/index.xml")))
+    robots = index.select(F.concat("origin", F.lit("/robots.txt")).alias("url"), F.concat(F.lit("User-agent: *\nSitemap: "), "url", F.lit("\n")).alias("text"))
+    bodies = stored(maps.select("url", "text").unionByName(index.select("url", "text")).unionByName(robots), "bodies")
+    sites = index.select(F.col("origin").alias("site"), "origin")
+    return discovery.sitemap_tree(sites, bodies, stored, most_fetches=4)[0]
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

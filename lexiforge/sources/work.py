@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
 
@@ -21,3 +21,10 @@ def work_folder(spark: SparkSession, tag: str) -> str:
         _local = _local or "file://" + tempfile.mkdtemp(prefix="lexiforge-")
         root = _local
     return f"{root.rstrip('/')}/lexiforge-work/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str = "step") -> DataFrame:
+    """``df``, computed once: a table in the shared folder, cut from its lineage."""
+    folder = work_folder(df.sparkSession, tag)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
