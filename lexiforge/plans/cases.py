@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import urls as U
-from lexiforge.operators import budget, decisions, discovery, envelopes, markdown, previews, ranking, screening, sections, serp, verticals
+from lexiforge.operators import budget, decisions, discovery, envelopes, logs, markdown, previews, ranking, screening, sections, serp, verticals
 from lexiforge.plans import compose
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +186,27 @@ def fitted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "tokens", "n_sections", "n_omitted", F.sha2("text", 256).alias("text_sha256"))
 
 
+_LOG_LINE = "CASE WHEN i % 7 = 6 THEN '##[group]Run' || i WHEN i % 5 = 4 THEN line ELSE 'step' || ((i // 3) % 4) || chr(9) || line END"
+
+
+@_register(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+w AS (SELECT doc_id, i, {_LOG_LINE} AS words FROM l),
+n AS (SELECT *, CASE WHEN strpos(words, chr(9)) > 1 THEN split_part(words, chr(9), 1) END AS step FROM w),
+f AS (SELECT doc_id, step AS name, min(i) AS a FROM n WHERE step IS NOT NULL GROUP BY ALL),
+e AS (SELECT f.doc_id, name, a, coalesce((SELECT min(i) FROM n WHERE n.doc_id = f.doc_id AND n.i > f.a AND n.step <> f.name), 1000000) AS z, row_number() OVER (PARTITION BY f.doc_id ORDER BY a) AS section FROM f),
+s AS (SELECT e.doc_id, section, name, i, words, regexp_matches(words, '(?i)error|fail|exception|traceback|panic|undefined') AS bad FROM e JOIN n ON n.doc_id = e.doc_id AND n.i >= a AND n.i < z),
+c AS (SELECT *, count(*) FILTER (WHERE bad) OVER (PARTITION BY doc_id, section) AS errors, row_number() OVER (PARTITION BY doc_id, section, bad ORDER BY i DESC) AS back FROM s),
+x AS (SELECT doc_id, section, name, errors, string_agg(words, chr(10) ORDER BY i) AS text FROM c WHERE (bad AND back <= 15) OR (errors = 0 AND back <= 50) GROUP BY ALL)
+SELECT doc_id, section::INTEGER AS section, name, errors, CASE WHEN length(text) > 3000 THEN substr(text, 1, 3000) || chr(10) || '… (truncated)' ELSE text END AS excerpt FROM x""")
+def log_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document as a build log: steps of three lines, lines without a step, group markers."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    step = F.concat(F.lit("step"), (F.floor(F.col("i") / 3) % 4).cast("string"), F.lit("\t"), "line")
+    words = F.when(F.col("i") % 7 == 6, F.concat(F.lit("##[group]Run"), F.col("i").cast("string"))).when(F.col("i") % 5 == 4, F.col("line")).otherwise(step)
+    texts = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", words.alias("w")))), lambda x: x["w"]), "\n").alias("text"))
+    return logs.excerpts(logs.step_sections(logs.log_lines(texts, "doc_id"))).withColumnRenamed("log", "doc_id")
+
+
 _COUNT = r"len(list_filter(string_split_regex(text, '[ \t\n\r\f\x0B]+'), lambda x: x <> ''))"
 
 
