@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.operators import articles, discovery, elements
+from lexiforge.operators import articles, discovery, elements, islands
 from lexiforge.sources.work import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,23 @@ def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.sitemap_tree(sites, bodies, stored, most_fetches=4)[0]
 
 
+@_register(r"""WITH p AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS hrefs FROM pages),
+l AS (SELECT page_id, unnest(hrefs) AS href, unnest(range(len(hrefs))) AS i FROM p)
+SELECT page_id, '__INITIAL_STATE__' AS source, '$.page' AS path, 1 AS depth, page_id::VARCHAR AS value FROM p
+UNION ALL SELECT page_id, '__INITIAL_STATE__', '$.address.url', 2, url FROM p UNION ALL SELECT page_id, '__INITIAL_STATE__', '$.address.secure', 2, (url LIKE 'https:%')::VARCHAR FROM p
+UNION ALL SELECT page_id, '__INITIAL_STATE__', '$.links[' || i || '].href', 3, href FROM l
+UNION ALL SELECT page_id, 'page-props', '$.deep.deeper.deepest.too', 4, '["deep"]' FROM p UNION ALL SELECT page_id, 'page-props', '$.url', 1, url FROM p""")
+def island_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their own address and links as an assigned object, and a script that goes too deep."""
+    hrefs = F.transform(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), 1), lambda h: F.struct(h.alias("href")))
+    state = F.to_json(F.struct(F.col("page_id").alias("page"), F.struct("url", F.col("url").startswith("https:").alias("secure")).alias("address"), hrefs.alias("links")))
+    props = F.to_json(F.struct("url", F.struct(F.struct(F.struct(F.array(F.lit("deep")).alias("too")).alias("deepest")).alias("deeper")).alias("deep")))
+    script = F.concat(F.lit("</article><script>var a = '}'; window.__INITIAL_STATE__ = "), state, F.lit(';</script><script id="page-props">'), props, F.lit("</script>"))
+    planted = _pages(spark, sf_dir).select("page_id", F.replace("html", F.lit("</article>"), script).alias("html"))
+    found = islands.leaves(islands.islands(elements.elements(planted)))
+    return found.select(F.col("page").alias("page_id"), "source", "path", "depth", "value")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
