@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.operators import articles, discovery, elements, islands
+from lexiforge.operators import articles, discovery, elements, extensions, islands
 from lexiforge.sources.work import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +118,22 @@ def island_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("page").alias("page_id"), "source", "path", "depth", "value")
 
 
+def _odd(url: str, body: str | None) -> str:
+    if len(body or "") % 2:
+        raise ValueError("odd")
+    return f"# {len(body or '')} characters"
+
+
+@_register(r"""SELECT page_id, CASE WHEN contains(url, '/en/') AND length(html) % 2 = 0 THEN 'even' WHEN contains(url, '/en/') OR contains(url, '/fr/') THEN 'any' END AS vertical,
+ CASE WHEN contains(url, '/en/') AND length(html) % 2 = 0 THEN '# ' || length(html) || ' characters' WHEN contains(url, '/en/') OR contains(url, '/fr/') THEN url END AS markdown,
+ CASE WHEN contains(url, '/en/') AND length(html) % 2 = 1 THEN 'even: odd' END AS skipped FROM pages""")
+def user_extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One extractor of English pages that fails for every other page, and one behind it for English and French ones."""
+    own = [extensions.Extractor("even", lambda u: "/en/" in u, _odd), extensions.Extractor("any", lambda u: "/en/" in u or "/fr/" in u, lambda u, b: u)]
+    answers = _pages(spark, sf_dir).select("page_id", "url", F.col("html").alias("body"))
+    return extensions.extracted(answers, own).select("page_id", "vertical", "markdown", "skipped")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
