@@ -1,4 +1,7 @@
-"""Queries whose rows hold planted cases, with the answers written out by hand in SQL, and more queries over whole tables."""
+"""Queries that plant cases into the rows' own texts, addresses and pages, with the answers written out by hand in SQL, and more queries over whole tables.
+
+The cases alone are checked in tests/test_cases.py.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import urls as U
 from lexiforge.operators import budget, decisions, discovery, envelopes, logs, markdown, previews, ranking, screening, sections, serp, verticals
+from lexiforge.operators.html import title
 from lexiforge.plans import compose
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +49,19 @@ def _planted(id_col: str, inputs: list) -> Column:
     return out
 
 
+def _own(text: str) -> Column:
+    """The plain words of a text, all of it."""
+    return F.trim(F.regexp_replace(text, "[^a-z]+", " "))
+
+
+_OWN = "trim(regexp_replace({}, '[^a-z]+', ' ', 'g'))"
+
+
+def _case(id_col: str, values: list) -> str:
+    """SQL: a row's answer, by its id's remainder."""
+    return "CASE " + " ".join(f"WHEN {id_col} % {len(values)} = {k} THEN {_quoted(x)}" for k, x in enumerate(values)) + " END"
+
+
 def _expected(table: str, id_col: str, columns: dict[str, list]) -> str:
     """SQL: each row's expected answers, by its id's remainder."""
     cases = {c: "CASE " + " ".join(f"WHEN {id_col} % {len(v)} = {k} THEN {_quoted(x)}" for k, x in enumerate(v)) + " END" for c, v in columns.items()}
@@ -73,9 +90,11 @@ _REDACTED = {
 }
 
 
-@_register(_expected("documents", "doc_id", {"redacted": list(_REDACTED.values()), "again": list(_REDACTED.values())}))
+@_register(f"WITH r AS (SELECT doc_id, {_OWN.format('text')} || chr(10) || {_case('doc_id', list(_REDACTED.values()))} AS redacted FROM documents) SELECT doc_id, redacted, redacted AS again FROM r")
 def redaction_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("doc_id", screening.redact(_planted("doc_id", list(_REDACTED))).alias("redacted"))
+    """Every document's words with a credential below them."""
+    text = F.concat(_own("text"), F.lit("\n"), _planted("doc_id", list(_REDACTED)))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", screening.redact(text).alias("redacted"))
     return rows.withColumn("again", screening.redact(F.col("redacted")))
 
 
@@ -125,9 +144,14 @@ _ERRORS = [
 ]
 
 
-@_register(_expected("pages", "page_id", {"other": [x[2] for x in _ERRORS]}))
+@_register(f"SELECT page_id, {_case('page_id', [False, True, False, False, True])} AS other FROM pages")
 def misattributed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", decisions.names_other_url(*(_planted("page_id", [x[k] for x in _ERRORS]) for k in (0, 1))).alias("other"))
+    """Errors that name their page in other letters and without its end, another page, none, and both."""
+    page = F.regexp_replace("url", "[?#].*$", "")
+    said = [F.concat(F.lit("failed: "), F.regexp_replace(page, "/+$", ""), F.lit("/.")), F.lit("failed: https://b.invalid/x"), F.lit("no address here"), F.lit("https://b.invalid"), F.concat(page, F.lit(" and (http://a.invalid/y)"))]
+    n = F.col("page_id") % len(said)
+    message = F.element_at(F.array(*said), (n + 1).cast("int"))
+    return _table(spark, sf_dir, "pages").select("page_id", decisions.names_other_url(F.when(n != 3, page), message).alias("other"))
 
 
 _CONTEXT = [
@@ -136,11 +160,15 @@ _CONTEXT = [
 ]
 
 
-@_register(_expected("pages", "page_id", {"related": [x[3] for x in _CONTEXT]}))
+@_register(f"SELECT page_id, {_case('page_id', [True, False, True, False, True])} AS related FROM pages")
 def context_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's address, title and words, with the asked words in one of them, or in none."""
     # One term once weighs ln(4/3) = 0.29, twice 0.41, two terms 0.58.
-    parts = (_planted("page_id", [x[k] for x in _CONTEXT]).cast("string") for k in range(3))
-    return _table(spark, sf_dir, "pages").select("page_id", decisions.context_is_related(["evaluation", "retrieval"], *parts).alias("related"))
+    n, url = F.col("page_id") % 5, F.regexp_replace("url", "[?#].*$", "")
+    address = F.when(n == 0, F.concat(F.regexp_replace(url, "/+$", ""), F.lit("/retrieval-evaluation-metrics"))).otherwise(url)
+    heading = F.when(n == 2, F.lit("retrieval_evaluation")).when(n == 3, F.lit("Retrieval")).otherwise(title(F.col("html"), F.col("url")))
+    text = F.when(n == 4, F.lit("evaluation evaluation evaluation")).otherwise(_own(F.substring("html", 1, 400)))
+    return _table(spark, sf_dir, "pages").select("page_id", decisions.context_is_related(["evaluation", "retrieval"], address, heading, text).alias("related"))
 
 
 _IPS = [("10.1.2.3", True), ("8.8.8.8", False), ("::1", True), ("fe80::1%eth0", True), ("fd00::8", True), ("2606:4700::1111", False), ("::ffff:192.168.1.1", True), ("::ffff:8.8.8.8", False), ("64:ff9b::a00:1", True), ("[2001:db8::1]", True), ("ff02::1", True), ("2002:0a00:0001::", True), ("not an ip", True)]
@@ -343,18 +371,26 @@ _ROUTED = [
 ]
 
 
-@_register(_expected("pages", "page_id", {"route": [x[1] for x in _ROUTED], "mode": [x[2] for x in _ROUTED]}))
+@_register("SELECT page_id, " + ", ".join(f"{_case('page_id', [x[k] for x in _ROUTED])} AS {c}" for k, c in ((1, "route"), (2, "mode"))) + " FROM pages")
 def routed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "pages").select("page_id", _planted("page_id", [x[0] for x in _ROUTED]).alias("url"))
+    """Every page's site with the cases' paths."""
+    own = F.regexp_replace(_planted("page_id", [x[0] and x[0].replace("https://x.org", "SITE") for x in _ROUTED]), F.lit("SITE"), F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1))
+    rows = _table(spark, sf_dir, "pages").select("page_id", own.alias("url"))
     return decisions.routed(rows, _ROUTES).drop("url")
 
 
 _LINES = [("/a/* -> static", "/a/*", "static"), ("  blog browser ", "blog", "browser"), ("one", None, None), ("a b -> json", "a b", "json"), ("", None, None), (None, None, None)]
 
 
-@_register("SELECT * FROM (" + _expected("pages", "page_id", {"pattern": [x[1] for x in _LINES], "mode": [x[2] for x in _LINES]}).replace("page_id,", "page_id AS ordinal,", 1) + ") WHERE pattern IS NOT NULL")
+_PATH = "'/' || regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1)"
+
+
+@_register(f"""SELECT * FROM (SELECT page_id AS ordinal, CASE page_id % 4 WHEN 0 THEN {_PATH} WHEN 1 THEN {_PATH} || '/*' END AS pattern, CASE page_id % 4 WHEN 0 THEN 'static' WHEN 1 THEN 'browser' END AS mode FROM pages) WHERE pattern IS NOT NULL""")
 def route_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decisions.parsed_routes(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("ordinal"), _planted("page_id", [x[0] for x in _LINES]).alias("line")))
+    """A line of a settings file for every page's path: with an arrow, with a space, without a mode, and empty."""
+    path, n = F.concat(F.lit("/"), F.regexp_extract("url", "^[a-z]+://[^/?#]+/?([^?#]*)", 1)), F.col("page_id") % 4
+    line = F.when(n == 0, F.concat(path, F.lit(" -> static"))).when(n == 1, F.concat(F.lit("  "), path, F.lit("/* browser "))).when(n == 2, path).otherwise("")
+    return decisions.parsed_routes(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("ordinal"), line.alias("line")))
 
 
 _TYPES = [
@@ -363,10 +399,15 @@ _TYPES = [
 ]
 
 
-@_register(_expected("pages", "page_id", {c: [x[k] for x in _TYPES] for k, c in ((2, "type"), (3, "json"), (4, "html"), (5, "textual"))}))
+_HEADERS = [(None, "text/html", False, True, True), ("application/ld+json", "application/ld+json", True, False, True), ("image/png", "image/png", False, False, False), ("Text/HTML; charset=x", "text/html", False, True, True)]
+
+
+@_register("SELECT page_id, " + ", ".join(f"{_case('page_id', [x[k] for x in _HEADERS] + [('application/json', True, False, True)[k - 1]])} AS {c}" for k, c in ((1, "type"), (2, "json"), (3, "html"), (4, "textual"))) + " FROM pages")
 def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = decisions.content_kind(*(_planted("page_id", [x[k] for x in _TYPES]).cast("string") for k in (0, 1)))
-    return _table(spark, sf_dir, "pages").select("page_id", kind.alias("k")).select("page_id", "k.*")
+    """Every page's source under several headers, and its address as JSON under none."""
+    header = _planted("page_id", [*(x[0] for x in _HEADERS), None]).cast("string")
+    body = F.when(F.col("page_id") % 5 == 4, F.concat(F.lit(" "), F.to_json(F.struct("url", "html")))).otherwise(F.col("html"))
+    return _table(spark, sf_dir, "pages").select("page_id", decisions.content_kind(header, body).alias("k")).select("page_id", "k.*")
 
 
 _FAILURES = [
@@ -377,7 +418,9 @@ _FAILURES = [
 
 @_register(_expected("pages", "page_id", {c: [x[k] for x in _FAILURES] for k, c in ((2, "category"), (3, "retryable"), (4, "transport"))}))
 def failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = decisions.failure(*(_planted("page_id", [x[k] for x in _FAILURES]) for k in (0, 1)))
+    """Every page's failures, whose messages name its address."""
+    code, said = (_planted("page_id", [x[k] for x in _FAILURES]) for k in (0, 1))
+    kind = decisions.failure(code, F.concat(said, F.lit(" for "), F.regexp_replace("url", "[?#].*$", "")))
     return _table(spark, sf_dir, "pages").select("page_id", kind.alias("k")).select("page_id", "k.*")
 
 
@@ -422,9 +465,14 @@ _STYLED = {
 }
 
 
-@_register(_expected("documents", "doc_id", {"plain": list(_STYLED.values())}))
+_STYLED_ROWS = {k: v for k, v in _STYLED.items() if k}
+
+
+@_register(f"WITH c AS (SELECT doc_id, {_OWN.format('text')} AS own, {_case('doc_id', list(_STYLED_ROWS.values()))} AS plain FROM documents) SELECT doc_id, own || CASE WHEN plain = '' THEN '' ELSE chr(10) || plain END AS plain FROM c")
 def style_free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", markdown.without_styles(_planted("doc_id", list(_STYLED))).alias("plain"))
+    """Every document's words with style sheets below them."""
+    text = F.concat(_own("text"), F.lit("\n"), _planted("doc_id", list(_STYLED_ROWS)))
+    return _table(spark, sf_dir, "documents").select("doc_id", markdown.without_styles(text).alias("plain"))
 
 
 _FIELDS = {
@@ -443,9 +491,16 @@ _FIELDS = {
 }
 
 
-@_register(_expected("pages", "page_id", {"scrubbed": list(_FIELDS.values())}))
+# Some pages say "token" and a word: that word is masked too.
+_OWN_MASKED = rf"regexp_replace({_OWN.format('html')}, '\btoken [a-z]+', 'token [redacted-credential]', 'g')"
+_FIELD_ROWS = {k: v for k, v in _FIELDS.items() if k}
+
+
+@_register(f"SELECT page_id, {_OWN_MASKED} || chr(10) || {_case('page_id', list(_FIELD_ROWS.values()))} AS scrubbed FROM pages")
 def scrubbed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", envelopes.scrub_text(_planted("page_id", list(_FIELDS))).alias("scrubbed"))
+    """Every page's words with a message below them."""
+    text = F.concat(_own("html"), F.lit("\n"), _planted("page_id", list(_FIELD_ROWS)))
+    return _table(spark, sf_dir, "pages").select("page_id", envelopes.scrub_text(text).alias("scrubbed"))
 
 
 _ID = "01234567-89ab-4def-8123-456789abcdef"
@@ -459,9 +514,14 @@ _RECORDS = {
 }
 
 
-@_register(_expected("pages", "page_id", {"scrubbed": list(_RECORDS.values())}))
+_RECORD_ROWS = {k[1:-1]: v[1:-1] for k, v in _RECORDS.items() if k and k[0] == "{" and len(k) > 2}
+
+
+@_register(f"""SELECT page_id, '{{"said":"' || {_OWN_MASKED} || '",' || {_case('page_id', list(_RECORD_ROWS.values()))} || '}}' AS scrubbed FROM pages""")
 def scrubbed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", envelopes.scrub_record(_planted("page_id", list(_RECORDS))).alias("scrubbed"))
+    """Every page's words in a record with fields that are masked."""
+    record = F.concat(F.lit('{"said": "'), _own("html"), F.lit('", '), _planted("page_id", list(_RECORD_ROWS)), F.lit("}"))
+    return _table(spark, sf_dir, "pages").select("page_id", envelopes.scrub_record(record).alias("scrubbed"))
 
 
 _FRONTS = {
@@ -473,9 +533,14 @@ _FRONTS = {
 }
 
 
-@_register(_expected("documents", "doc_id", {"shown": list(_FRONTS.values())}))
+_FRONT_ROWS = {k: v for k, v in _FRONTS.items() if k}
+
+
+@_register(f"SELECT doc_id, {_case('doc_id', list(_FRONT_ROWS.values()))} || chr(10) || {_OWN.format('text')} AS shown FROM documents")
 def short_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", previews.short_front_matter(_planted("doc_id", list(_FRONTS))).alias("shown"))
+    """Every document's words below a front matter, or what only looks like one."""
+    text = F.concat(_planted("doc_id", list(_FRONT_ROWS)), F.lit("\n"), _own("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", previews.short_front_matter(text).alias("shown"))
 
 
 _BODIES = {
@@ -491,18 +556,28 @@ _BODIES = {
 }
 
 
-@_register(_expected("pages", "page_id", {"preview": list(_BODIES.values())}))
+@_register(f"""WITH p AS (SELECT page_id, {_OWN.format('html')} AS own, len(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS n FROM pages),
+b AS (SELECT page_id, n, length('{{"words":"' || own || '","places":[],"page":' || page_id || ',"top":{{"id":' || page_id || '}}}}') + CASE WHEN n = 0 THEN 0 ELSE 2 * n - 1 END AS size FROM p)
+SELECT page_id, CASE page_id % 3 WHEN 2 THEN NULL ELSE 'JSON payload omitted (' || (size + CASE page_id % 3 WHEN 1 THEN 12 ELSE 0 END) || ' chars).' || chr(10) || 'JSON object: 4 top-level keys' || chr(10) || 'Keys: words, places, page, top' || chr(10)
+ || '- words: string' || chr(10) || '- places: ' || n || CASE WHEN n = 1 THEN ' item' ELSE ' items' END || chr(10) || '- page: number' || chr(10) || '- top: object (id)' END AS preview FROM b""")
 def json_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", previews.json_preview(_planted("page_id", list(_BODIES))).alias("preview"))
+    """Every page's words and links as JSON: as it is, in a fence, and broken."""
+    places = F.transform(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), 1), lambda _: F.lit(0))
+    body = F.to_json(F.struct(_own("html").alias("words"), places.alias("places"), F.col("page_id").alias("page"), F.struct(F.col("page_id").alias("id")).alias("top")))
+    n = F.col("page_id") % 3
+    shaped = F.when(n == 0, body).when(n == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("{"), body))
+    return _table(spark, sf_dir, "pages").select("page_id", previews.json_preview(shaped).alias("preview"))
 
 
 _BODY_WORDS = [("References:", "some words", True, False), ("See  also", ".a { color:#fff } x", True, True), ("Usage", "https://x.org see here", False, False), ("Menu items", "margin:0 www.x.org end", False, True), ("", "", False, False)]
 
 
-@_register(_expected("documents", "doc_id", {"little": [x[2] for x in _BODY_WORDS], "odd": [x[3] for x in _BODY_WORDS]}))
+@_register(f"SELECT doc_id, {_case('doc_id', [True, True, False])} AS little, doc_id % 2 = 1 AND {_OWN.format('text')} <> '' AS odd FROM documents")
 def section_worth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heading, body = (_planted("doc_id", [x[k] for x in _BODY_WORDS]) for k in (0, 1))
-    return _table(spark, sf_dir, "documents").select("doc_id", sections.says_little(heading).alias("little"), sections.mostly_not_prose(body).alias("odd"))
+    """Every document's words under a heading; in every other one each word is an address."""
+    own = _own("text")
+    body = F.when(F.col("doc_id") % 2 == 1, F.regexp_replace(own, "([a-z]+)", "https://x.org/$1")).otherwise(own)
+    return _table(spark, sf_dir, "documents").select("doc_id", sections.says_little(_planted("doc_id", ["References:", "See  also", "Usage"])).alias("little"), sections.mostly_not_prose(body).alias("odd"))
 
 
 @_register(rf"""WITH n AS (SELECT doc_id, text, {_COUNT} AS n FROM documents WHERE length(text) + length(doc_id::VARCHAR) + 71 > 6000)
