@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"[ \t\n\r\f\x0B]"
 #: Characters that are unusual in prose, and the CJK ranges.
@@ -63,20 +66,61 @@ def terms(text: Column, least: int = 2, stop_words: list[str] | None = None) ->
     return F.filter(words(clean_for_terms(text)), lambda w: (F.length(w) >= least) & ~w.isin(stop))
 
 
+def _normalized(form: str, change):
+    """An expression for ``change`` of the normal form; only texts with letters beyond ASCII go through Python."""
+
+    def of(text: Column) -> Column:
+        beyond = text.rlike(r"[^\x00-\x7F]")
+        by_python = F.pandas_udf(lambda texts: texts.map(lambda t: change(unicodedata.normalize(form, t)), na_action="ignore"), StringType())
+        return F.when(beyond, by_python(F.when(beyond, text))).otherwise(text)
+
+    return of
+
+
+#: Compatible forms as one, and letters without their marks.
+compatible = _normalized("NFKC", lambda t: t)
+unmarked = _normalized("NFKD", lambda t: "".join(c for c in t if not unicodedata.combining(c)))
+
+
 def fold_lookalikes(text: Column) -> Column:
-    """Without invisible characters and combining marks; lookalikes as ASCII."""
-    bare = F.regexp_replace(text, r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{00AD}\x{0300}-\x{036F}]", "")
+    """Compatible forms as one, without invisible characters and combining marks; lookalikes as ASCII."""
+    bare = F.regexp_replace(compatible(text), r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{00AD}\x{0300}-\x{036F}]", "")
     return F.translate(bare, *LOOKALIKES)
 
 
 def slug(text: Column, most: int = 48) -> Column:
     """Lower-case ASCII words joined by ``-``; ``query`` for none."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    plain = F.lower(unmarked(F.coalesce(text, F.lit(""))))
     dashed = F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     cut = F.regexp_replace(F.substring(dashed, 1, most), "-+$", "")
     return F.when(cut == "", "query").otherwise(cut)
 
 
+#: Escape sequences of terminals, characters of no width, and ranges of two columns each.
+_ESCAPES, _NO_WIDTH = r"\x1B\[[0-?]*[ -/]*[@-~]", r"[\p{Mn}\p{Me}\p{Cf}\x00-\x1F\x7F-\x9F]"
+_WIDE = r"[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{33FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}\x{1F300}-\x{1F64F}\x{1F900}-\x{1F9FF}\x{20000}-\x{3FFFD}]"
+
+
+def visible_width(text: Column) -> Column:
+    """The columns that a text takes in a terminal."""
+    seen = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _ESCAPES, ""), _NO_WIDTH, "")
+    return (F.length(seen) * 2 - F.length(F.regexp_replace(seen, _WIDE, ""))).cast("int")
+
+
+def cut_to_width(text: Column, most: int, mark: str = "…") -> Column:
+    """The beginning of a text that takes at most ``most`` columns, with a mark if it is cut; escape sequences go when it is."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _ESCAPES, ""), r"[\x00-\x1F\x7F-\x9F]", "")
+    none = F.struct(F.lit("").alias("kept"), F.lit(0).alias("used"), F.lit(True).alias("on"))
+    letters = F.slice(F.filter(F.split(plain, ""), lambda c: c != ""), 1, 4 * most + 4)  # marks of no width do not count
+
+    def step(a, c):
+        used = a["used"] + visible_width(c)
+        fits = a["on"] & (used <= most - len(mark))
+        return F.struct(F.when(fits, F.concat(a["kept"], c)).otherwise(a["kept"]).alias("kept"), used.alias("used"), fits.alias("on"))
+
+    return F.when(visible_width(text) <= most, F.coalesce(text, F.lit(""))).otherwise(F.concat(F.aggregate(letters, none, step, lambda a: a["kept"]), F.lit(mark)))
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 

@@ -7,7 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StringType
 
 #: Query parameters that only track the visitor.
 TRACKING_PREFIX = "utm_"
@@ -177,6 +177,81 @@ def is_private_ip(ip: Column) -> Column:
     return F.when(six, _is_private_ipv6(F.when(six, ip))).otherwise(is_private_ipv4(ip))
 
 
+#: Addresses that give credentials to whoever asks, prefixes that are never public, and ports of services that are not for the web.
+METADATA_IPS, NEVER_PUBLIC = ["169.254.169.254", "fd00:ec2::254"], ["100::/64"]
+DANGEROUS_PORTS = [22, 23, 25, 135, 139, 445, 1099, 1433, 1521, 2049, 3306, 3389, 5432, 5900, 5984, 6379, 9200, 9300, 11211, 27017, 50000]
+
+
+def allowed_ranges(text: str) -> list[str]:
+    """The address ranges of a list with commas; what is none is left out, and so is a range of everything."""
+    found = []
+    for part in text.split(","):
+        try:
+            net = ipaddress.ip_network(part.strip(), strict=False)
+        except ValueError:
+            continue
+        if "/" in part and net.prefixlen >= 1:
+            found.append(str(net))
+    return found
+
+
+def embedded_ipv4(ip: ipaddress.IPv6Address) -> list[ipaddress.IPv4Address]:
+    """The IPv4 addresses that an IPv6 address may stand for: mapped, compatible, NAT64 (with each length of its local prefix), 6to4 and Teredo."""
+    b = ip.packed
+    places = []
+    if b[:12] in (ipaddress.IPv6Address("::ffff:0:0").packed[:12], *_NAT64):
+        places.append((12, 13, 14, 15))
+    if b[:6] == bytes.fromhex("0064ff9b0001"):
+        places += [(6, 7, 9, 10), (7, 9, 10, 11), (9, 10, 11, 12), (12, 13, 14, 15)]
+    if b[:2] == b"\x20\x02":
+        places.append((2, 3, 4, 5))
+    found = [ipaddress.IPv4Address(bytes(b[i] for i in p)) for p in places]
+    if b[:4] == b"\x20\x01\x00\x00":
+        found.append(ipaddress.IPv4Address(bytes(x ^ 255 for x in b[12:])))
+    return found
+
+
+def _private_ipv4(ip: ipaddress.IPv4Address) -> bool:
+    return str(ip) not in PUBLIC_ANYCAST and any(ipv4_number(a) <= int(ip) <= ipv4_number(z) for a, z in PRIVATE_BLOCKS)
+
+
+def _ipv6_policy(text: str | None, ranges: list) -> str:
+    try:
+        ip = ipaddress.IPv6Address((text or "").strip("[]").split("%")[0])
+    except ValueError:
+        return "private-range"
+    inner = embedded_ipv4(ip)
+    if str(ip) in METADATA_IPS or any(str(x) in METADATA_IPS for x in inner):
+        return "cloud-metadata"
+    if any(ip in ipaddress.ip_network(n) for n in NEVER_PUBLIC):
+        return "reserved-range"
+    if ip.is_global and not ip.is_multicast and not any(map(_private_ipv4, inner)):
+        return "public"
+    return "allowed" if any(x in n for n in ranges for x in [ip, *inner]) else "private-range"
+
+
+def address_policy(ip: Column, port: Column, allowed: list[str] | None = None) -> Column:
+    """What becomes of a request to an address, as decision (cloud-metadata, reserved-range, private-range, dangerous-port, allowed, public) and dangerous.
+
+    In this order: metadata and reserved addresses are refused whatever is allowed; private ones unless a range in ``allowed`` holds them;
+    then ports of other services, unless the address was allowed. What is no address is private. IPv4 is arithmetic, IPv6 goes
+    through Python.
+    """
+    ranges = [ipaddress.ip_network(r) for r in allowed or []]
+    six = ip.contains(":")
+    octets = F.transform(F.split(ip, r"\."), lambda x: x.try_cast("long"))
+    number = F.when(F.size(octets) == 4, F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x))
+    opted = F.lit(False)
+    for r in ranges:
+        if r.version == 4:
+            opted |= number.between(int(r.network_address), int(r.broadcast_address))
+    four = F.when(ip.isin(METADATA_IPS), "cloud-metadata").when(~is_private_ipv4(ip), "public").when(F.coalesce(opted, F.lit(False)), "allowed").otherwise("private-range")
+    by_python = F.pandas_udf(lambda texts: texts.map(lambda t: _ipv6_policy(t, ranges)), StringType())
+    decision = F.when(six, by_python(F.when(six, ip))).otherwise(four)
+    decision = F.when((decision == "public") & port.isin(DANGEROUS_PORTS), "dangerous-port").otherwise(decision)
+    return F.struct(decision.alias("decision"), (~decision.isin("public", "allowed")).alias("dangerous"))
+
+
 def is_private_host(name: Column) -> Column:
     h = F.lower(name)
     local = h.isin("localhost") | h.endswith(".localhost") | h.endswith(".local") | h.endswith(".internal")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -109,6 +110,7 @@ _SPECIAL, _CJK = re.compile(SPECIAL), re.compile(re.sub(r"\\x\{(\w+)\}", lambda
 _MARK = re.compile(r"[ \t]*(`{3,}|~{3,})")
 
 
+@lru_cache(1 << 16)
 def _word_cost(word: str) -> int:
     n = len(word)
     if n <= 7 and word.isascii() and word.isalnum():

@@ -12,7 +12,7 @@ from lexiforge.functions import urls as U
 from lexiforge.operators import articles, bm25, discovery, html, ranking, research, retrieval, screening, sections, state
 from lexiforge.plans import compose
 from lexiforge.sources import postings
-from lexiforge.sources.work import work_folder
+from lexiforge.sources.work import spread, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -33,7 +33,8 @@ def _register(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found  # tables whose texts are worked on
 
 
 # SQL that several checks share.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.operators import articles, discovery, elements, extensions, islands
-from lexiforge.sources.work import stored
+from lexiforge.sources.work import spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -26,7 +26,7 @@ def _register(sql: str | None = None):
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def _with_actions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,3 +28,9 @@ def stored(df: DataFrame, tag: str = "step") -> DataFrame:
     folder = work_folder(df.sparkSession, tag)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer files than there are cores, dealt to all of them; larger ones are left as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
