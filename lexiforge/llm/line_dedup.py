@@ -1,17 +1,19 @@
 """Line dedup: later copies of repeated runs of lines go. DataFrame functions only.
 
 Every document is a sequence of line IDs (hashes of its lines that are not blank). Prefix doubling:
-a position's rank is the place of its prefix (1 line, then 2, then up to
-``min_lines``) in the sorted order of all prefixes of that length; the next rank comes from
+a position's rank is the place of its prefix (1 line, then 2, 4 ... up to ``min_lines``, and from there twice as many each time)
+in the sorted order of all prefixes of that length; the next rank comes from
 sorting the pairs of the rank at the position and the rank at the offset. A
-position whose prefix is unique drops out. Positions with equal rank at a length form an interval of
-suffixes with a longest common prefix of at least that many lines. All but its first (by doc_id, then line) start a later copy if
-the length is ``min_lines``, or if it is shorter (1, 2, 4 ... lines) and these lines have ``min_chars`` characters together; overlapping
-later copies merge into maximal runs. Longer common prefixes need no rank of their own: they are covered by
-copies that start inside them.
+position whose prefix is unique drops out, and doubling ends when none is left.
+
+Positions with equal rank at ``min_lines`` form an interval of suffixes with a common prefix of at least that many lines. All but its
+first (by doc_id, then line) begin a later copy. Later copies that follow one another, of first positions that follow one another, are one
+run; how long its common prefix with the run it repeats is comes from the ranks of all lengths, the longest first. Such a
+prefix of a run is deleted whole. So are later copies of shorter prefixes (1, 2, 4 ... lines) if these lines have ``min_chars`` characters together.
 
 Defined results: a null or empty text has no lines; blank lines (spaces and tabs only) are not looked at and stay;
-of repeated rows the later ones count as copies only under another doc_id or row content; runs never cross documents; other columns are ignored.
+of repeated rows the later ones count as copies only under another doc_id or row content; runs never cross documents; texts and
+runs are as long as they are; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,24 +45,55 @@ def _starts(ranked: DataFrame, length: int, least_chars: int = 0) -> DataFrame:
     return later.select("row_key", "doc_id", F.explode(F.sequence("i", F.col("i") + length - 1)).alias("i"))
 
 
+def _longer(at: DataFrame, length: int, offset: int) -> DataFrame:
+    """Ranks at ``length + offset`` of the positions that are ranked at ``length`` here and at the offset."""
+    # characters of the longer prefix, as long as its halves do not overlap; after that nobody asks
+    ahead = at.select("row_key", F.col("doc_id").alias("same_doc"), (F.col("i") - offset).alias("i"), F.col("rank").alias("next"), F.col("chars").alias("more"))
+    pairs = at.withColumnRenamed("rank", "own").drop("first").join(ahead, ["row_key", "i"]).where(F.col("doc_id").eqNullSafe(F.col("same_doc")))
+    return _ranked(pairs.withColumn("chars", F.col("chars") + F.col("more")), "own", "next", str(length + offset))
+
+
+def ranks(lines: DataFrame, min_lines: int = MIN_LINES) -> list[tuple[int, DataFrame]]:
+    """Lengths and ranked positions: up to ``min_lines``, and doubled until every position is unique."""
+    levels = [(1, _ranked(lines, "id", "id2", "1"))]
+    while True:
+        length, at = levels[-1]
+        offset = min(length, min_lines - length) if length < min_lines else length
+        longer = _longer(at, length, offset)
+        if length >= min_lines and longer.isEmpty():
+            return levels
+        levels.append((length + offset, longer))
+
+
+def repeated_runs(levels: list[tuple[int, DataFrame]], min_lines: int = MIN_LINES) -> DataFrame:
+    """row_key, doc_id, i, n (lines) and of (doc_id, row_key, i of what it repeats) of each run of later copies; n is the longest common prefix."""
+    at = next(table for length, table in levels if length == min_lines)
+    later = at.where(F.col("first") != F.struct("doc_id", "row_key", "i")).select("row_key", "doc_id", "i", F.col("first").alias("of"))
+    by = Window.partitionBy("row_key", "doc_id").orderBy("i")
+    was = F.lag(F.struct("i", "of")).over(by)
+    goes_on = (was["i"] == F.col("i") - 1) & was["of"]["doc_id"].eqNullSafe(F.col("of.doc_id")) & (was["of"]["row_key"] == F.col("of.row_key")) & (was["of"]["i"] == F.col("of.i") - 1)
+    runs = later.withColumn("goes_on", F.coalesce(goes_on, F.lit(False))).where("not goes_on").select("row_key", "doc_id", "i", "of", F.lit(0).alias("n"))
+    for length, table in reversed(levels):
+        here, there = (table.select(F.col("row_key").alias(f"{x}_key"), F.col("doc_id").alias(f"{x}_doc"), F.col("i").alias(f"{x}_i"), F.col("rank").alias(f"{x}_rank")) for x in "ab")
+        own = (F.col("row_key") == F.col("a_key")) & (F.col("i") + F.col("n") == F.col("a_i")) & F.col("doc_id").eqNullSafe(F.col("a_doc"))
+        other = (F.col("of.row_key") == F.col("b_key")) & (F.col("of.i") + F.col("n") == F.col("b_i")) & F.col("of.doc_id").eqNullSafe(F.col("b_doc"))
+        both = runs.join(here, own, "left").join(there, other, "left")
+        same = F.coalesce(F.col("a_rank") == F.col("b_rank"), F.lit(False))
+        runs = materialize(both.select("row_key", "doc_id", "i", "of", (F.col("n") + F.when(same, length).otherwise(0)).alias("n")), f"runs-{length}")
+    return runs
+
+
 def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """row_key, doc_id, i (number of the line among those not blank) and line (its number) of the lines to delete."""
     split = docs.select("row_key", "doc_id", F.posexplode(_lines(F.col("text"))).alias("line", "words")).where(~F.col("words").rlike("^[ \\t\\r]*\\z"))
     order = Window.partitionBy("row_key", "doc_id").orderBy("line")
     numbered = split.select("row_key", "doc_id", "line", F.xxhash64("words").alias("id"), F.xxhash64(F.lit(1), "words").alias("id2"), F.length("words").alias("chars")).distinct()
     lines = materialize(numbered.withColumn("i", F.row_number().over(order) - 1), "lines")
-    at, length, found = _ranked(lines, "id", "id2", "1"), 1, []
-    while length < min_lines:
-        found.append(_starts(at, length, min_chars))
-        offset = min(length, min_lines - length)
-        # characters of the longer prefix, as long as its halves do not overlap; after that nobody asks
-        ahead = at.select("row_key", F.col("doc_id").alias("same_doc"), (F.col("i") - offset).alias("i"), F.col("rank").alias("next"), F.col("chars").alias("more"))
-        pairs = at.withColumnRenamed("rank", "own").drop("first").join(ahead, ["row_key", "i"]).where(F.col("doc_id").eqNullSafe(F.col("same_doc")))
-        at = _ranked(pairs.withColumn("chars", F.col("chars") + F.col("more")), "own", "next", str(length + offset))
-        length += offset
-    gone = _starts(at, length)
-    for more in found:
-        gone = gone.unionByName(more)
+    levels = ranks(lines, min_lines)
+    gone = repeated_runs(levels, min_lines).select("row_key", "doc_id", F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("i"))
+    for length, table in levels:
+        if length < min_lines:
+            gone = gone.unionByName(_starts(table, length, min_chars))
     return gone.distinct().join(lines.select("row_key", "i", "line"), ["row_key", "i"]).select("row_key", "doc_id", "i", "line").distinct()
 
 

@@ -7,7 +7,9 @@ from collections import Counter
 
 import pytest
 
-from lexiforge.llm import line_dedup, minhash, substring_dedup, suffix_dedup
+from pyspark.sql import functions as F
+
+from lexiforge.llm import common, line_dedup, minhash, substring_dedup, suffix_dedup
 from lexiforge.llm.components import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -202,3 +204,23 @@ def test_empty_tables(documents):
     assert substring_dedup.dedup_substrings(none).count() == 0
     assert minhash.near_duplicates(none).count() == 0
     assert line_dedup.dedup_lines(none).count() == 0
+
+
+def test_runs_are_longest_common_prefixes(documents):
+    """Long runs, runs that overlap themselves, and copies of copies: each run's length against plain comparison."""
+    rng = random.Random(12)
+    block = [f"block line {k}" for k in range(40)]
+    rows = [(k, "\n".join(rng.choices("abc", k=rng.randrange(25)))) for k in range(25)]
+    rows += [(100 + k, "\n".join([f"own {k}", *block[rng.randrange(10) : 20 + rng.randrange(20)], "", f"end {k}", *rng.choices("abc", k=4)])) for k in range(12)]
+    rows += [(200, "\n".join(["z"] * 37)), (201, "\n".join(["z"] * 50)), (202, "\n".join(block * 2))]
+    docs = common.keyed(documents(rows))
+    lines = {(r.row_key, r.doc_id): [x for x in r.text.split("\n") if x.strip()] for r in docs.collect()}
+    split = docs.select("row_key", "doc_id", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("i", "words"))
+    positions = common.materialize(split.select("row_key", "doc_id", F.col("i").alias("line"), "i", F.xxhash64("words").alias("id"), F.xxhash64(F.lit(1), "words").alias("id2"), F.length("words").alias("chars")), "test-lines")
+    for least in (3, 5):
+        runs = line_dedup.repeated_runs(line_dedup.ranks(positions, least), least).collect()
+        assert runs and max(r.n for r in runs) >= 30
+        for r in runs:
+            a, b = lines[r.row_key, r.doc_id][r.i :], lines[r.of.row_key, r.of.doc_id][r.of.i :]
+            same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert r.n == same >= least and (r.of.doc_id, r.of.i) < (r.doc_id, r.i)
