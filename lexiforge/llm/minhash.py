@@ -18,7 +18,8 @@ under ``LEAST_ESTIMATE`` with probability 1e-6 (binomial with 128 lanes).
 
 Defined results: a null, empty or wordless text has no shingles and is linked
 with nothing; fewer than five words are one shingle; rows with equal doc_id are one
-document; a null doc_id has a null component and is kept; other columns are ignored.
+document; a null doc_id has a null component and is kept; texts are read whole however long (a chunk of work holds one text at least);
+other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ can only repeat where its first n-1 words do, so each longer length looks only
 at what the shorter one left.
 
 Defined results: a null or empty text has zero words and fails the base rule;
-repeated rows are each measured; extra columns are ignored by ``measure`` and
+repeated rows are each measured; texts are read whole however long (a chunk of work holds one text at least);
+extra columns are ignored by ``measure`` and
 passed through by ``filter_quality``; an empty table gives an empty table.
 """
 

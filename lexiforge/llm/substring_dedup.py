@@ -10,7 +10,7 @@ intervals, which are removed.
 A word is removed if a window over it also starts in a document with a smaller
 doc_id. Defined results: a null or empty text has no words; texts shorter than a
 window lose nothing; rows with equal doc_id are one document; a null doc_id is
-smaller than none and has none smaller; an empty table gives an empty table.
+smaller than none and has none smaller; texts are read whole however long (a chunk of work holds one text at least); an empty table gives an empty table.
 """
 
 from __future__ import annotations

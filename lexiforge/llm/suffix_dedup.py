@@ -13,7 +13,8 @@ equal prefixes and different contents are split further, one for each content.
 
 Strings never cross documents and are judged on the input. Defined results: a
 null or empty text has 0 bytes; shorter texts lose nothing; repeated rows are
-further copies; an empty table gives an empty table; other columns are ignored.
+further copies; texts are read whole however long (a chunk of work holds one text at least);
+an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ repeated task wrote is named nowhere and goes with the temporary folder.
 Of records with equal payloads of at least ``least_revisit`` bytes, the one with the
 smallest id is a response and the others revisit it. Defined results: a null html is an empty payload, a null url
 ``urn:page:<id>``; a null id is smaller than none, so its page is a response; repeated rows with the smallest id are
-all responses; line breaks in a url become %0A and %0D; other columns are ignored; an empty table gives an empty manifest.
+all responses; payloads are whole however large (a task holds one record at a time); line breaks in a url become %0A and %0D; other columns are ignored; an empty table gives an empty manifest.
 """
 
 from __future__ import annotations
