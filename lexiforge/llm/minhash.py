@@ -102,7 +102,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     key = mix(key * np.uint64(31) + minima[:, b * ROWS + r])
                 keys[:, b] = key
             lanes = 64 // BITS
-            low = (minima & np.uint64(2**BITS - 1)).reshape(len(some), -1, lanes)
+            low = (minima & np.uint64(2**BITS - 1)).reshape(len(some), ROWS * BANDS // lanes, lanes)
             packed = np.bitwise_or.reduce(low << (np.arange(lanes, dtype=np.uint64) * np.uint64(BITS)), axis=2)
             ends = lambda width: pa.array(np.concatenate([[0], np.cumsum((size > 0) * width)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
