@@ -38,7 +38,7 @@ _OTHER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 #: Bytes of text whose terms are counted at a time.
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 
 
 def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
