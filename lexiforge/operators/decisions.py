@@ -70,6 +70,7 @@ def names_other_url(url: Column, message: Column) -> Column:
 
 
 def latency(ms: Column) -> Column:
+    """Milliseconds, or seconds with one decimal; halves go up."""
     return F.when(ms >= 1000, F.concat(F.format_string("%.1f", ms / 1000), F.lit("s"))).otherwise(F.concat(F.round(ms).cast("long").cast("string"), F.lit("ms")))
 
 

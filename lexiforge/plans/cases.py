@@ -124,18 +124,31 @@ _READER = [
 ]
 
 
-@_register(_expected("documents", "doc_id", {"reader": [x[3] for x in _READER]}))
+@_register(f"""WITH w AS (SELECT doc_id, string_split({_OWN.format("text")}, ' ') AS ws FROM documents),
+p AS (SELECT doc_id, ws, CASE doc_id % 3 WHEN 0 THEN ws WHEN 1 THEN ws[1 : (len(ws) // 2)] ELSE ['x'] END AS other, CASE WHEN doc_id % 4 = 3 THEN ['unrelated', 'headline'] ELSE ws[1:3] END AS title FROM w),
+d AS (SELECT doc_id, list_distinct(list_filter(ws, lambda x: length(x) >= 4)) AS own, list_filter(other, lambda x: length(x) >= 4) AS reader, list_filter(title, lambda x: length(x) >= 4) AS anchor FROM p)
+SELECT doc_id, len(own) < {decisions.LEAST_SAMPLE} OR len(list_intersect(own, anchor)) = 0 OR len(list_intersect(own, reader)) / greatest(len(own), 1) >= {decisions.LEAST_KEPT} AS reader FROM d""")
 def reader_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, other, title = (_planted("doc_id", [x[k] for x in _READER]) for k in range(3))
-    return _table(spark, sf_dir, "documents").select("doc_id", decisions.prefers_reader(own, other, title).alias("reader"))
+    """Every document's words against all of them, the first half, and nothing, under their first words or an unrelated title."""
+    ws, n = F.split(_own("text"), " "), F.col("doc_id") % 3
+    half = F.array_join(F.slice(ws, 1, F.floor(F.size(ws) / 2).cast("int")), " ")
+    other = F.when(n == 0, _own("text")).when(n == 1, half).otherwise("x")
+    heading = F.when(F.col("doc_id") % 4 == 3, "unrelated headline").otherwise(F.array_join(F.slice(ws, 1, 3), " "))
+    return _table(spark, sf_dir, "documents").select("doc_id", decisions.prefers_reader(_own("text"), other, heading).alias("reader"))
 
 
 _BODY = [(None, "flat text", "flat text"), ("# Head\n\n- one two three", "Head one two three", "# Head\n\n- one two three"), ("## a ## b", "a b c d e f g h i j", "a b c d e f g h i j"), ("any", "", "any")]
 
 
-@_register(_expected("documents", "doc_id", {"body": [x[2] for x in _BODY]}))
+@_register(f"""WITH w AS (SELECT doc_id, {_OWN.format("text")} AS own, list_filter(string_split({_OWN.format("text")}, ' '), lambda x: x <> '') AS ws FROM documents),
+m AS (SELECT doc_id, own, len(ws) AS n, CASE doc_id % 3 WHEN 0 THEN ws WHEN 1 THEN ws[1 : (len(ws) // 2)] END AS kept FROM w)
+SELECT doc_id, sha256(CASE WHEN kept IS NULL OR (n > 0 AND len(kept) + 1 < n * {decisions.LEAST_MARKDOWN}) THEN own ELSE '# Head' || chr(10) || chr(10) || '- ' || array_to_string(kept, ' ') END) AS body FROM m""")
 def article_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", decisions.article_body(*(_planted("doc_id", [x[k] for x in _BODY]) for k in (0, 1))).alias("body"))
+    """Every document's words as a list below a heading: all of them, half of them, or none."""
+    ws, n = F.filter(F.split(_own("text"), " "), lambda x: x != ""), F.col("doc_id") % 3
+    kept = F.when(n == 0, ws).when(n == 1, F.slice(ws, 1, F.floor(F.size(ws) / 2).cast("int")))
+    shaped = F.concat(F.lit("# Head\n\n- "), F.array_join(kept, " "))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(decisions.article_body(shaped, _own("text")), 256).alias("body"))
 
 
 _ERRORS = [
@@ -281,16 +294,23 @@ def repository_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("repo", *(F.array_join(c, ",").alias(c) for c in out.columns if c != "repo"))
 
 
-@_register("""WITH e(engine, k) AS (VALUES ('google', 0), ('bing', 1), ('ddg', 2), ('yahoo', 3)), q AS (SELECT page_id AS query, engine, (page_id + k) % 7 AS c FROM pages, e),
-s AS (SELECT query, engine, c, CASE c WHEN 0 THEN 'ok' WHEN 1 THEN 'empty' WHEN 2 THEN 'quota' WHEN 3 THEN 'http_503' WHEN 4 THEN 'timeout' WHEN 5 THEN 'cooled_down' ELSE 'disabled' END AS status FROM q)
-SELECT query, engine, CASE c WHEN 0 THEN 5 ELSE 0 END::BIGINT AS count, status, CASE c WHEN 6 THEN 0 ELSE 1250 END::BIGINT AS latency_ms,
- CASE c WHEN 1 THEN 'returned 0 results' WHEN 2 THEN 'rate-limited / quota exhausted' WHEN 3 THEN 'HTTP 503' WHEN 4 THEN 'timed out after 1.3s' WHEN 5 THEN 'cooled down after recent failures' END AS note FROM s""")
+@_register("""WITH l AS (SELECT user_id AS query, event_id % 4 AS k, arg_max({'t': event_type, 'v': value, 'id': event_id}, event_id) AS e FROM events WHERE event_id % 4 < 3 OR event_id % 3 = 0 GROUP BY ALL),
+o AS (SELECT query, CASE k WHEN 0 THEN 'google' WHEN 1 THEN 'bing' WHEN 2 THEN 'ddg' ELSE 'yahoo' END AS engine, CASE WHEN e.t = 'view' THEN floor(e.v)::BIGINT ELSE 0 END AS count, (floor(e.v * 100) * 2 + 1)::BIGINT AS ms,
+ CASE e.t WHEN 'signup' THEN 'timeout' WHEN 'purchase' THEN 'cooled_down' WHEN 'error' THEN CASE WHEN e.id % 2 = 0 THEN 'quota' ELSE 'http_503' END WHEN 'view' THEN CASE WHEN floor(e.v) > 0 THEN 'ok' ELSE 'empty' END ELSE 'empty' END AS status FROM l),
+q AS (SELECT * FROM (SELECT DISTINCT query FROM o), (VALUES ('google'), ('bing'), ('ddg'), ('yahoo')) t(engine)),
+f AS (SELECT query, engine, coalesce(count, 0) AS count, coalesce(status, 'disabled') AS status, coalesce(ms, 0) AS latency_ms FROM q LEFT JOIN o USING (query, engine))
+SELECT *, CASE status WHEN 'empty' THEN 'returned 0 results' WHEN 'quota' THEN 'rate-limited / quota exhausted' WHEN 'http_503' THEN 'HTTP 503' WHEN 'cooled_down' THEN 'cooled down after recent failures'
+ WHEN 'timeout' THEN CASE WHEN latency_ms = 0 THEN 'timed out' WHEN latency_ms >= 1000 THEN 'timed out after ' || printf('%.1f', latency_ms / 1000) || 's' ELSE 'timed out after ' || latency_ms || 'ms' END END AS note FROM f""")
 def engine_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    case = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.col("c") + 1).cast("int"))
-    engine = F.explode(F.array(*(F.struct(F.lit(e).alias("engine"), F.lit(k).alias("k")) for k, e in enumerate(decisions.ENGINES))))
-    rows = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("query"), engine.alias("e")).withColumn("c", (F.col("query") + F.col("e.k")) % 7).where("c < 6")
-    skip = F.when(F.col("c") == 4, "timeout").when(F.col("c") == 5, "cooled_down")
-    shaped = rows.select("query", "e.engine", case(5, 0, 0, 0, 0, 0).alias("count"), F.when(F.col("c") == 2, 429).when(F.col("c") == 3, 503).alias("http_status"), (F.col("c") == 2).alias("quota"), skip.alias("skip_reason"), F.lit(1250).alias("latency_ms"))
+    """The last outcome of each of four engines for each user, out of the events; one engine is missing for some."""
+    events = _table(spark, sf_dir, "events").where("event_id % 4 < 3 or event_id % 3 = 0")
+    last = events.groupBy(F.col("user_id").alias("query"), (F.col("event_id") % 4).alias("k")).agg(F.max_by(F.struct("event_type", "value", "event_id"), "event_id").alias("e")).select("query", "k", "e.*")
+    engine = F.element_at(F.array(*map(F.lit, decisions.ENGINES)), (F.col("k") + 1).cast("int"))
+    kind, odd = F.col("event_type"), F.col("event_id") % 2 == 1
+    shaped = last.select(
+        "query", engine.alias("engine"), F.when(kind == "view", F.floor("value")).otherwise(0).alias("count"), F.when(kind == "error", F.when(odd, 503).otherwise(429)).alias("http_status"), ((kind == "error") & ~odd).alias("quota"),
+        F.when(kind == "signup", "timeout").when(kind == "purchase", "cooled_down").alias("skip_reason"), (F.floor(F.col("value") * 100) * 2 + 1).alias("latency_ms"),
+    )
     return decisions.engine_status(shaped)
 
 
@@ -427,9 +447,16 @@ def failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LANES = [("ok", 0, True, "ok"), ("timeout after 2s", 0, True, "timeout"), ("disabled by user", 0, True, "disabled"), ("unavailable", 0, True, "error"), ("blocked", 0, True, "empty"), ("error", 3, True, "ok"), (None, 0, True, "empty"), ("ok", 5, False, "timeout")]
 
 
-@_register(_expected("pages", "page_id", {"status": [x[3] for x in _LANES]}))
+_LINKS = "len(regexp_extract_all(html, '<a href='))"
+
+
+@_register(f"""SELECT page_id, CASE WHEN page_id % 7 = 6 THEN 'timeout' WHEN page_id % 3 = 0 AND {_LINKS} > 0 THEN 'ok' ELSE CASE page_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'timeout' WHEN 2 THEN 'disabled' WHEN 3 THEN 'error' ELSE 'empty' END END AS status FROM pages""")
 def provider_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", decisions.provider_status(*(_planted("page_id", [x[k] for x in _LANES]) for k in range(3))).alias("status"))
+    """Lanes whose results are a page's links, or none, and which say several things of themselves."""
+    n = F.col("page_id") % 5
+    told = F.when(n == 0, "ok").when(n == 1, F.concat(F.lit("timeout after "), F.length("html").cast("string"), F.lit("ms"))).when(n == 2, "disabled by user").when(n == 3, "unavailable").otherwise("blocked")
+    count = F.when(F.col("page_id") % 3 == 0, F.size(F.regexp_extract_all("html", F.lit("<a href="), 0))).otherwise(0)
+    return _table(spark, sf_dir, "pages").select("page_id", decisions.provider_status(told, count, F.col("page_id") % 7 != 6).alias("status"))
 
 
 _ANSWERS = [
@@ -444,9 +471,24 @@ _ANSWERS = [
 ]
 
 
-@_register(_expected("pages", "page_id", {"vertical": [x[2] for x in _ANSWERS], "markdown": [x[3] for x in _ANSWERS]}))
+_HEADLINE = _OWN.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)")
+
+
+@_register(f"""WITH p AS (SELECT page_id, url, {_HEADLINE} AS t, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages)
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'wikipedia' WHEN 1 THEN 'youtube' ELSE 'gopackages' END AS vertical,
+ CASE page_id % 3 WHEN 0 THEN '# P' || page_id || chr(10) || chr(10) || CASE WHEN t = '' THEN '' ELSE '- **Title:** ' || t || chr(10) END || '- **Page:** ' || page_id || chr(10) || chr(10) || '## Sections' || chr(10) || chr(10) || '- 1 ' || t
+ WHEN 1 THEN '# ' || substr(md5(url), 1, 11) || chr(10) || chr(10) || CASE WHEN t = '' THEN '' ELSE '- **Title:** ' || t || chr(10) END || '- **Channel:** ' || host || chr(10) || '- **Seconds:** ' || page_id || chr(10) || chr(10) || '## Transcript' || chr(10) || chr(10) || host || chr(10) || t
+ ELSE '# ' || host || chr(10) || chr(10) || '- **Latest:** v1.' || page_id || chr(10) || '- **VCS:** git' || chr(10) || '- **Commit:** ' || substr(sha256(url), 1, 12) END AS markdown FROM p""")
 def site_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "pages").select("page_id", *(_planted("page_id", [x[k] for x in _ANSWERS]).alias(c) for k, c in enumerate(("url", "body"))))
+    """Every page's headline, host and address as the answers of three sites."""
+    headline, n = F.trim(F.regexp_replace(F.regexp_extract("html", "<h1>(.*?)</h1>", 1), "[^a-z]+", " ")), F.col("page_id") % 3
+    server, page = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), F.col("page_id").cast("string")
+    address = F.when(n == 0, F.concat(F.lit("https://en.wikipedia.org/wiki/P"), page)).when(n == 1, F.concat(F.lit("https://youtu.be/"), F.substring(F.md5("url"), 1, 11))).otherwise(F.concat(F.lit("https://pkg.go.dev/"), server))
+    wiki = F.struct(F.struct(headline.alias("title"), F.col("page_id").alias("pageid"), F.array(F.struct(F.lit("1").alias("number"), headline.alias("line"))).alias("sections")).alias("parse"))
+    video = F.struct(F.struct(headline.alias("title"), server.alias("author"), F.col("page_id").alias("lengthSeconds")).alias("videoDetails"), F.array(F.struct(server.alias("text")), F.struct(headline.alias("text"))).alias("segments"))
+    module = F.struct(F.concat(F.lit("v1."), page).alias("Version"), F.struct(F.lit("git").alias("VCS"), F.sha2("url", 256).alias("Hash")).alias("Origin"))
+    body = F.when(n == 0, F.to_json(wiki)).when(n == 1, F.to_json(video)).otherwise(F.to_json(module))
+    rows = _table(spark, sf_dir, "pages").select("page_id", address.alias("url"), body.alias("body"))
     return verticals.render_answers(rows).select("page_id", "vertical", "markdown")
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.functions import urls
-from lexiforge.operators import decisions, envelopes, markdown, previews, screening, sections
+from lexiforge.operators import decisions, envelopes, markdown, previews, screening, sections, verticals
 from lexiforge.plans import cases
 
 ONE_TO_ONE = {
@@ -57,3 +57,14 @@ def test_routes(spark):
     assert [(r.route, r["mode"]) for r in got] == [x[1:] for x in cases._ROUTED]
     got = decisions.parsed_routes(rows(spark, cases._LINES, 1, ["line"]).withColumnRenamed("k", "ordinal")).collect()
     assert {(r.ordinal, r.pattern, r["mode"]) for r in got} == {(k, *x[1:]) for k, x in enumerate(cases._LINES) if x[1]}
+
+
+def test_sites_and_lanes(spark):
+    got = verticals.render_answers(rows(spark, cases._ANSWERS, 2, ["url", "body"])).orderBy("k").collect()
+    assert [(r.vertical, r.markdown) for r in got] == [x[2:] for x in cases._ANSWERS]
+    lanes = spark.createDataFrame([(k, *x[:3]) for k, x in enumerate(cases._LANES)], "k int, state string, n int, settled boolean").orderBy("k")
+    assert [r[0] for r in lanes.select(decisions.provider_status(F.col("state"), F.col("n"), F.col("settled"))).collect()] == [x[3] for x in cases._LANES]
+    outcomes = [(1, "google", 5, None, False, None, 90), (1, "bing", 0, 503, False, None, 1250), (1, "ddg", 0, None, False, "timeout", 1250), (2, "yahoo", 0, 429, True, None, 5)]
+    got = decisions.engine_status(spark.createDataFrame(outcomes, "query int, engine string, count int, http_status int, quota boolean, skip_reason string, latency_ms int")).orderBy("query", "engine").collect()
+    assert [(r.query, r.engine, r.status, r.note) for r in got if r.status != "disabled"] == [(1, "bing", "http_503", "HTTP 503"), (1, "ddg", "timeout", "timed out after 1.3s"), (1, "google", "ok", None), (2, "yahoo", "quota", "rate-limited / quota exhausted")]
+    assert len(got) == 8
