@@ -186,6 +186,9 @@ def _parts(block: str, most: int) -> Iterator[str]:
     """
     if _MARK.match(block):
         lines = list(_marked(block.split("\n")))
+        if len(lines) == 1:  # an opening line with nothing below it
+            yield from _packed([x for x in _GAP.split(block) if x], most, " ", _code_word_parts)
+            return
         head, mark = lines[0][0], lines[0][1]
         last = next((k for k, (_, fence, _) in enumerate(lines) if not fence), len(lines))
         room = max(1, most - cost(head) - cost(mark))

@@ -24,6 +24,7 @@ def test_chunks():
     assert pack("", 10, 2) == [] == pack(None, 10, 2)
     parts = pack("```py\n" + "\n".join(f"line {i} of code" for i in range(40)) + "\n```", 20, 0)
     assert len(parts) > 1 and all(c["text"].startswith("```py\n") and c["text"].endswith("\n```") for c in parts)
+    assert "".join(c["text"] for c in pack("word ```\ncode\n``` word word word", 5, 0)).count("word") == 4
 
 
 @given(st.lists(st.sampled_from(["word", "international", "a. b", "\n\n", "\n", "```\ncode\n```", "Sentence one. Two!"]), max_size=60), st.integers(5, 40))
