@@ -265,17 +265,17 @@ def fuse_ranks(lists: DataFrame, trust: bool = False) -> DataFrame:
     return merged.withColumn("score", round_half_up(score)).withColumn("primary", is_primary(F.col("domain")))
 
 
-#: Sites that publish first hand.
+#: Who publishes first hand: ends of names, whole names, names with all below them, and first labels.
 PRIMARY_SUFFIXES = [".gov", ".edu", ".mil"]
-PRIMARY_PATTERN = (
-    r"^(w3|ietf|rfc-editor|iso|wikipedia)\.org$|(^|\.)(github\.com|developer\.mozilla\.org|docs\.python\.org|nodejs\.org|npmjs\.com|pypi\.org|arxiv\.org|readthedocs\.io)$"
-    r"|^(docs|developer|developers|learn)\."
-)
+PRIMARY_SITES = ["w3.org", "ietf.org", "rfc-editor.org", "iso.org", "wikipedia.org"]
+PRIMARY_DOMAINS = ["github.com", "developer.mozilla.org", "docs.python.org", "nodejs.org", "npmjs.com", "pypi.org", "arxiv.org", "readthedocs.io"]
+PRIMARY_LABELS = ["docs.", "developer.", "developers.", "learn."]
 
 
 def is_primary(site: Column) -> Column:
     d = strip_www(site)
-    return F.coalesce(_any([d.endswith(s) for s in PRIMARY_SUFFIXES]) | d.rlike(PRIMARY_PATTERN), F.lit(False))
+    below = [(d == x) | d.endswith(f".{x}") for x in PRIMARY_DOMAINS]
+    return F.coalesce(_any([*(d.endswith(s) for s in PRIMARY_SUFFIXES), d.isin(PRIMARY_SITES), *below, *(d.startswith(x) for x in PRIMARY_LABELS)]), F.lit(False))
 
 
 def trust_profile(sources: DataFrame, key: str = "query") -> DataFrame:

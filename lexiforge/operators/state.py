@@ -76,7 +76,7 @@ def engine_health(log: DataFrame) -> DataFrame:
     order = F.struct("at", "seq")
     good = log.where("ok").groupBy("engine").agg(F.max(order).alias("last_ok"))
     totals = log.groupBy("engine").agg(F.count_if("ok").alias("successes"), F.count_if(~F.col("ok")).alias("failures"), F.sum("latency").alias("latency_sum"), F.count("*").alias("n"))
-    since = log.join(F.broadcast(good), "engine", "left").where(~F.col("ok") & (F.col("last_ok").isNull() | (order > F.col("last_ok"))))  # a row for each engine
+    since = log.join(good, "engine", "left").where(~F.col("ok") & (F.col("last_ok").isNull() | (order > F.col("last_ok"))))
     tail = since.groupBy("engine").agg(F.count("*").alias("consecutive"), F.max_by(F.struct("at", "reason"), order).alias("last"))
     out = totals.join(tail, "engine", "left").withColumn("consecutive", F.coalesce("consecutive", F.lit(0)))
     patient = F.col("engine") == PATIENT_ENGINE
