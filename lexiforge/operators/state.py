@@ -92,8 +92,8 @@ def reliability(health: DataFrame) -> DataFrame:
     return health.withColumn("reliability", F.round(F.coalesce(share - slow, F.lit(0.5)), 9))
 
 
-#: Successes after which the rungs are tried again from the cheapest, and days after which a domain is forgotten.
-PROBE_AFTER, STRATEGY_DAYS = 10, 7
+#: Successes after which the rungs are tried again from the cheapest, days after which a domain is forgotten, and the domains that are remembered.
+PROBE_AFTER, STRATEGY_DAYS, MOST_DOMAINS = 10, 7, 500
 #: Seconds that a service which gives no time is left alone.
 LATCH_SECONDS = 600
 
@@ -123,6 +123,12 @@ def strategy_memory(log: DataFrame) -> DataFrame:
     return counts.join(bad, "domain", "left").select("domain", "rung", (F.col("n") % PROBE_AFTER).cast("int").alias("successes"), probe.alias("probe"), F.coalesce("failures", F.lit("")).alias("failures"), "updated")
 
 
+def remembered_domains(memory: DataFrame, now: Column, most: int = MOST_DOMAINS) -> DataFrame:
+    """``strategy_memory`` as it is stored: domains with an event in the last seven days, of these the ``most`` that had one last."""
+    fresh = memory.where(F.col("updated") >= now - F.make_dt_interval(F.lit(STRATEGY_DAYS)))
+    return evict_oldest(fresh, "updated", most, "domain")
+
+
 def latched(ops: DataFrame) -> DataFrame:
     """ops (service, at, seq, op, seconds): of each request whether the service had not said ``limited`` within its pause before; the last word counts."""
     before = Window.partitionBy("service").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, -1)

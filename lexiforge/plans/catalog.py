@@ -382,7 +382,11 @@ def queue_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.queue_stats(state.queue_state(ops))
 
 
-@_register()
+@_register("""WITH RECURSIVE c AS (SELECT user_id % 8 AS host, epoch_us(ts) // 1000000 // 600 AS second, count(*) AS asked FROM events GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY second) AS k FROM c),
+r AS (SELECT host, k, second, asked, least(2, asked) AS passed, 2 - least(2, asked) AS left_over FROM s WHERE k = 1
+ UNION ALL SELECT s.host, s.k, s.second, s.asked, least(s.asked, least(2, left_over + s.second - r.second)), least(2, left_over + s.second - r.second) - least(s.asked, least(2, left_over + s.second - r.second)) FROM r JOIN s ON s.host = r.host AND s.k = r.k + 1)
+SELECT host, second, asked, passed FROM r""")
 def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("host"), F.floor(F.unix_timestamp("ts") / 600).alias("second"))
     return state.token_bucket(rows, burst=2, per_second=1)

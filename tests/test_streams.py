@@ -99,6 +99,14 @@ def test_strategy_examples(spark):
     assert last((0, False), (2, True)) == (0, 1, False, "0:1")
 
 
+def test_domains_that_are_remembered(spark):
+    rows = [(f"d{k}", START + dt.timedelta(hours=k), k, 1, True) for k in range(400)]
+    memory = state.strategy_memory(spark.createDataFrame(rows, LOG))
+    now = F.lit(START + dt.timedelta(hours=400))
+    assert {r.domain for r in state.remembered_domains(memory, now, 50).collect()} == {f"d{k}" for k in range(350, 400)}
+    assert {r.domain for r in state.remembered_domains(memory, now).collect()} == {f"d{k}" for k in range(400 - 7 * 24, 400)}
+
+
 def test_strategy_stream_is_the_batch(spark, tmp_path):
     """Late, repeated and unordered rows; a watermark of a day; in the end all state is gone."""
     rng = random.Random(7)
