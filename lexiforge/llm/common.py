@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _local_root: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 
@@ -69,6 +70,17 @@ def freed_shuffles(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Within it, Python tasks get so many rows at a time, unless the session has them get fewer."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 class WorkTable:
     """A DataFrame written to the shared folder; ``df`` reads it again.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import keyed, materialize, on_key
+from lexiforge.llm.common import keyed, materialize, on_key, small_batches
 from lexiforge.llm.rolling import byte_sums, chunks, mix
 from lexiforge.llm.windows import cut, flat_list, lists_by_row, runs, span
 
@@ -97,6 +97,11 @@ def removal_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, wid
     """row_key, doc_id and span (bytes from s to before e) of what is to go."""
     if widths[-1] != 1 or max(widths) > length - piece + 1:
         raise ValueError("widths must end with 1 and leave a shared prefix")
+    with small_batches(docs.sparkSession):
+        return _spans(docs, length, piece, widths)
+
+
+def _spans(docs: DataFrame, length: int, piece: int, widths: tuple[int, ...]) -> DataFrame:
     found = materialize(runs(docs, "byte", length, piece), "byte-runs")
     anchors = found.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     shared = materialize(anchors.where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed")), "shared-anchors")
