@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.operators.elements import Tree, _parsed, squeezed
+from lexiforge.operators.elements import Tree, elements, squeezed
 from lexiforge.operators.html import title
+from lexiforge.sources.work import stored
 
 #: Elements that are not the page's text, and those that ask for consent, as selectors.
 NOISE = """nav footer header svg canvas iframe form [aria-hidden=true] [hidden] [role=navigation] [role=banner] [role=contentinfo]""".split()
@@ -38,6 +39,7 @@ LEAST_ARTICLE, LEAST_SHARE, LARGE_PAGE = 200, 0.005, 10_000
 FOR, AGAINST = r"(?i)article|body|content|entry|hentry|main|page|post|story|text|blog", r"(?i)\bad\b|advert|comment|combx|contact|foot|masthead|media|meta|outbrain|promo|related|share|shop|sidebar|sponsor|teaser|widget|banner|popup"
 NAMED, TAGS = 25, {"article": 10, "main": 10, "div": 5, "section": 3, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "form": -3, "table": -3}
 LEAST_BLOCK, LEVELS = 25, 5
+_SCORED = ["p", "pre", "td", "blockquote", "dd", "li", "div", "section", "article", "main", "table", "ul", "ol", "dl"]
 
 
 def matches(selector: str) -> Column:
@@ -65,7 +67,19 @@ def chosen(rows: DataFrame, page_length: DataFrame) -> DataFrame:
 
     ``rows``: ``elements``; ``page_length``: page and n_html.
     """
-    flagged = rows.withColumn("noise", any_of(NOISE + CONSENT) | F.col("tag").isin(_NEVER))
+    # what the scores need of each element, without its text, stored once: all that follows reads it many times
+    is_block = F.col("tag").isin(_SCORED)
+    said = F.when(is_block, F.trim(F.regexp_replace("text", r"\s+", " ")))
+    names = F.concat_ws(" ", F.col("attributes")["class"], F.col("attributes")["id"])
+    worth = F.lit(0)
+    for tag, n in TAGS.items():
+        worth = F.when(F.col("tag") == tag, n).otherwise(worth)
+    worth = worth + F.when(names.rlike(FOR), NAMED).otherwise(0) - F.when(names.rlike(AGAINST), NAMED).otherwise(0)
+    flagged = rows.withColumn("said", said).select(
+        "page", "place", "tag", "ancestors", "text_length", (any_of(NOISE + CONSENT) | F.col("tag").isin(_NEVER)).alias("noise"), is_block.alias("block"), worth.alias("worth"),
+        (F.col("tag").isin("main", "article") | (F.col("attributes")["role"] == "main")).alias("is_main"), F.length("said").alias("said"), (F.length("said") - F.length(F.regexp_replace("said", "[,،、，]", ""))).alias("commas"),
+    )
+    flagged = stored(flagged, "blocks")
     held = flagged.groupBy("page").agg(F.array_sort(F.collect_list(F.when(F.col("noise"), F.col("place")))).alias("noise_places"))  # of one page
     clean = flagged.join(held, "page")
     clean = clean.withColumn("above", F.arrays_overlap("ancestors", "noise_places"))
@@ -75,29 +89,20 @@ def chosen(rows: DataFrame, page_length: DataFrame) -> DataFrame:
     linked = kept.where("tag = 'a'").select("page", F.explode("ancestors").alias("place"), "own").groupBy("page", "place").agg(F.sum("own").alias("linked"))
 
     # blocks: paragraphs and the like, and other elements that hold text but no block
-    blocks = ["p", "pre", "td", "blockquote", "dd", "li", "div", "section", "article", "main", "table", "ul", "ol", "dl"]
-    with_blocks = kept.where(F.col("tag").isin(blocks)).select("page", F.explode("ancestors").alias("place")).distinct().withColumn("outer", F.lit(True))
-    said = F.trim(F.regexp_replace("text", r"\s+", " "))
-    leaves = kept.where(F.col("tag").isin(blocks)).join(with_blocks, ["page", "place"], "left").where("outer is null").withColumn("said", said).where(F.length("said") >= LEAST_BLOCK)
-    commas = F.length("said") - F.length(F.regexp_replace("said", "[,،、，]", ""))
-    leaves = leaves.select("page", (1 + commas + F.least(F.floor(F.length("said") / 100), F.lit(3))).alias("points"), F.posexplode(F.slice(F.reverse(F.concat("ancestors", F.array("place"))), 1, LEVELS + 1)).alias("level", "place"))
+    with_blocks = kept.where("block").select("page", F.explode("ancestors").alias("place")).distinct().withColumn("outer", F.lit(True))
+    leaves = kept.where(F.col("block") & (F.col("said") >= LEAST_BLOCK)).join(with_blocks, ["page", "place"], "left").where("outer is null")
+    leaves = leaves.select("page", (1 + F.col("commas") + F.least(F.floor(F.col("said") / 100), F.lit(3))).alias("points"), F.posexplode(F.slice(F.reverse(F.concat("ancestors", F.array("place"))), 1, LEVELS + 1)).alias("level", "place"))
     # a block is a candidate itself, but its parent gets as much
     share = F.when(F.col("level") <= 1, 1.0).when(F.col("level") == 2, 0.5).otherwise(1 / (3.0 * (F.col("level") - 1)))
     points = leaves.groupBy("page", "place").agg(F.sum(F.col("points") * share).alias("points"))
 
-    names = F.concat_ws(" ", F.col("attributes")["class"], F.col("attributes")["id"])
-    worth = F.lit(0)
-    for tag, n in TAGS.items():
-        worth = F.when(F.col("tag") == tag, n).otherwise(worth)
-    worth = worth + F.when(names.rlike(FOR), NAMED).otherwise(0) - F.when(names.rlike(AGAINST), NAMED).otherwise(0)
     rated = kept.join(points, ["page", "place"]).join(linked, ["page", "place"], "left")
     density = F.least(F.lit(1.0), F.coalesce("linked", F.lit(0)) / F.greatest("own", F.lit(1)))
-    rated = rated.withColumn("score", F.round((F.col("points") + worth) * (1 - density), 6))
+    rated = rated.withColumn("score", F.round((F.col("points") + F.col("worth")) * (1 - density), 6))
     best = rated.groupBy("page").agg(F.max_by(F.struct("place", "own"), F.struct("score", (-F.col("place")).alias("early"))).alias("best"))
 
-    is_main = F.col("tag").isin("main", "article") | (F.col("attributes")["role"] == "main")
     others = kept.groupBy("page").agg(
-        F.min_by(F.struct("place", "own"), F.when(is_main & (F.col("own") > 0), F.col("place"))).alias("main"),
+        F.min_by(F.struct("place", "own"), F.when(F.col("is_main") & (F.col("own") > 0), F.col("place"))).alias("main"),
         F.min_by(F.struct("place", "own"), F.struct((F.col("tag") != "body").alias("other"), "place")).alias("body"),
     )
     every = others.join(best, "page", "left").join(page_length, "page").join(held, "page")
@@ -269,8 +274,7 @@ def _render(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` with title, markdown, chosen_by and text_length; a page without elements has empty markdown. Ids should be unique."""
-    parsed = pages.select(F.col(id_col).alias("page"), _parsed(F.col(html_col)).alias("p"))
-    rows = parsed.select("page", F.col("p.text").alias("_text"), F.explode("p.elements").alias("e")).select("page", "e.*", F.substring("_text", F.col("e.text_start") + 1, F.col("e.text_length")).alias("text"))
+    rows = elements(pages, id_col, html_col)
     length = pages.select(F.col(id_col).alias("page"), F.length(html_col).alias("n_html"))
     found = chosen(rows, length).withColumnRenamed("page", "_page")
     render = F.pandas_udf(_render, "string")

@@ -12,10 +12,13 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from lexiforge.sources.work import stored
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: What an opening tag closes: the tags that end at it, up to an element of the second list.
@@ -83,12 +86,11 @@ class Tree(HTMLParser):
         self.length += len(data)
 
 
-_ELEMENT = StructType(
-    [StructField(n, IntegerType()) for n in ("place", "parent", "last")]
-    + [StructField("tag", StringType()), StructField("attributes", MapType(StringType(), StringType())), StructField("ancestors", ArrayType(IntegerType())), StructField("path", ArrayType(StringType())), StructField("address", StringType())]
-    + [StructField(n, IntegerType()) for n in ("text_start", "text_length", "html_length", "sibling_index", "sibling_count")]
-)
-_PAGE = StructType([StructField("text", StringType()), StructField("elements", ArrayType(_ELEMENT))])
+_LISTS = {"attributes": pa.map_(pa.string(), pa.string()), "ancestors": pa.list_(pa.int32()), "path": pa.list_(pa.string())}
+_FIELDS = "place parent last tag attributes ancestors path address text_start text_length html_length sibling_index sibling_count".split()
+_ELEMENT = pa.struct([(n, _LISTS.get(n) or (pa.string() if n in ("tag", "address") else pa.int32())) for n in _FIELDS])
+#: Pages go to Spark as soon as so many characters of source have been parsed.
+CHUNK = 1_000_000
 
 
 def parse(html: str | None) -> dict:
@@ -107,10 +109,26 @@ def parse(html: str | None) -> dict:
     return {"text": "".join(tree.texts), "elements": out}
 
 
-@F.pandas_udf(_PAGE)
-def _parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for pages in batches:
-        yield pd.DataFrame([parse(h) for h in pages], columns=["text", "elements"])
+def _chunk(pages: pa.Array, parsed: list[dict]) -> pa.RecordBatch:
+    flat = [e for p in parsed for e in p["elements"]]
+    columns = [pa.array([list(e[n].items()) if n == "attributes" else e[n] for e in flat], _ELEMENT.field(n).type) for n in _FIELDS]
+    offsets = pa.array([0, *accumulate(len(p["elements"]) for p in parsed)], pa.int32())
+    held = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=list(_ELEMENT)))
+    return pa.RecordBatch.from_arrays([pages, pa.array([p["text"] for p in parsed], pa.string()), held], ["page", "_text", "elements"])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task holds the parsed form of few pages at a time, however many a batch has."""
+    for batch in batches:
+        ids, sources = batch.columns
+        begun, parsed, size = 0, [], 0
+        for k in range(batch.num_rows):
+            source = sources[k].as_py()
+            parsed.append(parse(source))
+            size += len(source or "")
+            if size >= CHUNK or k + 1 == batch.num_rows:
+                yield _chunk(ids.slice(begun, k + 1 - begun), parsed)
+                begun, parsed, size = k + 1, [], 0
 
 
 def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -118,7 +136,9 @@ def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
     ``text`` is all text inside the element, that of scripts included; ids should be unique. A null page has no elements.
     """
-    rows = pages.select(F.col(id_col).alias("page"), _parsed(F.col(html_col)).alias("p")).select("page", F.col("p.text").alias("_text"), F.explode("p.elements").alias("e"))
+    given = pages.select(F.col(id_col).alias("page"), F.col(html_col).alias("_html"))
+    schema = StructType([given.schema["page"], StructField("_text", StringType()), StructField("elements", ArrayType(from_arrow_type(_ELEMENT)))])
+    rows = given.mapInArrow(_parsed, schema).select("page", "_text", F.explode("elements").alias("e"))
     return rows.select("page", "e.*", F.substring("_text", F.col("e.text_start") + 1, F.col("e.text_length")).alias("text"))
 
 
@@ -177,12 +197,18 @@ def actions(rows: DataFrame, most: int = MOST_ACTIONS) -> DataFrame:
     )
     clicks = ["submit", "button", "reset", "checkbox", "radio", "file"]
     does = F.when(tag == "select", "select").when(tag == "textarea", "type").when(tag == "input", F.when(kind.isin(clicks), "click").otherwise("type")).when(tag == "form", "submit").otherwise("click")
-    found = rows.where(acts & ~off).select("page", "place", "address", role.alias("role"), name.alias("n"), does.alias("affordance"), F.when(field, blank(_attribute("value"))).alias("value"))
-    found = found.select("page", "place", "address", "role", "n.name", F.col("n.source").alias("name_source"), "affordance", "value")
+    # the rows are read once: what acts, and the choices and their lists
+    act, choice = F.coalesce(acts & ~off, F.lit(False)), F.coalesce(F.nullif(_attribute("value"), F.lit("")), blank(F.col("text")))
+    rows = rows.where(act | tag.isin("option", "select")).select(
+        "page", "place", "tag", "address", act.alias("act"), F.when(act, role).alias("role"), F.when(act, name).alias("n"), does.alias("affordance"), F.when(field, blank(_attribute("value"))).alias("value"),
+        F.when(tag == "option", F.col("ancestors")).alias("ancestors"), F.when(tag == "option", choice).alias("choice"),
+    )
+    rows = stored(rows, "actions")
+    found = rows.where("act").select("page", "place", "address", "role", "n.name", F.col("n.source").alias("name_source"), "affordance", "value")
     first = found.groupBy("page", "role", "name", "affordance").agg(F.min_by(F.struct("place", "address", "name_source", "value"), "place").alias("e")).select("page", "role", "name", "affordance", "e.*")
     ref = F.row_number().over(Window.partitionBy("page").orderBy("place"))
     top = first.withColumn("ref", ref).where(F.col("ref") <= most)
-    choices = rows.where("tag = 'option'").select("page", "place", F.explode("ancestors").alias("of"), F.coalesce(F.nullif(_attribute("value"), F.lit("")), blank(F.col("text"))).alias("choice"))
+    choices = rows.where("tag = 'option'").select("page", "place", F.explode("ancestors").alias("of"), "choice")
     choices = choices.where("choice is not null").join(rows.where("tag = 'select'").select("page", F.col("place").alias("of")), ["page", "of"])
     choices = choices.groupBy("page", F.col("of").alias("place")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "choice"))), lambda x: x["choice"]).alias("options"))
     return top.join(choices, ["page", "place"], "left").select("page", "ref", "role", "name", "name_source", "affordance", "value", "options", "address")

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from lexiforge.sources.work import stored
+
 #: Types of JSON scripts, ids of scripts that hold JSON whatever their type, and globals that servers assign.
 JSON_TYPES = ["application/json", "application/ld+json", "text/json"]
 SCRIPT_IDS = """__NEXT_DATA__ __NUXT_DATA__ __GATSBY_DATA__ __REMIX_DATA__ __APOLLO_STATE__ __INITIAL_STATE__ __PRELOADED_STATE__ __DATA__ __SHOPIFY_SDA__
@@ -64,6 +66,7 @@ def _assigned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def islands(rows: DataFrame) -> DataFrame:
     """page, rank, source, json, size of each source of data in a page, the largest first; ``rows``: ``elements``."""
     scripts = rows.where("tag = 'script'").select("page", "place", "text", F.coalesce(F.col("attributes")["type"], F.lit("")).alias("type"), F.coalesce(F.col("attributes")["id"], F.lit("")).alias("id"))
+    scripts = stored(scripts, "scripts")  # read for each kind of source
     typed = F.col("type").isin(JSON_TYPES)
     known = F.exists(F.array(*(F.lit(x.lower()) for x in SCRIPT_IDS)), lambda x: F.contains(F.lower("id"), x))
     name = F.when(F.col("id") != "", F.col("id")).otherwise(F.concat(F.lit('script[type="'), "type", F.lit('"]')))
@@ -86,6 +89,7 @@ def islands(rows: DataFrame) -> DataFrame:
 
 def leaves(found: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     """page, source, path, depth, kind, value of each leaf of ``found`` (page, source, json): values, and what lies deeper than ``most_depth`` as its kind and size."""
+    found = stored(found.select("page", "source", "json"), "islands")  # read for each level
     level = found.select("page", "source", F.lit("$").alias("path"), F.lit("").alias("parent"), F.try_parse_json("json").alias("v")).where("v is not null")
     out = []
     for depth in range(most_depth + 2):

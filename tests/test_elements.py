@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.operators import decisions, elements
+from lexiforge.operators import articles, decisions, elements
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><script>var a = "<p>";</script></head>
 <body><nav><a href="/x">Home</a></nav>
@@ -105,3 +106,20 @@ def test_an_element_is_found_again(spark):
     found = decisions.located(old, marked.where("page = 2")).collect()
     at = {(r.page, r.place): r.attributes for r in rows.collect()}
     assert len(found) == 1 and at[2, found[0].place]["id"] == "main" and found[0].score >= 0.45
+
+
+def test_a_task_holds_few_pages_at_a_time(monkeypatch):
+    monkeypatch.setattr(elements, "CHUNK", 100)
+    pages = ["<p>" + "x" * 60 + "</p>", None, "<p>y</p>", "<b>" + "z" * 200, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(pages)], ["page", "_html"])
+    out = list(elements._parsed(iter([batch, batch.slice(0, 0)])))
+    assert [b.num_rows for b in out] == [4, 1]
+    assert [r["page"] for b in out for r in b.to_pylist()] == [0, 1, 2, 3, 4]
+    assert [len(r["elements"]) for b in out for r in b.to_pylist()] == [1, 0, 1, 1, 0]
+
+
+def test_pages_are_parsed_once(spark):
+    """Actions and articles read what was parsed from a stored table."""
+    pages = spark.createDataFrame([(1, "https://e.org", "<article><p>" + "some words, " * 40 + "</p><a href=x>y</a></article>")], "page_id int, url string, html string")
+    for df in (elements.actions(elements.elements(pages)), articles.extract(pages)):
+        assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
