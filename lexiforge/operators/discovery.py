@@ -169,14 +169,15 @@ def repository_signals(paths: DataFrame) -> DataFrame:
 MOST_CHILDREN, MOST_FETCHES, MOST_DEPTH = 50, 100, 3
 
 
-def sitemap_tree(sites: DataFrame, bodies: DataFrame, stored, most_fetches: int = MOST_FETCHES, most_depth: int = MOST_DEPTH, most_children: int = MOST_CHILDREN, most: int = MOST_URLS) -> tuple[DataFrame, DataFrame]:
+def sitemap_tree(sites: DataFrame, bodies: DataFrame, stored, most_fetches: int = MOST_FETCHES, most_depth: int = MOST_DEPTH, most_children: int = MOST_CHILDREN, most: int | None = MOST_URLS) -> tuple[DataFrame, DataFrame]:
     """site, position, loc, lastmod of the pages that the sitemaps of many sites name, and site, fetch, url, depth of what was fetched.
 
     ``sites``: site and origin; ``bodies``: url and text of what answers. A site's robots.txt names its first sitemaps; an index names
     more, at most ``most_children`` of the same origin each, down to ``most_depth``. All branches of a site share ``most_fetches``
     fetches, level by level in the order in which they are named; robots.txt is the first. What does not answer has been fetched too.
-    ``stored`` cuts the lineage, once for each level.
+    ``most``: the entries that count of a sitemap and of a site; None for all. ``stored`` cuts the lineage, once for each level.
     """
+    counts = F.lit(True) if most is None else F.col("position") <= most
     texts = bodies.select(F.col("url").alias("_url"), F.col("text").alias("body")).dropDuplicates(["_url"])
     own = F.concat("origin", F.lit("/robots.txt"))
     level = stored(sites.select("site", "origin", F.lit(1).cast("long").alias("fetch"), own.alias("url"), F.lit(-1).alias("depth")).where(F.lit(most_fetches) > 0))
@@ -201,9 +202,9 @@ def sitemap_tree(sites: DataFrame, bodies: DataFrame, stored, most_fetches: int
     entries.append(sitemap_entries(answered.where(~_is_index(F.col("body"))).select("site", "fetch", F.col("body").alias("xml"))))
     every = reduce(DataFrame.unionByName, entries)
     # each sitemap's best first, then those of the site; a page counts where it is named first
-    each = rank_by_recency(every, ["site", "fetch"]).where(F.col("position") <= most)
+    each = rank_by_recency(every, ["site", "fetch"]).where(counts)
     first = each.groupBy("site", "loc").agg(F.min_by(F.struct("fetch", F.col("position").alias("at"), "lastmod"), F.struct("fetch", "position")).alias("f")).select("site", "loc", "f.*")
-    ranked = rank_by_recency(first.withColumn("ord", F.struct("fetch", "at")), ["site"]).where(F.col("position") <= most)
+    ranked = rank_by_recency(first.withColumn("ord", F.struct("fetch", "at")), ["site"]).where(counts)
     return ranked.select("site", "position", "loc", "lastmod"), reduce(DataFrame.unionByName, fetched).select("site", "fetch", "url", "depth")
 
 

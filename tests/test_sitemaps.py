@@ -3,6 +3,7 @@ import re
 from collections import deque
 
 from lexiforge.operators import discovery, elements
+from lexiforge.sources.work import stored
 
 
 def xml(kind, rows):
@@ -75,3 +76,13 @@ def test_navigation(spark):
     df = spark.createDataFrame([(1, "https://e.org/d/index#top", page)], "page_id int, url string, html string")
     out = discovery.navigation_links(elements.elements(df), df.selectExpr("page_id as page", "url"))
     assert {r.url for r in out.collect()} == {"https://e.org/a", "https://e.org/d/b", "https://e.org/d/index"}
+
+
+def test_all_entries_of_large_sitemaps(spark):
+    """Without a limit a map of more than MOST_URLS entries counts whole."""
+    n = discovery.MOST_URLS + 10
+    entries = "".join(f"<url><loc>https://a.org/{k}</loc></url>" for k in range(n))
+    bodies = spark.createDataFrame([("https://a.org/robots.txt", "Sitemap: https://a.org/s.xml"), ("https://a.org/s.xml", f"<urlset>{entries}</urlset>")], "url string, text string")
+    sites = spark.createDataFrame([("a", "https://a.org")], "site string, origin string")
+    assert discovery.sitemap_tree(sites, bodies, stored, most=None)[0].count() == n
+    assert discovery.sitemap_tree(sites, bodies, stored)[0].count() == discovery.MOST_URLS
