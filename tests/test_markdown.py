@@ -61,3 +61,11 @@ def test_secret_kinds(spark, text, kinds):
 
 def test_every_planted_answer_is_there():
     assert set(cases.oracle_sql()) >= {"redaction_cases", "paywall_cases", "reader_choices", "private_ips"}
+
+
+def test_links_to_a_page_that_is_there_twice(spark):
+    """Of equal addresses the first by the given column is linked, whatever its path and the order of the rows."""
+    rows = [(10, "https://a.org/x", "d1/10.md", ""), (9, "https://a.org/x", "d2/9.md", ""), (11, "https://a.org/x", "d0/11.md", ""), (1, "https://a.org/y", "d1/1.md", "[l](https://a.org/x)")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "page_id int, url string, path string, markdown string")
+        assert {r.page_id: r.markdown for r in markdown.rewrite_links(df, "page_id").collect()}[1] == "[l](../d2/9.md)"
