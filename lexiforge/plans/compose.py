@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.operators import bm25, ranking, sections
+from lexiforge.sources.work import stored
 
 
 def answer(pages: DataFrame, query: str, k: int = 5, most_tokens: int = 300, id_col: str = "page_id") -> DataFrame:
     """The k best chunks of all pages for a query, in order of score: file, chunk, text, tokens, score, heading."""
     chunks = sections.chunk_documents(pages, most_tokens, 0, id_col)
     named = bm25.breadcrumbs(chunks.select(F.col("doc_id").alias("file"), F.col("index").alias("chunk"), "text", "tokens"))
-    rated = bm25.scores(bm25.index(named), query)
+    named = stored(bm25.index(named), "chunks")  # read for the statistics, the scores and the texts
+    rated = bm25.scores(named, query)
     top = rated.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "file", "chunk").limit(k)
-    return top.join(named, ["file", "chunk"])
+    return top.join(named.drop("terms", "n_terms"), ["file", "chunk"])
 
 
 def answer_each(pages: DataFrame, query: str, k: int = 3, most_tokens: int = 512, overlap: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,6 +27,7 @@ def answer_each(pages: DataFrame, query: str, k: int = 3, most_tokens: int = 512
     """
     chunks = sections.chunk_documents(pages, most_tokens, overlap, id_col, text_col)
     named = bm25.breadcrumbs(chunks.withColumnsRenamed({"doc_id": "file", "index": "chunk"})).withColumnsRenamed({"file": "doc_id", "chunk": "index"})
+    named = stored(named, "chunks")  # read for sizes, counts and texts
     asked = named.withColumn("query", F.lit(query))
     rated = ranking.relevance(asked, ["doc_id", "index"], "query", F.concat_ws("\n\n", F.nullif("overlap", F.lit("")), "text"), ["doc_id"])
     rows = named.join(rated, ["doc_id", "index"], "left").withColumn("score", F.round(F.coalesce("relevance", F.lit(0.0)), 9))
