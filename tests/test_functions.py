@@ -1,8 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as T
 from lexiforge.functions import urls as U
+from lexiforge.operators import sections
 
 
 def values(spark, column, rows):
@@ -41,3 +44,15 @@ def test_slug_and_lookalikes(spark):
 
 def test_redirect_target(spark):
     assert values(spark, U.redirect_target, ["https://duckduckgo.com/l/?uddg=https%3A%2F%2Fa.b%2Fc&rut=1", "https://a.b/c"]) == ["https://a.b/c"] * 2
+
+
+def test_words_and_terms_are_picked_out(spark):
+    """As splitting and replacing have it, for odd texts too."""
+    texts = ["", " ", "a", " a\tb\n", "\x0bé-x y_z--", "-- -a-", "A.B `c` d", " nb sp", "[l](u) <b>t</b>"]
+    assert values(spark, T.words, texts) == [[w for w in re.split(r"[ \t\n\r\f\x0B]+", t) if w] for t in texts]
+    assert values(spark, lambda x: T.terms(x, 1, []), texts[:6]) == [re.findall("[a-z0-9_-]+", t.lower()) for t in texts[:6]]
+
+
+def test_cost_of_plain_words(spark):
+    words = ["a" * 7, "a" * 8, "a.b-c_d?1", "a,b", "語語a", "a" * 9 + "!", "don't", "x" * 9 + "語"]
+    assert values(spark, T.estimate_tokens, words) == [sections.cost(w) for w in words]
