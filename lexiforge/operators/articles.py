@@ -268,8 +268,10 @@ def to_markdown(html: str | None, place: int, noise: list[int], url: str | None)
 
 
 def _render(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    for html, place, noise, url in batches:
-        yield pd.Series([to_markdown(h, int(p), list(n), u) for h, p, n, u in zip(html, place, noise, url, strict=True)], dtype="object")
+    for batch in batches:
+        # few pages' results at a time, however many a batch has
+        for k in range(0, len(batch[0]), 100):
+            yield pd.Series([to_markdown(h, int(p), list(n), u) for h, p, n, u in zip(*(c[k : k + 100] for c in batch), strict=True)], dtype="object")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

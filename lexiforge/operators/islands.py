@@ -60,7 +60,9 @@ _ASSIGNMENTS = ArrayType(StructType([StructField("name", StringType()), StructFi
 @F.pandas_udf(_ASSIGNMENTS)
 def _assigned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield texts.map(assigned)
+        # few documents' results at a time, however many a batch has
+        for k in range(0, len(texts), 100):
+            yield texts[k : k + 100].map(assigned)
 
 
 def islands(rows: DataFrame) -> DataFrame:
