@@ -1,6 +1,6 @@
 """Search of a stored index for a table of queries at once, reading only the postings that can matter.
 
-A chunk's score is the sum of its postings' impacts, each times how often the query says the term. The chunks at the heads of a
+A chunk's score is the sum of its postings' impacts, each times its list's idf and how often the query says the term. The chunks at the heads of a
 query's lists are scored first; their k-th best score (with at most ``per_file`` from a file) is a lower bound theta. A hit must
 have a telling term, so it lies in a telling list that is not among those which, with everything else at its top, stay below
 theta; and there its impact is at least what is missing when all other terms of the query are at their tops. Only those postings
@@ -32,11 +32,11 @@ def _few(table: DataFrame) -> DataFrame:
 
 
 def asked_lists(index: Index, queries: DataFrame, least: int = 2, stop_words: list[str] | None = None) -> DataFrame:
-    """query_id, corpus, term, mult, top (times mult) and telling: whether the term is in a file, and in at most two thirds of them."""
+    """query_id, corpus, term, mult, idf, top (times mult) and telling: whether the term is in a file, and in at most two thirds of them."""
     said = queries.select("query_id", "corpus", F.explode(terms(F.col("text"), least, stop_words)).alias("term")).groupBy("query_id", "corpus", "term").agg(F.count("*").alias("mult"))
     found = said.join(index.lists, ["corpus", "term"]).join(index.corpora.select("corpus", "files"), "corpus")
     telling = F.col("file_df") <= F.greatest(F.lit(1), F.floor(F.col("files") * 2 / 3))
-    return found.select("query_id", "corpus", "term", "mult", (F.col("mult") * F.col("top")).alias("top"), telling.alias("telling"), bucket(F.col("corpus"), F.col("term")).alias("bucket"))
+    return found.select("query_id", "corpus", "term", "mult", "idf", (F.col("mult") * F.col("top")).alias("top"), telling.alias("telling"), bucket(F.col("corpus"), F.col("term")).alias("bucket"))
 
 
 def _of_lists(table: DataFrame, lists: DataFrame, need: Column | None = None) -> DataFrame:
@@ -54,8 +54,8 @@ def _of_lists(table: DataFrame, lists: DataFrame, need: Column | None = None) ->
 
 def _summed(postings: DataFrame, asked: DataFrame) -> DataFrame:
     """query_id, corpus, file, chunk, score and telling over ``postings``."""
-    joined = postings.join(_few(asked.select("query_id", "corpus", "term", "mult", "telling")), ["corpus", "term"])
-    summed = joined.groupBy("query_id", *_CHUNK).agg(F.sum(F.col("mult") * F.col("impact")).alias("score"), F.max("telling").alias("telling"))
+    joined = postings.join(_few(asked.select("query_id", "corpus", "term", "mult", "idf", "telling")), ["corpus", "term"])
+    summed = joined.groupBy("query_id", *_CHUNK).agg(F.sum(F.col("mult") * (F.col("idf") * F.col("impact"))).alias("score"), F.max("telling").alias("telling"))
     return summed.where("telling").drop("telling")
 
 
@@ -92,7 +92,7 @@ def search(index: Index, queries: DataFrame, k: int = 8, per_file: int = 2, leas
     lower = of_query.orderBy("telling", "top", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # what the terms that do not tell, and the telling ones up to this, can add up to
     rated = rated.withColumn("upto", F.sum("top").over(lower)).withColumn("all", F.sum("top").over(of_query))
-    need = (F.col("theta") - (F.col("all") - F.col("top"))) / F.col("mult")
+    need = (F.col("theta") - (F.col("all") - F.col("top"))) / (F.col("mult") * F.col("idf"))
     essential = rated.where(F.col("telling") & (F.col("upto") >= F.col("theta"))).withColumn("need", need).persist()
     deep = _of_lists(index.postings, essential, F.col("need")).join(_few(essential.groupBy("corpus", "term").agg(F.min("need").alias("need"))), ["corpus", "term"])
     candidates = deep.where(F.col("impact") >= F.col("need")).select(*_CHUNK).distinct().persist()

@@ -136,3 +136,27 @@ def test_known_locally(spark, material):
 def test_term_counts(spark):
     df = spark.createDataFrame([(["b", "a", "b"],), ([],)], "t array<string>").select(postings.term_counts(F.col("t")).alias("c"))
     assert [[tuple(x) for x in r.c] for r in df.collect()] == [[("a", 1), ("b", 2)], []]
+
+
+def moved_rows(spark):
+    """Rows that all stages so far have handed to a shuffle."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_a_posting_is_moved_once(spark, tmp_path):
+    """Neither the counts by file nor the frequencies move the postings, however the frequencies are joined."""
+    chunks = [(f, k, " ".join(f"word{(f + 7 * k + j) % 50}" for j in range(25))) for f in range(400) for k in range(2)]
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = moved_rows(spark)
+    index = postings.write_postings(spark.createDataFrame(chunks, "file int, chunk int, text string").repartition(2), str(tmp_path / "i"))
+    moved = moved_rows(spark) - before
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert index.postings.count() == 20_000
+    assert index.lists.agg(F.sum("chunk_df")).first()[0] == 20_000
+    assert {r.file_df for r in index.lists.collect()} == {len({f for f, k, _ in chunks if (0 - f - 7 * k) % 50 < 25})}
+    assert moved < 30_000
