@@ -103,6 +103,31 @@ def test_decontamination_against_brute_force(spark, documents, monkeypatch, broa
     assert {(r.doc_id, r.item_id): (r.matched_words, r.first_word) for r in out.collect()} == brute_overlaps(rows, items)
 
 
+def test_decontamination_of_long_lists(spark, documents, monkeypatch):
+    """Hits on both sides of the stretches that are moved; no document's hits are gathered."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    monkeypatch.setattr(decontaminate, "BLOCK", 16)
+    rng = random.Random(9)
+    some = lambda k: [f"v{rng.randrange(12)}" for _ in range(k)]
+    items = [(k, " ".join(some(n))) for k, n in enumerate((5, 13, 40, 70))] + [(None, " ".join(some(50)))]
+    rows = [(k, " ".join(some(rng.randint(0, 40)) + items[k % 5][1].split()[rng.randint(0, 9) :] + some(30))) for k in range(20)]
+    rows += [rows[3], rows[3], (None, items[2][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.contaminated(documents(rows), bench)
+    assert {(r.doc_id, r.item_id): (r.matched_words, r.first_word) for r in out.collect()} == brute_overlaps(rows, items)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_items_of_equal_tokens_are_looked_for_once(spark, documents, monkeypatch):
+    """Copies of a benchmark add no seeds, so that it is broadcast as before."""
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    bench = spark.createDataFrame([(k, text if k % 2 else text.upper()) for k in range(50)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 30)
+    monkeypatch.setattr(decontaminate, "_far_hits", None)
+    out = decontaminate.contaminated(documents([(1, "see " + text), (2, "see")]), bench)
+    assert {(r.doc_id, r.item_id, r.matched_words, r.first_word) for r in out.collect()} == {(1, k, 13, 1) for k in range(50)}
+
+
 def test_clashing_columns(spark):
     """Stages that pass columns on keep those named as their own inner columns, in any case."""
     names = ["row_key", "_row", "copies", "copy", "Copy_", "n_shingles", "item_id", "_gone", "words", "shard", "rank"]
