@@ -161,18 +161,18 @@ def marks(rows: DataFrame) -> DataFrame:
     return both.select("page", "place", mark.alias("mark"))
 
 
-#: Roles that make any element an action, and the most actions of a page.
-ACTION_ROLES, MOST_ACTIONS = ["button", "link", "textbox", "searchbox", "combobox", "checkbox", "radio"], 50
+#: Roles that make any element an action.
+ACTION_ROLES = ["button", "link", "textbox", "searchbox", "combobox", "checkbox", "radio"]
 
 
 def _attribute(name: str) -> Column:
     return F.col("attributes")[name]
 
 
-def actions(rows: DataFrame, most: int = MOST_ACTIONS) -> DataFrame:
+def actions(rows: DataFrame, most: int | None = None) -> DataFrame:
     """page, ref, role, name, name_source, affordance, value, options, address: what a reader can act on, each (role, name, affordance) once, in order.
 
-    ``rows``: ``elements``. Hidden and disabled elements are left out, and what lies in a nav or footer below the body, main or article.
+    ``rows``: ``elements``. All actions of a page, or the first ``most``. Hidden and disabled elements are left out, and what lies in a nav or footer below the body, main or article.
     """
     tag, kind = F.col("tag"), F.lower(F.coalesce(_attribute("type"), F.lit("")))
     acts = (
@@ -207,7 +207,8 @@ def actions(rows: DataFrame, most: int = MOST_ACTIONS) -> DataFrame:
     found = rows.where("act").select("page", "place", "address", "role", "n.name", F.col("n.source").alias("name_source"), "affordance", "value")
     first = found.groupBy("page", "role", "name", "affordance").agg(F.min_by(F.struct("place", "address", "name_source", "value"), "place").alias("e")).select("page", "role", "name", "affordance", "e.*")
     ref = F.row_number().over(Window.partitionBy("page").orderBy("place"))
-    top = first.withColumn("ref", ref).where(F.col("ref") <= most)
+    top = first.withColumn("ref", ref)
+    top = top if most is None else top.where(F.col("ref") <= most)
     choices = rows.where("tag = 'option'").select("page", "place", F.explode("ancestors").alias("of"), "choice")
     choices = choices.where("choice is not null").join(rows.where("tag = 'select'").select("page", F.col("place").alias("of")), ["page", "of"])
     choices = choices.groupBy("page", F.col("of").alias("place")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "choice"))), lambda x: x["choice"]).alias("options"))
@@ -218,7 +219,7 @@ def action_lines(acts: DataFrame) -> DataFrame:
     """page and text: a page's actions as a list of lines."""
     options = F.concat(F.lit(" options=["), F.array_join(F.slice("options", 1, 8), ","), F.when(F.size("options") > 8, F.concat(F.lit("...+"), (F.size("options") - 8).cast("string"))).otherwise(F.lit("")), F.lit("]"))
     line = F.concat(F.lit("["), F.col("ref").cast("string"), F.lit("] "), "role", F.lit(": "), "name", F.lit(" ("), "affordance", F.lit(")"), F.coalesce(F.concat(F.lit(' value="'), "value", F.lit('"')), F.lit("")), F.coalesce(options, F.lit("")))
-    held = acts.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ref", line.alias("line")))).alias("lines"))  # at most MOST_ACTIONS
+    held = acts.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ref", line.alias("line")))).alias("lines"))
     return held.select("page", F.concat(F.lit("## Actions\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
 
 

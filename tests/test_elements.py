@@ -96,6 +96,15 @@ def test_actions(spark):
     assert text.startswith("## Actions\n[1] link: first link (click)\n") and '[5] button: Go (click) value="Go"' in text and "[6] select: OneTwo (select) options=[1,Two]" in text
 
 
+def test_all_actions_of_a_page(spark):
+    page = "".join(f"<a href=x>link {k}</a>" for k in range(120)) + "<form><select><option>a</select></form>"
+    rows = elements.elements(spark.createDataFrame([(1, page)], "page_id int, html string"))
+    acts = elements.actions(rows)
+    out = acts.orderBy("ref").collect()
+    assert [r.ref for r in out] == list(range(1, 123)) and [r.name for r in out[:120]] == [f"link {k}" for k in range(120)] and out[-1].options == ["a"]
+    assert "[122] select: a" in elements.action_lines(acts).first().text
+
+
 def test_an_element_is_found_again(spark):
     """The article of a page whose markup has changed around it."""
     before = "<html><body><div class=top>menu</div><div id=main class=post><p>" + "text " * 50 + "</p><p>more</p></div></body></html>"
