@@ -1,10 +1,10 @@
 """Search of a stored index for a table of queries at once, reading only the postings that can matter.
 
 A chunk's score is the sum of its postings' impacts, each times its list's idf and how often the query says the term. The chunks at the heads of a
-query's lists are scored first; their k-th best score (with at most ``per_file`` from a file) is a lower bound theta. A hit must
+query's lists are scored for it first; their k-th best score (with at most ``per_file`` from a file) is a lower bound theta. A hit must
 have a telling term, so it lies in a telling list that is not among those which, with everything else at its top, stay below
 theta; and there its impact is at least what is missing when all other terms of the query are at their tops. Only those postings
-make candidates, and candidates are scored exactly.
+make candidates, each for the query that asked for them, and candidates are scored exactly. Equal queries are answered once.
 
 Files are skipped by folder (the hash of corpus and term) and, for up to ``LITERALS`` lists, by Parquet's ranges of term and impact.
 """
@@ -52,11 +52,16 @@ def _of_lists(table: DataFrame, lists: DataFrame, need: Column | None = None) ->
     return some.drop("bucket")
 
 
-def _summed(postings: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, corpus, file, chunk, score and telling over ``postings``."""
-    joined = postings.join(_few(asked.select("query_id", "corpus", "term", "mult", "idf", "telling")), ["corpus", "term"])
-    summed = joined.groupBy("query_id", *_CHUNK).agg(F.sum(F.col("mult") * (F.col("idf") * F.col("impact"))).alias("score"), F.max("telling").alias("telling"))
-    return summed.where("telling").drop("telling")
+def _scored(index: Index, pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, corpus, file, chunk, score: the exact scores of ``pairs`` (a query and a chunk, with a telling term), and of no others.
+
+    Many pairs meet the postings by chunk, where they are told apart and summed too; few are broadcast.
+    """
+    few = pairs.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    pairs = F.broadcast(pairs.distinct()) if few else pairs.repartition(*_CHUNK).distinct()
+    met = _of_lists(index.postings, asked).join(_few(asked.select("corpus", "term").distinct()), ["corpus", "term"], "left_semi").join(pairs, _CHUNK)
+    said = met.join(_few(asked.select("query_id", "corpus", "term", "mult", "idf")), ["query_id", "corpus", "term"])
+    return said.groupBy("query_id", *_CHUNK).agg(F.sum(F.col("mult") * (F.col("idf") * F.col("impact"))).alias("score"))
 
 
 def _capped(scores: DataFrame, per_file: int) -> DataFrame:
@@ -80,12 +85,15 @@ def search(index: Index, queries: DataFrame, k: int = 8, per_file: int = 2, leas
     corpus, file and chunk.
     """
     corpus = F.coalesce(F.col("corpus"), F.lit("")) if "corpus" in queries.columns else F.lit("")
-    asked = asked_lists(index, queries.withColumn("corpus", corpus), least, stop_words).persist()  # a row for each query and term
-    telling = asked.where("telling")
+    given = queries.select(F.col("query_id").alias("_given"), corpus.alias("corpus"), "text")
+    # equal queries are answered once
+    names = given.groupBy("corpus", "text").agg(F.min("_given").alias("query_id"), F.collect_set("_given").alias("_given"))
+    asked = asked_lists(index, names, least, stop_words).persist()  # a row for each query and term
+    telling = asked.where("telling").select("query_id", "corpus", "term", "bucket")
 
-    heads = _of_lists(index.heads, telling).join(telling.select("corpus", "term").distinct(), ["corpus", "term"], "left_semi")
-    first = _scored(index, heads.select(*_CHUNK).distinct().persist(), asked)
-    theta = _top(_capped(first, per_file), k).where(F.col("rank") == k).select("query_id", (F.col("score") - _SLACK).alias("theta"))
+    heads = _of_lists(index.heads, telling).join(_few(telling.drop("bucket")), ["corpus", "term"])
+    first = _scored(index, heads.select("query_id", *_CHUNK), asked)
+    theta = _top(_capped(first, per_file), k).where(F.col("rank") == k).select("query_id", (F.col("score") - _SLACK).alias("theta")).persist()  # a row for each query at most
 
     rated = asked.join(theta, "query_id", "left").withColumn("theta", F.coalesce("theta", F.lit(0.0)))
     of_query = Window.partitionBy("query_id")
@@ -94,14 +102,12 @@ def search(index: Index, queries: DataFrame, k: int = 8, per_file: int = 2, leas
     rated = rated.withColumn("upto", F.sum("top").over(lower)).withColumn("all", F.sum("top").over(of_query))
     need = (F.col("theta") - (F.col("all") - F.col("top"))) / (F.col("mult") * F.col("idf"))
     essential = rated.where(F.col("telling") & (F.col("upto") >= F.col("theta"))).withColumn("need", need).persist()
-    deep = _of_lists(index.postings, essential, F.col("need")).join(_few(essential.groupBy("corpus", "term").agg(F.min("need").alias("need"))), ["corpus", "term"])
-    candidates = deep.where(F.col("impact") >= F.col("need")).select(*_CHUNK).distinct().persist()
-    return _top(_capped(_scored(index, candidates, asked), per_file), k).select("query_id", "rank", "score", *_CHUNK)
-
-
-def _scored(index: Index, chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """The exact scores of ``chunks`` for the queries."""
-    return _summed(_of_lists(index.postings, asked).join(_few(chunks), _CHUNK, "left_semi"), asked)
+    deep = _of_lists(index.postings, essential, F.col("need")).join(_few(essential.select("query_id", "corpus", "term", "need")), ["corpus", "term"])
+    candidates = _scored(index, deep.where(F.col("impact") >= F.col("need")).select("query_id", *_CHUNK), asked)
+    # what stays below theta is no hit, and is not moved to be ranked
+    hits = candidates.join(_few(theta), "query_id", "left").where(F.col("score") >= F.coalesce("theta", F.lit(0.0))).drop("theta")
+    found = _top(_capped(hits, per_file), k)
+    return found.join(names.select("query_id", "_given"), "query_id").select(F.explode("_given").alias("query_id"), "rank", "score", *_CHUNK)
 
 
 def known_locally(index: Index, targets: DataFrame, k: int = 3) -> DataFrame:

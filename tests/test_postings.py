@@ -74,6 +74,22 @@ def test_search_by_brute_force(spark, material, monkeypatch, k, per_file, litera
     assert hits(spark, index, queries, k, per_file) == brute(chunks, queries, k, per_file)
 
 
+@pytest.mark.parametrize("broadcast", [retrieval.MOST_BROADCAST, 0])
+def test_a_chunk_is_scored_for_the_query_that_asked_for_it(spark, tmp_path, monkeypatch, broadcast):
+    """Not for the others, however many share a term with it; equal queries are answered once."""
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST", broadcast)
+    texts = [(f, 0, f"red{f} word{f % 2} same") for f in range(6)]
+    index = postings.write_postings(spark.createDataFrame(texts, "file int, chunk int, text string"), f"file://{tmp_path}/own")
+    queries = spark.createDataFrame([(1, "red1 word1"), (2, "red3 word1"), (3, "red1 word1"), (4, None)], "query_id int, text string")
+    asked = retrieval.asked_lists(index, queries.withColumn("corpus", F.lit("")))
+    pairs = spark.createDataFrame([(1, "", 5, 0), (1, "", 5, 0), (2, "", 3, 0)], "query_id int, corpus string, file int, chunk int")
+    assert sorted((r.query_id, r.file) for r in retrieval._scored(index, pairs, asked).collect()) == [(1, 5), (2, 3)]
+    seen, lists = [], retrieval.asked_lists
+    monkeypatch.setattr(retrieval, "asked_lists", lambda index, queries, *rest: seen.append(queries.where("text is not null").count()) or lists(index, queries, *rest))
+    out = {(r.query_id, r["rank"]): r.file for r in retrieval.search(index, queries, 3).collect()}
+    assert seen == [2] and {k: f for k, f in out.items() if k[1] == 1} == {(1, 1): 1, (2, 1): 3, (3, 1): 1} and len(out) == 9
+
+
 def test_only_asked_folders_are_read(spark, material, tmp_path):
     """Without the folders of all other terms a query has the same hits."""
     chunks, _, folder, _ = material
